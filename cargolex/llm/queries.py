@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing
+from . import decontamination, line_dedup, minhash, mixing, suffix_dedup
 from .common import table
 from .sql import SQL
 
 
+def op4_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     """n_lines, n_dropped and the md5 of what stays of each document; its source is its host."""
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept_bytes")
+
+
 def op8_source_mixing(spark, sf_dir):
     """How often each document is read."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -29,7 +37,9 @@ def op9_decontamination(spark, sf_dir):
 
 def queries():
     return {
+        "op4_near_dedup": op4_near_dedup,
         "op6_line_dedup": op6_line_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_decontamination": op9_decontamination,
     }
