@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash, mixing, suffix_dedup
+from . import decontamination, line_dedup, minhash, mixing, quality_rules, suffix_dedup
 from .common import table
 from .sql import SQL
 
 
+def op1_quality_rules(spark, sf_dir):
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op4_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op9_decontamination(spark, sf_dir):
 
 def queries():
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op4_near_dedup": op4_near_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
