@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, minhash, mixing, quality_rules, suffix_dedup
+from . import decontamination, language_id, line_dedup, minhash, mixing, pii, quality_rules, suffix_dedup
 from .common import table
 from .sql import SQL
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_decontamination(spark, sf_dir):
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_pii": op2_pii,
         "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
         "op6_line_dedup": op6_line_dedup,
