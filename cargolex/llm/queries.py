@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, minhash, mixing, pii, quality_rules, suffix_dedup
+from . import decontamination, html_text, language_id, licenses, line_dedup, minhash, mixing, pii, quality_rules, suffix_dedup
 from .common import table
 from .sql import SQL
 
@@ -26,6 +26,10 @@ def op4_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark, sf_dir):
     """n_lines, n_dropped and the md5 of what stays of each document; its source is its host."""
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -48,16 +52,22 @@ def op9_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(ids), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_pii": op2_pii,
         "op3_language_id": op3_language_id,
         "op4_near_dedup": op4_near_dedup,
+        "op5_html_extraction": op5_html_extraction,
         "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_decontamination": op9_decontamination,
+        "op10_license_scan": op10_license_scan,
     }
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
-from . import line_dedup, mixing
+from . import licenses, line_dedup, mixing
 
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACE = r"[ \t\n\x0B\f\r]"
@@ -58,3 +58,33 @@ select w.id as doc_id, len(w.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint
   sha256(coalesce(f.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from words w left join covered c on w.id = c.id left join found f on w.id = f.id where w.side = 'd'""",
 }
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
+    rules = []
+    for i, (name, wanted) in enumerate(licenses.RULES):
+        # identifiers are kept as ',id,' so that one cannot be found inside another
+        rules.append(f"({i}, {quoted(name)}, {quoted('%' + '%'.join(f',{w},' for w in wanted) + '%')})")
+    instead = " ".join(f"and not (r.name = '{a}' and exists (select 1 from hits h where h.doc_id = r.doc_id and h.name = '{b}'))" for a, b in licenses.INSTEAD.items())
+    cut = lambda t: f"string_split(regexp_replace({t}, '[.!?;:]+[ \\t\\r\\n]+|[.!?;:]+$|\\n', chr(10), 'g'), chr(10))"
+    joined = r"replace(regexp_replace(t, '[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*', '. ', 'g'), chr(10), ' ')"
+    return rf"""
+with known(s, id) as (values {known}),
+rules(rank, name, pattern) as (values {", ".join(rules)}),
+lowered as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+cuts as (select doc_id, 0 as reading, {cut("t")} as parts from lowered where regexp_matches(t, '{licenses.HINT}')
+  union all select doc_id, 1, {cut(joined)} from lowered where regexp_matches(t, '{licenses.HINT}')),
+sentences as (select doc_id, reading, unnest(parts) as s, generate_subscripts(parts, 1) as i from cuts),
+read as (
+  select doc_id, reading, count(*) as n, string_agg(k.id, ',' order by i) as ids, string_agg(',' || k.id || ',', '' order by i) as marked
+  from sentences x join known k on trim(regexp_replace(x.s, '[^a-z0-9]+', ' ', 'g')) = k.s group by doc_id, reading),
+best as (select doc_id, max_by(struct_pack(n, ids, marked), n * 2 - reading) as b from read group by doc_id),
+hits as (select doc_id, name, min(rank) as rank from best, rules where b.marked like pattern group by doc_id, name),
+named as (select r.doc_id, string_agg(r.name, ',' order by r.rank) as names from hits r where true {instead} group by r.doc_id)
+select d.doc_id, coalesce(b.n, 0)::bigint as n_sentences, coalesce(b.ids, '') as sentence_ids, coalesce(n.names, '') as licenses
+from documents d left join best using (doc_id) left join named n using (doc_id)"""
+
+
+SQL["op10_license_scan"] = _license_sql()
