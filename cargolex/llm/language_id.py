@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import vectors as v
@@ -196,7 +197,9 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return model
 
 
-def _predict(model):
+def _predict(model, carry: bool = False):
+    """carry: whether the rows' own columns go along, with the prediction at their end, or doc_id alone."""
+
     def run(batches):
         m = model.value
         for batch in batches:
@@ -218,7 +221,8 @@ def _predict(model):
                 ok = lettered & (total > 0)
                 names = [m.languages[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)] if m else [UNKNOWN] * len(part)
                 score = np.where(ok, np.minimum(votes.max(axis=1) / np.maximum(total, 1e-30), 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                own = part if carry else part.select(["doc_id"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names, pa.string()), pa.array(score)], [*own.schema.names, "lang_pred", "score"])
 
     return run
 
@@ -229,6 +233,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return texts(docs).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, min_score: float) -> DataFrame:
+    """The documents, with all their columns, whose language is known with min_score at least; those without letters go. Needs no shuffle of texts."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs)))
+    named = docs.drop("lang_pred", "score")
+    schema = T.StructType([*named.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = named.mapInArrow(_predict(model, True), schema)
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(named.columns)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the rows of docs that are not held out and predicts every row: doc_id, held_out, lang_pred, score.
 

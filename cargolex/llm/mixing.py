@@ -85,7 +85,7 @@ def mix(docs: DataFrame, source: str = "source", budget: float = 1.0, target: fl
     power = exponent(sources, budget, target, repeats)
     everything = W.partitionBy(F.lit(0))
     weight = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.sum("n_tokens").over(everything), F.lit(power))).otherwise(0.0)
-    quota = sources.withColumn("_w", weight).withColumn("_all", F.sum("n_tokens").over(everything)).withColumn("_quota", F.floor(F.lit(budget) * F.col("_all") * F.col("_w") / F.sum("_w").over(everything)))
+    quota = sources.withColumn("_w", weight).withColumn("_all", F.sum("n_tokens").over(everything)).withColumn("_quota", F.coalesce(F.floor(F.lit(budget) * F.col("_all") * F.col("_w") / F.nullif(F.sum("_w").over(everything), F.lit(0.0))), F.lit(0)))
     # whole passes, and the tokens of the last one
     quota = quota.select("_source", F.ceil(F.col("n_docs") / BLOCK_DOCS).alias("_blocks"), F.when(F.col("n_tokens") > 0, F.floor(F.col("_quota") / F.col("n_tokens"))).otherwise(0).alias("_passes"), F.when(F.col("n_tokens") > 0, F.col("_quota") % F.col("n_tokens")).otherwise(0).alias("_rest"))
     quota = checkpoint(quota)
