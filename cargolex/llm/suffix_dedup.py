@@ -1,11 +1,11 @@
 """Dedup of repeated byte strings by distributed prefix doubling.
 
 Names of 2, 4, ... 64 bytes at every position are doubled inside each text, where no other row is needed. Spark sorts
-only runs: neighbouring positions whose strings of SPAN bytes hold one and the same smallest 32-byte name are one run, so a
-text has a run for about 35 bytes, and equal strings always lie in different runs of one name. Round one sorts (name, content) rank pairs of runs;
-unique runs fall out, repeated ones are settled whole. Round two sorts the rank pairs (64 bytes at p, 64 bytes at p + 36)
-of single positions for the few runs left: those of one name and different content. The sort's key ends with the position, so
-rows of one frequent string are dealt over as many tasks as they need.
+runs of positions by rank pairs, at growing lengths of the name that a run shares: 32 bytes, 83 bytes, then the whole SPAN.
+In round one neighbouring positions whose strings of SPAN bytes hold one and the same smallest 32-byte name are one run, so a
+text has a run for about 35 bytes, and equal strings always lie in different runs of one name. After each sort, runs of a unique name
+fall out, runs that repeat an earlier one are settled whole, and only those of one name and different content are ranked again by
+a longer name. The sort's key ends with the position, so rows of one frequent string are dealt over as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -84,55 +84,112 @@ def _runs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(least[s].view(np.int64)), pa.array(c.view(np.int64)), ids, pa.array((s - bounds[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "c", "doc_id", "at", "n"])
 
 
+#: What a sorted run is: one that repeats an earlier run, one to rank again, one that a neighbouring partition decides on.
+LATER, AGAIN, EDGE = 0, 1, 2
+
+
 def _neighbours(batches):
-    """Over sorted runs: those that repeat the one before (later), and those that share a name with another one or may do so beyond the partition."""
-    held, first = None, True
+    """Over a partition of sorted runs: all but those alone with their content and name, with their kind. Holds one run from batch to batch."""
+    last, pending, started = None, None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        yield from _settled(table, 0 if first else 1, len(table) - 1, first)
-        first = first and len(table) == 1
-        held = table.slice(max(len(table) - 2, 0))
-    if held is not None:
-        yield from _settled(held, 0 if first else 1, len(held), first, True)
-
-
-def _settled(table: pa.Table, low: int, high: int, first: bool, last: bool = False):
-    """Rows low to high (exclusive) of the table, whose other rows are their neighbours."""
-    if high <= low:
-        return
-    m, c = table.column("m").to_numpy(), table.column("c").to_numpy()
-    same = np.zeros(len(m), bool)
-    named = np.zeros(len(m), bool)
-    same[1:] = (m[1:] == m[:-1]) & (c[1:] == c[:-1])
-    named[1:] |= m[1:] == m[:-1]
-    named[:-1] |= m[1:] == m[:-1]
-    if first:
-        named[0] = True
-    if last:
-        named[-1] = True
-    keep = np.flatnonzero((same | named)[low:high]) + low
-    out = table.take(pa.array(keep)).append_column("later", pa.array(same[keep]))
-    yield from out.combine_chunks().to_batches()
-
-
-def _positions(batches):
-    """Rank pairs of every position of the runs in `spans`."""
+        m, c = (np.asarray(batch.column(i)) for i in (0, 1))
+        named = np.empty(len(m), bool)  # same name as the run before
+        named[1:], named[0] = m[1:] == m[:-1], last is not None and m[0] == last[0]
+        same = named.copy()
+        same[1:] &= c[1:] == c[:-1]
+        same[0] &= last is not None and c[0] == last[1]
+        changed = named & ~same
+        group = np.cumsum(~named)
+        several = np.bincount(group, changed, group[-1] + 1) > 0
+        kind = np.where(same, LATER, np.where(changed | several[group], AGAIN, -1))
+        if pending is not None:
+            if several[0]:
+                yield _kinds(pending, np.zeros(1, np.int64), np.full(1, AGAIN))
+            if several[0] or group[-1] > 0:
+                pending = None
+        head = int(np.flatnonzero(group == group[-1])[0])
+        if not named[head] and not several[-1]:
+            pending = batch.slice(head, 1)
+        if not started:  # the first run of the partition, and what it is followed by
+            kind[0], started = EDGE, True
+            if head == 0:
+                pending = None
+        keep = np.flatnonzero(kind >= 0)
+        yield _kinds(batch, keep, kind[keep])
+        last = m[-1], c[-1]
+    if pending is not None:
+        yield _kinds(pending, np.zeros(1, np.int64), np.full(1, EDGE))
+
+
+def _kinds(batch, rows, kind):
+    out = batch.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([*out.columns, pa.array(kind.astype(np.int32))], [*out.schema.names, "kind"])
+
+
+def _snippets(batches):
+    """Of (doc_id, text, spans) a row for each span: its first position, number of positions, and their bytes."""
     for batch in batches:
         for part, data, bounds in v.pieces(batch, "text"):
-            if len(data) < SPAN:
-                continue
-            _, names = _doubled(data)
             spans = part.column(2)
             count = np.asarray(spans.value_lengths())
             flat = spans.flatten()
-            at = np.asarray(flat.field(0)).astype(np.int64) + np.repeat(bounds[:-1], count)
-            n = np.asarray(flat.field(1)).astype(np.int64)
-            p = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.repeat(np.repeat(np.arange(len(part)), count), n)
-            a, b = _pair(names, p)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column(0).take(pa.array(row)), pa.array((p - bounds[row]).astype(np.int32))], ["a", "b", "doc_id", "at"])
+            at, n = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            start = at + np.repeat(bounds[:-1], count)
+            whole = data.tobytes()
+            own = [whole[x:y] for x, y in zip(start.tolist(), (start + n - 1 + SPAN).tolist(), strict=True)]
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(part)), count)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())], ["doc_id", "at", "n", "own"])
+
+
+_PARTS = "m long, c long, doc_id long, at int, n int, own binary"
+
+
+def _parts(batches):
+    """Runs cut in four by the offset of the smallest name, so that all positions of a part share _LONG bytes around it."""
+    width = SPAN - _NAME + 1
+    step = -(-width // 4)
+    for batch in batches:
+        for part, data, bounds in v.pieces(batch, "own"):
+            short, names = _doubled(data)
+            first = bounds[:-1]
+            x = np.argmin(short[first[:, None] + np.arange(width)], axis=1)
+            n = np.asarray(part.column(2)).astype(np.int64)
+            keys, contents, rows, ats, ns = [], [], [], [], []
+            for k in range(4):
+                low, high = np.maximum(x - n + 1, step * k), np.minimum(x, min(step * (k + 1), width) - 1)
+                has = np.flatnonzero(low <= high)
+                core = (first + x - step * k)[has]
+                keys.append(_join(names[core], names[core + SPAN - step + 1 - 2 * _NAME]) + v.U(k))
+                s, m = (x - high)[has], (high - low + 1)[has]
+                ends = first[has] + s
+                contents.append(_join(_join(*_pair(names, ends)), _join(*_pair(names, ends + m - 1))) + m.astype(v.U))
+                rows.append(has)
+                ats.append(s)
+                ns.append(m)
+            row, s, m = np.concatenate(rows), np.concatenate(ats), np.concatenate(ns)
+            yield _cut_out(part, data, first[row] + s, row, s, m, np.concatenate(keys), np.concatenate(contents))
+
+
+def _cut_out(part, data, start, row, s, n, m, c):
+    whole = data.tobytes()
+    own = [whole[x:y] for x, y in zip(start.tolist(), (start + n - 1 + SPAN).tolist(), strict=True)]
+    at = np.asarray(part.column(1))[row] + s
+    return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())], ["m", "c", "doc_id", "at", "n", "own"])
+
+
+def _strings(batches):
+    """Single positions of the parts, named by all their SPAN bytes."""
+    for batch in batches:
+        for part, data, bounds in v.pieces(batch, "own"):
+            _, names = _doubled(data)
+            n = np.asarray(part.column(2)).astype(np.int64)
+            row = np.repeat(np.arange(len(part)), n)
+            s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = _pair(names, bounds[:-1][row] + s)
+            ids, at = part.column(0).take(pa.array(row)), np.asarray(part.column(1))[row] + s
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32))], ["m", "c", "doc_id", "at", "n"])
 
 
 def _cut(batches, with_bytes=True):
@@ -161,22 +218,31 @@ def _cut(batches, with_bytes=True):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
+def _ranked(runs: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Sorts runs by rank pair and position: the spans that repeat an earlier run, and the runs to rank again (first of their content)."""
+    order = ["m", "c", "doc_id", "at"]
+    settled = stored(runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, schema + ", kind int"))
+    # two runs of a partition at most are left open, so this side is as small as the number of partitions
+    edges = F.broadcast(settled.filter(F.col("kind") == EDGE).select("m").distinct())
+    near = settled.filter(F.col("kind") != LATER).join(edges, "m").withColumn("place", F.struct("doc_id", "at"))
+    first = near.groupBy("m", "c").agg(F.min("place").alias("first"))
+    counts = first.groupBy("m").agg(F.count("*").alias("contents"))
+    decided = near.filter(F.col("kind") == EDGE).join(first, ["m", "c"]).join(counts, "m")
+    later = settled.filter(F.col("kind") == LATER).select("doc_id", "at", "n").union(decided.filter(F.col("place") != F.col("first")).select("doc_id", "at", "n"))
+    rest = [x for x in settled.columns if x not in ("m", "c", "kind")]
+    again = settled.filter(F.col("kind") == AGAIN).select(rest).union(decided.filter((F.col("place") == F.col("first")) & (F.col("contents") > 1)).select(rest))
+    return later, again
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, n): at at.. at+n-1 start strings of SPAN bytes that start earlier too (smaller doc_id, or before in the document)."""
     source = texts(docs)
-    runs = source.mapInArrow(_runs, _RUNS).repartitionByRange("m", "c", "doc_id", "at").sortWithinPartitions("m", "c", "doc_id", "at")
-    settled = stored(runs.mapInArrow(_neighbours, _RUNS + ", later boolean"))
-    open_ = settled.filter("not later")
-    heads = open_.groupBy("m", "c").agg(F.min(F.struct("doc_id", "at", "n")).alias("head"))
-    # a partition's first run can repeat one of the partition before
-    beyond = open_.join(heads, ["m", "c"]).filter((F.col("doc_id") != F.col("head.doc_id")) | (F.col("at") != F.col("head.at"))).select("doc_id", "at", "n")
-    several = heads.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m")
-    left = heads.join(several, "m", "left_semi").select("head.*").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    ranked = source.join(left, "doc_id").mapInArrow(_positions, "a long, b long, doc_id long, at int")
-    ranked = stored(ranked)
-    first = ranked.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "at")).alias("head")).filter("k > 1")
-    single = ranked.join(first, ["a", "b"]).filter((F.col("doc_id") != F.col("head.doc_id")) | (F.col("at") != F.col("head.at"))).select("doc_id", "at", F.lit(1).alias("n"))
-    return settled.filter("later").select("doc_id", "at", "n").union(beyond).union(single)
+    found, again = _ranked(source.mapInArrow(_runs, _RUNS), _RUNS)
+    spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    snippets = stored(source.join(spans, "doc_id").mapInArrow(_snippets, "doc_id long, at int, n int, own binary"))
+    more, again = _ranked(snippets.mapInArrow(_parts, _PARTS), _PARTS)
+    most, _ = _ranked(again.select("doc_id", "at", "n", "own").mapInArrow(_strings, _RUNS), _RUNS)
+    return found.union(more).union(most)
 
 
 def cut_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:

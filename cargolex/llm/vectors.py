@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def pieces(batch: pa.RecordBatch, text: str, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batch of about `size` bytes of text (one row at least), the bytes and the rows' bounds in them."""
-    column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").cast(pa.large_string())
+    column = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()), b"")
     if not len(column):
         return
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

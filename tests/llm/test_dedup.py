@@ -97,10 +97,14 @@ def test_sorted_runs_settle_over_batches():
         t = pa.table({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("m", "c", "doc_id", "at", "n"))})
         return t.to_batches(max_chunksize=size)
 
-    rows = [(1, 1, 0, 0, 1), (2, 1, 0, 0, 1), (2, 1, 1, 0, 1), (2, 2, 1, 5, 1), (3, 1, 0, 0, 1), (4, 1, 0, 0, 1)]
-    for size in (1, 2, 3, 6):
+    rows = [(1, 1, 0, 0, 1), (1, 1, 3, 0, 1), (2, 1, 0, 0, 1), (2, 1, 1, 0, 1), (2, 2, 1, 5, 1), (3, 1, 0, 0, 1), (4, 1, 0, 0, 1), (4, 1, 9, 0, 1), (5, 1, 0, 0, 1), (5, 1, 1, 0, 1)]
+    want = [(1, 1, 0, 2), (1, 1, 3, 0), (2, 1, 0, 1), (2, 1, 1, 0), (2, 2, 1, 1), (4, 1, 9, 0), (5, 1, 0, 2), (5, 1, 1, 0)]
+    for size in (1, 2, 3, 4, 7, 10):
         got = [r for b in suffix_dedup._neighbours(batches(rows, size)) for r in b.to_pylist()]
-        assert [(r["m"], r["c"], r["doc_id"], r["later"]) for r in got] == [(1, 1, 0, False), (2, 1, 0, False), (2, 1, 1, True), (2, 2, 1, False), (4, 1, 0, False)]
+        assert sorted((r["m"], r["c"], r["doc_id"], r["kind"]) for r in got) == want, size
+    for n in range(1, 4):
+        got = [r["kind"] for b in suffix_dedup._neighbours(batches([(1, 1, i, 0, 1) for i in range(n)], 1)) for r in b.to_pylist()]
+        assert got == [2] + [0] * (n - 1)
 
 
 def test_components_of_a_chain_and_a_star(spark):
