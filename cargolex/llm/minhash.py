@@ -1,8 +1,9 @@
 """MinHash near-dedup: universal-hash minima, banding, signature verification, exact confirmation, components.
 
 Documents of equal shingle sets form one class first, so a text repeated a thousand times is signed and compared once.
-Candidates of a bucket are tied to its smallest member; after the components of these links are known, only pairs of a bucket that
-still lie in different components are compared, all of them. No group is ever gathered in one task.
+Candidates are first compared with one member of their buckets, the likeliest original; after the components of these links are known, only pairs
+of a bucket that still lie in different components are compared: all of them but those whose sizes and numbers of shared shingles
+rule out the threshold. No group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -97,6 +98,16 @@ def _compare(k: int, percent: int):
     return run
 
 
+def _sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for part, data, bounds in v.pieces(batch, "text"):
+                keys, counts = shingle_sets(data, bounds, len(part), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), v.lists(keys.view(np.int64), counts, pa.int64())], ["doc_id", "shingles"])
+
+    return run
+
+
 def _alike(percent: int) -> Column:
     """Whether sizes and signatures of _u and _v allow the threshold."""
     sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
@@ -121,10 +132,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("signature", i * ROWS + 1, ROWS), i))
     banded = heads.select("doc_id", F.explode(bands).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.count("*").alias("size")).filter("size > 1").select("band", "center")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = checkpoint(banded.join(shared, "band"))
-    asked = buckets.select("doc_id").distinct()
-    whole = checkpoint(texts(docs).join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition("doc_id"))
+    # the member that shares most buckets with most others is the likeliest original of a group of edited copies
+    degrees = checkpoint(buckets.groupBy("doc_id").agg(F.sum("size").alias("degree")))
+    whole = checkpoint(texts(docs).join(degrees, "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition("doc_id"))
+    centers = buckets.join(degrees, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("center"))
+    star = buckets.join(centers, "band").groupBy("doc_id").agg((-F.max("center")["id"]).alias("u")).filter(F.col("u") != F.col("doc_id")).select("u", F.col("doc_id").alias("v"))
 
     def side(name: str) -> DataFrame:
         return heads.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
@@ -135,16 +149,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         pairs = pairs.join(whole.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
         return checkpoint(pairs.select("u", "v", "text_u", "text_v").mapInArrow(_compare(shingle, percent), "u long, v long"))
 
-    star = buckets.groupBy("doc_id").agg(F.min("center").alias("u")).filter(F.col("u") != F.col("doc_id")).select("u", F.col("doc_id").alias("v"))
     links = confirmed(star)
     found = components(links)
     placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("band")
-    sizes = placed.join(mixed, "band").groupBy("band", "c").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
-    placed = checkpoint(placed.join(main, "band"))
-    few = placed.filter("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    rest = few.join(placed, "band").filter((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id"))))
+    placed = checkpoint(placed.join(mixed, "band").join(heads.select("doc_id", "n"), "doc_id"))
+    sizes = placed.groupBy("band", "c").agg(F.count("*").alias("size"), F.min("n").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.min("n").alias("least"))
+    # shingles that no other member of a mixed bucket has are in no intersection
+    own = whole.join(placed.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
+    own = own.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter("k = 1")
+    own = own.groupBy("doc_id").agg(F.count("*").alias("own"))
+    bound = (100 + percent) * F.col("q") >= percent * (F.col("n") + F.greatest(F.col("n") * percent / 100.0, F.col("least")))
+    placed = placed.join(own, "doc_id", "left").withColumn("q", F.col("n") - F.coalesce("own", F.lit(0))).join(main, "band").filter(bound).drop("own", "least")
+    placed = checkpoint(placed)
+    few = placed.filter("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("q").alias("qx"), F.col("n").alias("nx"))
+    possible = ((100 + percent) * F.least("q", "qx") >= percent * (F.col("n") + F.col("nx"))) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+    once = (F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id"))
+    rest = few.join(placed, "band").filter((F.col("c") != F.col("cx")) & once & possible)
     rest = rest.select(F.least("x", "doc_id").alias("u"), F.greatest("x", "doc_id").alias("v")).distinct()
     links = links.union(confirmed(rest))
     found = components(links).withColumnRenamed("node", "head")
