@@ -44,7 +44,7 @@ def replace(c: Column, pattern: str, by: str, flags: str = "i") -> Column:
 
 def before(c: Column, pattern: str, flags: str = "i") -> Column:
     """What stands before the first match; all of it without one."""
-    return F.get(F.split(c, rx(pattern, flags), 2), F.lit(0))
+    return F.regexp_replace(c, rx(f"(?:{pattern})(?s:.*)\\z", flags), "")
 
 
 def position(c: Column, pattern: str, flags: str = "i") -> Column:
@@ -59,7 +59,7 @@ def strip(c: Column, chars: str | None = None) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.split(c, LINE_END, -1)
+    return F.split(F.regexp_replace(c, LINE_END, "\n"), "\n", -1)
 
 
 def marked(c: Column, pattern: str, flags: str = "i") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import GARBAGE, MISSING
-from .rx import SPACE, has, let, replace, rx, strip
+from .rx import SPACE, find_all, has, let, replace, strip
 
 # Invisible characters, dashes, and Latin letters with their Cyrillic look-alikes.
 INVISIBLE = "­​‌‍﻿‪‬"
@@ -23,6 +23,7 @@ FOREIGN = "іїєґІЇЄҐ" + "àáâãäåèéêëìíîïòóôõöùúûüý
 _CYR, _ALL = "А-Яа-яЁё", "А-Яа-яЁёA-Za-z"
 _DASH = DASHES.replace("-", "\\-")
 _TO_FIX = ""
+_WORD = r"[^\s\x1c-\x1f]+"
 
 
 def strip_invisible(c: Column) -> Column:
@@ -36,7 +37,7 @@ def join_hyphen_breaks(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of horizontal spaces become one space, runs of line ends one line end."""
-    return replace(replace(c, "[ \t   ]+", " "), "\n{2,}", "\n")
+    return replace(replace(c, r"[ \t\xa0\x{2009}\x{202f}]+", " "), "\n{2,}", "\n")
 
 
 def fix_lookalikes(c: Column) -> Column:
@@ -53,7 +54,7 @@ def normalize(c: Column) -> Column:
 
 
 def single_line(c: Column) -> Column:
-    return strip(replace(replace(c, "\n+", " "), "[ \t   ]+", " "))
+    return strip(replace(replace(c, "\n+", " "), r"[ \t\xa0\x{2009}\x{202f}]+", " "))
 
 
 def is_garbage(c: Column) -> Column:
@@ -88,7 +89,7 @@ def is_garbage_token(token: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, rx(f"{SPACE}+"), -1), lambda x: x != "")
+    return find_all(c, _WORD, 0, "")
 
 
 def noise_share(line: Column) -> Column:
@@ -106,8 +107,7 @@ def is_noise_line(line: Column, ratio: float = 0.5) -> Column:
 
 def strip_garbage_tokens(c: Column) -> Column:
     """Garbage tokens dropped, the white space around them kept, runs of it then one space."""
-    parts = F.split(c, rx(rf"(?<={SPACE})(?=[^\s\x1c-\x1f])|(?<=[^\s\x1c-\x1f])(?={SPACE})"), -1)
-    kept = F.filter(parts, lambda x: has(x, rf"^{SPACE}*$", "") | ~is_garbage_token(x))
+    kept = F.filter(find_all(c, f"{_WORD}|{SPACE}+", 0, ""), lambda x: has(x, rf"^{SPACE}*$", "") | ~is_garbage_token(x))
     return strip(replace(F.array_join(kept, ""), rf"{SPACE}{{2,}}", " "))
 
 

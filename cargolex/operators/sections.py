@@ -25,7 +25,7 @@ ROLE_TITLES = [
 STOP_TITLES = ["сопроводительные документы", "указания грузоотправителя", "условия перевозки", "информация о принятии", "оговорки и замечания", "прочие условия", "переадресовк", "стоимость услуг", "стоимость перевозки", "дата составления", "отметки", "выдача груза", "сдача груза"]
 ROLE_BY_NUMBER = {"3": "cargo", "6": "carrier", "7": "vehicle", "8": "reception"}
 _KNOWN = "|".join([t for _, titles in ROLE_TITLES for t in titles] + STOP_TITLES)
-NUMBERED = r"^\s*([0-9]{1,2})\s*[.) ]\s*([А-ЯЁа-яёA-Za-z][^\n]{0,80})"
+NUMBERED = r"^\s*([0-9]{1,2})\s*[.)\xa0]\s*([А-ЯЁа-яёA-Za-z][^\n]{0,80})"
 NUMBERED_KNOWN = rf"^\s*([0-9]{{1,2}})\s+((?:{_KNOWN}))\b[^\n]{{0,80}}$"
 BARE_KNOWN = rf"^\s*((?:{_KNOWN}))\b[^\n]{{0,80}}$"
 # How OCR misreads the two long titles that begin like "груз".
