@@ -115,6 +115,16 @@ def _alike(percent: int) -> Column:
     return sizes & (equal >= LEAST_EQUAL)
 
 
+def _first_meeting(band: Column) -> Column:
+    """Whether signatures sx and signature are alike enough and agree on no whole band before this one."""
+
+    def judged(equal: Column) -> Column:
+        whole = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < band) & F.forall(F.slice(equal, i * ROWS + 1, ROWS), lambda x: x == 1))
+        return F.when(F.aggregate(equal, F.lit(0), lambda acc, x: acc + x) >= LEAST_EQUAL, ~whole).otherwise(False)
+
+    return F.get(F.transform(F.array(F.zip_with("sx", "signature", lambda a, b: (a == b).cast("int"))), judged), F.lit(0))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -131,7 +141,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     heads = checkpoint(signed.select("doc_id", F.col("n_shingles").alias("n"), "signature").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("signature", i * ROWS + 1, ROWS), i))
-    banded = heads.select("doc_id", F.explode(bands).alias("band"))
+    banded = heads.select("doc_id", F.posexplode(bands).alias("b", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = checkpoint(banded.join(shared, "band"))
     # the member that shares most buckets with most others is the likeliest original of a group of edited copies
@@ -143,15 +153,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     def side(name: str) -> DataFrame:
         return heads.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("v"), "v").join(side("u"), "u").filter(_alike(percent)).select("u", "v")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(side("v"), "v").join(side("u"), "u").filter(_alike(percent)).select("u", "v")
         pairs = pairs.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
         pairs = pairs.join(whole.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
         return checkpoint(pairs.select("u", "v", "text_u", "text_v").mapInArrow(_compare(shingle, percent), "u long, v long"))
 
-    links = confirmed(star)
+    links = confirmed(alike(star))
     found = components(links)
-    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "b", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("band")
     placed = checkpoint(placed.join(mixed, "band").join(heads.select("doc_id", "n"), "doc_id"))
     sizes = placed.groupBy("band", "c").agg(F.count("*").alias("size"), F.min("n").alias("n"))
@@ -163,11 +175,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     bound = (100 + percent) * F.col("q") >= percent * (F.col("n") + F.greatest(F.col("n") * percent / 100.0, F.col("least")))
     placed = placed.join(own, "doc_id", "left").withColumn("q", F.col("n") - F.coalesce("own", F.lit(0))).join(main, "band").filter(bound).drop("own", "least")
     placed = checkpoint(placed)
-    few = placed.filter("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("q").alias("qx"), F.col("n").alias("nx"))
+    signed_ = placed.join(heads.select("doc_id", "signature"), "doc_id")
+    few = signed_.filter("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("q").alias("qx"), F.col("n").alias("nx"), F.col("signature").alias("sx"))
     possible = ((100 + percent) * F.least("q", "qx") >= percent * (F.col("n") + F.col("nx"))) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
     once = (F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id"))
-    rest = few.join(placed, "band").filter((F.col("c") != F.col("cx")) & once & possible)
-    rest = rest.select(F.least("x", "doc_id").alias("u"), F.greatest("x", "doc_id").alias("v")).distinct()
+    # signatures are verified where pairs meet, and a pair that meets in several buckets comes out of the first of them
+    rest = few.join(signed_, "band").filter((F.col("c") != F.col("cx")) & once & possible & F.when(possible, _first_meeting(F.col("b"))).otherwise(False))
+    rest = rest.select(F.least("x", "doc_id").alias("u"), F.greatest("x", "doc_id").alias("v"))
     links = links.union(confirmed(rest))
     found = components(links).withColumnRenamed("node", "head")
     out = member.join(found, "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
