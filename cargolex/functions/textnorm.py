@@ -115,6 +115,6 @@ def clean_value(c: Column) -> Column:
     """A value without the separators around it; the sentinel for what is empty or garbage."""
 
     def judged(own: Column) -> Column:
-        return F.when(own == "", MISSING).when(is_garbage(own), GARBAGE).otherwise(own)
+        return F.when(F.coalesce(own, F.lit("")) == "", MISSING).when(is_garbage(own), GARBAGE).otherwise(own)
 
     return F.coalesce(let(strip(c, r"\s:;,.\-–—|"), judged), F.lit(MISSING))
