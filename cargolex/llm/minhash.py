@@ -2,8 +2,8 @@
 
 Documents of equal shingle sets form one class first, so a text repeated a thousand times is signed and compared once.
 Candidates are first compared with one member of their buckets, the likeliest original; after the components of these links are known, only pairs
-of a bucket that still lie in different components are compared: all of them but those whose sizes and numbers of shared shingles
-rule out the threshold. No group is ever gathered in one task.
+of a bucket that still lie in different components are compared: all of them but those whose sizes, numbers of shared shingles, distances
+from that member or signatures rule out the threshold. No group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def _sign(k: int):
 
 
 def _compare(k: int, percent: int):
-    """Of (u, v, text_u, text_v) the pairs whose full sets are similar enough."""
+    """Of (u, v, text_u, text_v) the pairs with their similarity, and whether their full sets are similar enough."""
 
     def run(batches):
         for batch in batches:
@@ -88,12 +88,14 @@ def _compare(k: int, percent: int):
                 for p, d, b in v.pieces(ours, "text_u"):
                     s, n = shingle_sets(d, b, len(p), k)
                     sets += np.split(s, np.cumsum(n)[:-1])
-                keep = []
+                keep, share = [], []
                 for i, theirs_i in enumerate(np.split(theirs, np.cumsum(n_theirs)[:-1])):
                     a = sets[ours_row[i]]
                     both = len(np.intersect1d(a, theirs_i, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(a) + len(theirs_i) - both))
-                yield part.select(["u", "v"]).filter(pa.array(keep))
+                    union = len(a) + len(theirs_i) - both
+                    keep.append(both > 0 and 100 * both >= percent * union)
+                    share.append(both / max(union, 1))
+                yield pa.RecordBatch.from_arrays([*part.select(["u", "v"]).columns, pa.array(share, pa.float64()), pa.array(keep, pa.bool_())], ["u", "v", "jaccard", "linked"])
 
     return run
 
@@ -108,13 +110,6 @@ def _sets(k: int):
     return run
 
 
-def _alike(percent: int) -> Column:
-    """Whether sizes and signatures of _u and _v allow the threshold."""
-    sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    equal = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    return sizes & (equal >= LEAST_EQUAL)
-
-
 def _first_meeting(band: Column) -> Column:
     """Whether signatures sx and signature are alike enough and agree on no whole band before this one."""
 
@@ -150,18 +145,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     centers = buckets.join(degrees, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("center"))
     star = buckets.join(centers, "band").groupBy("doc_id").agg((-F.max("center")["id"]).alias("u")).filter(F.col("u") != F.col("doc_id")).select("u", F.col("doc_id").alias("v"))
 
-    def side(name: str) -> DataFrame:
-        return heads.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("v"), "v").join(side("u"), "u").filter(_alike(percent)).select("u", "v")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
         pairs = pairs.join(whole.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-        return checkpoint(pairs.select("u", "v", "text_u", "text_v").mapInArrow(_compare(shingle, percent), "u long, v long"))
+        return checkpoint(pairs.select("u", "v", "text_u", "text_v").mapInArrow(_compare(shingle, percent), "u long, v long, jaccard double, linked boolean"))
 
-    links = confirmed(alike(star))
+    stars = compared(star)
+    links = stars.filter("linked").select("u", "v")
+    # how far each member is from the center it was compared with; a center is at its own place
+    far = stars.select(F.col("v").alias("doc_id"), F.col("u").alias("hub"), (1 - F.col("jaccard")).alias("d"))
+    far = far.union(stars.select(F.col("u").alias("doc_id"), F.col("u").alias("hub"), F.lit(0.0).alias("d")).distinct().join(far.select("doc_id"), "doc_id", "left_anti"))
     found = components(links)
     placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "b", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("band")
@@ -175,14 +168,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     bound = (100 + percent) * F.col("q") >= percent * (F.col("n") + F.greatest(F.col("n") * percent / 100.0, F.col("least")))
     placed = placed.join(own, "doc_id", "left").withColumn("q", F.col("n") - F.coalesce("own", F.lit(0))).join(main, "band").filter(bound).drop("own", "least")
     placed = checkpoint(placed)
-    signed_ = placed.join(heads.select("doc_id", "signature"), "doc_id")
-    few = signed_.filter("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("q").alias("qx"), F.col("n").alias("nx"), F.col("signature").alias("sx"))
+    signed_ = placed.join(heads.select("doc_id", "signature"), "doc_id").join(far, "doc_id", "left")
+    few = signed_.filter("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("q").alias("qx"), F.col("n").alias("nx"), F.col("signature").alias("sx"), F.col("hub").alias("hx"), F.col("d").alias("dx"))
     possible = ((100 + percent) * F.least("q", "qx") >= percent * (F.col("n") + F.col("nx"))) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
     once = (F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id"))
+    # the Jaccard distance obeys the triangle inequality, so two members whose distances from one center differ by more cannot be linked
+    possible = possible & F.coalesce((F.col("hub") != F.col("hx")) | (F.abs(F.col("d") - F.col("dx")) <= 1 - percent / 100 + 1e-9), F.lit(True))
     # signatures are verified where pairs meet, and a pair that meets in several buckets comes out of the first of them
     rest = few.join(signed_, "band").filter((F.col("c") != F.col("cx")) & once & possible & F.when(possible, _first_meeting(F.col("b"))).otherwise(False))
     rest = rest.select(F.least("x", "doc_id").alias("u"), F.greatest("x", "doc_id").alias("v"))
-    links = links.union(confirmed(rest))
+    links = links.union(compared(rest).filter("linked").select("u", "v"))
     found = components(links).withColumnRenamed("node", "head")
     out = member.join(found, "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
