@@ -30,12 +30,18 @@ NAMES = {
     "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license v2 0"],
     "CC0-1.0": ["cc0 1 0 universal", "creative commons zero v1 0 universal"],
     "CC-BY-4.0": ["creative commons attribution 4 0 international license", "creative commons attribution 4 0 license", "cc by 4 0"],
-    "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 international license", "cc by sa 4 0"],
+    "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0 license", "cc by sa 4 0"],
+    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0 license", "cc by nc 4 0"],
+    "CC-BY-ND-4.0": ["creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives 4 0 license", "cc by nd 4 0"],
+    "CC-BY-NC-SA-4.0": ["creative commons attribution noncommercial sharealike 4 0 international license", "creative commons attribution noncommercial sharealike 4 0 license", "cc by nc sa 4 0"],
+    "CC-BY-NC-ND-4.0": ["creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons attribution noncommercial noderivatives 4 0 license", "cc by nc nd 4 0"],
     "Unlicense": ["unlicense"],
 }
 # How notices begin and end around a name.
 OPENINGS = ["licensed under", "released under", "distributed under", "available under", "published under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this file is licensed under", "this program is licensed under", "this software is released under", "this code is licensed under"]
 ARTICLES = ["the ", "a ", "", "the terms of the "]
+# GNU licenses with later versions: word before "general", version, identifier; their headers have a subject of their own before "you can".
+GNU = [("", "2", "gpl2-or-later"), ("", "3", "gpl3-or-later"), ("lesser ", "2 1", "lgpl21-or-later"), ("lesser ", "3", "lgpl3-or-later"), ("affero ", "3", "agpl3-or-later")]
 # Sentences of license texts.
 SENTENCES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
@@ -51,8 +57,15 @@ SENTENCES = {
     "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "you may not use this file except in compliance with the license": "apache-use",
     "you may obtain a copy of the license at": "apache-copy",
+    "http www apache org licenses license 2 0": "apache-url",
+    "https www apache org licenses license 2 0": "apache-url",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-url",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-url",
+    "the asf licenses this file to you under the apache license version 2 0": "named:Apache-2.0",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-or-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-or-later",
+    **{f"you can redistribute it and or modify it under the terms of the gnu {gnu}general public license as published by the free software foundation either version {v} of the license or at your option any later version": known for gnu, v, known in GNU},
+    **{f"you can redistribute it and or modify it under the terms of the gnu general public license version {v} as published by the free software foundation": f"named:GPL-{v}.0" for v in (2, 3)},
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-form",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
 }
@@ -64,6 +77,10 @@ RULES = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl3-or-later"]),
     ("GPL-2.0-or-later", ["gpl2-or-later"]),
+    ("LGPL-2.1-or-later", ["lgpl21-or-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-or-later"]),
+    ("Apache-2.0", ["apache-use", "apache-url"]),
     ("MPL-2.0", ["mpl2-form"]),
     ("Unlicense", ["unlicense-grant"]),
     *((name, [f"named:{name}"]) for name in NAMES),
@@ -77,11 +94,24 @@ HINT = r"licens|licence|gpl|copyright|permission|redistribut|warrant|cc0|cc by|c
 def known_sentences() -> dict[str, str]:
     notices = {f"{o} {a}{n}": f"named:{name}" for name, names in NAMES.items() for n in names for o in OPENINGS for a in ARTICLES}
     tags = {f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}": f"named:{name}" for name in NAMES}
+    for name, known in {"GPL-2.0": "gpl2", "GPL-3.0": "gpl3", "LGPL-2.1": "lgpl21", "LGPL-3.0": "lgpl3", "AGPL-3.0": "agpl3"}.items():
+        tag = f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}"
+        tags |= {f"{tag} only": f"named:{name}", f"{tag} or later": f"{known}-or-later"}
     return notices | tags | SENTENCES
 
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINES, _END = r"[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*", r"[.!?;:]+[ \t\r\n]+|[.!?;:]+$|\n"
+#: A license tag: each license of its expression is a sentence (group 1), whatever stands around it. An exception goes with its license.
+_TAG = r"(?:spdx-license-identifier:[ \t]*|\G(?!^)[ \t]+(?:and|or)[ \t]+)[(]*([a-z0-9.+-]*[a-z0-9+-])[)]*(?:[ \t]+with[ \t]+[a-z0-9.+-]*[a-z0-9+-][)]*)?"
+#: Characters inside of known sentences that would cut them, and the name that notices give the license.
+_INSIDE = r"(?<=\bv)\.(?=[ \t\r\n*#/]+[0-9])|(?<=software foundation)[;:](?=[ \t\r\n*#/]+either )|\(the [\"“”']*licen[sc]e[\"“”']*\)"
+
+
+def _uncut(text: Column) -> Column:
+    """A text whose known sentences the cut leaves whole."""
+    later = F.regexp_replace(text, r"(?<=gpl-[0-9]\.[0-9])\+", "-or-later")
+    return F.regexp_replace(F.regexp_replace(later, _TAG, ". spdx-license-identifier $1. "), _INSIDE, "")
 
 
 def _sentences(text: Column) -> Column:
@@ -102,19 +132,21 @@ def _next(ids: Column, wanted: str, after: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences (license sentences known, in the reading that knows more), sentence_ids (comma-joined) and licenses
-    (comma-joined, in the order of the rules; empty if none).
+    (those of both readings, comma-joined, in the order of the rules; empty if none).
 
     Null, empty and other texts without license words have none; a sentence that is repeated counts each time; repeated rows are scanned alike;
     an empty table gives an empty one; other columns are not looked at.
     """
     known = F.map_from_arrays(F.array(*map(F.lit, known_sentences())), F.array(*map(F.lit, known_sentences().values())))
     df = texts(docs).select("doc_id", F.translate(F.coalesce("text", F.lit("")), _UPPER, _SMALL).alias("t"))
-    df = df.select("doc_id", F.when(F.col("t").rlike(HINT), F.col("t")).alias("t"))
+    df = df.select("doc_id", F.when(F.col("t").rlike(HINT), _uncut(F.col("t"))).alias("t"))
     joined = F.replace(F.regexp_replace("t", _LINES, ". "), F.lit("\n"), F.lit(" "))
     df = df.select("doc_id", _sentences(F.col("t")).alias("a"), _sentences(joined).alias("b"))
     ids = lambda c: F.coalesce(F.filter(F.transform(c, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    df = df.select("doc_id", ids("a").alias("a"), ids("b").alias("b")).select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"))
-    hits = F.array_compact(F.array(*(F.when(_followed(F.col("ids"), wanted), F.lit(name)) for name, wanted in RULES)))
+    df = df.select("doc_id", ids("a").alias("a"), ids("b").alias("b"))
+    df = df.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"), F.array("a", "b").alias("readings"))
+    has = lambda wanted: lambda ids: _followed(ids, wanted)
+    hits = F.array_compact(F.array(*(F.when(F.exists("readings", has(wanted)), F.lit(name)) for name, wanted in RULES)))
     out = df.select("doc_id", "ids", F.array_distinct(F.when(F.size("ids") > 0, hits).otherwise(F.array().cast("array<string>"))).alias("found"))
     for short, long in INSTEAD.items():
         out = out.withColumn("found", F.when(F.array_contains("found", long), F.array_remove("found", short)).otherwise(F.col("found")))

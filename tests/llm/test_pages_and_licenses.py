@@ -103,3 +103,41 @@ def test_licenses(spark):
     got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
     assert got == {i: x for i, (_, x) in cases.items()} | {9: got[9]}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+"""
+GNU = """    %s is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU %sGeneral Public License as published by
+    the Free Software Foundation%s either version %s of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+"""
+MPL = """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_official_headers(spark):
+    cases = [
+        ("# SPDX-License-Identifier: MIT\nimport x", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"), ("// SPDX-License-Identifier: LGPL-2.1+\n", "LGPL-2.1-or-later"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nx", "MIT,Apache-2.0,BSD-3-Clause"), ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note. And on", "GPL-2.0"), ("SPDX-License-Identifier: MIT-0", ""),
+        (APACHE, "Apache-2.0"), (APACHE.split("\n", 1)[1], "Apache-2.0"), (APACHE.replace("# ", "").replace("\n#\n", "\n"), "Apache-2.0"),
+        (APACHE.replace("Apache License", "Educational Community License").replace("http://www.apache.org/licenses/LICENSE-2.0", "http://opensource.org/licenses/ECL-2.0"), ""),
+        (GNU % ("This program", ":", "", ",", "3"), "GPL-3.0-or-later"), (GNU % ("This program", ";", "", ";", "2"), "GPL-2.0-or-later"), (GNU % ("Foo", ":", "", ",", "3"), "GPL-3.0-or-later"),
+        (GNU % ("This library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1-or-later"), (GNU % ("This program", ":", "Affero ", ",", "3"), "AGPL-3.0-or-later"), (GNU % ("This program", ":", "", ",", "4"), ""),
+        (GNU % ("A", ";", "", ";", "2") + GNU % ("B", ":", "Lesser ", ";", "3"), "GPL-2.0-or-later,LGPL-3.0-or-later"), (MPL, "MPL-2.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"), ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"),
+        ("Released under the MIT License\nwithout end\n\n" + MPL, "MPL-2.0,MIT"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert [(cases[i][0], got[i]) for i in range(len(cases))] == cases
