@@ -1,6 +1,6 @@
 """PII by offset-preserving deobfuscation.
 
-Plain identifiers are found in the text as it is. Where a text shows signs of disguise, a chain of transducers rewrites it: homoglyphs and
+Plain identifiers are found in the text as it is. Then a chain of transducers rewrites it: homoglyphs and
 foreign digits to ASCII, invisible characters to nothing, spelled digits to digits, at and dot disguises to @ and full stops. Each
 character of the rewritten text keeps the source characters that it stands for, so what is detected there is mapped back to a span
 of the source.
@@ -37,8 +37,6 @@ _SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "plus": "+",
 }
-#: Endings of hosts that make "name at host.ending" an address.
-_ENDINGS = "com|org|net|edu|gov|io|info|de|fr|es|uk"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,14 +47,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = r"(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + r")"
 _BETWEEN = r"[ ,;-]{1,3}"
 _RUN = re.compile(rf"(?<![^\W_]){_WORD}(?:{_BETWEEN}{_WORD}){{3,}}(?![^\W_])", re.I)
-_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@|arroba)[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]+(?:[.]| dot | ?[\[({<] ?(?:dot|[.]) ?[\])}>]))", re.I)
-_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|[.]|punkt|point|punto)[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
+_BRACKETED = r"[ ]?[\[({<][ ]?(?:%s)[ ]?[\])}>][ ]?"
+_DOTS = _BRACKETED % "dot|[.]|punkt|point|punto" + "| dot (?=[A-Za-z0-9])"
+#: A host of "name at host": it has a disguised dot, or its ending is in one case or well known (not "at noon.Then", "at e.g." or "at 3.5").
+_HOST = rf"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*?(?:{_DOTS}|\.(?:(?-i:[a-z]{{2,}}|[A-Z]{{2,}})|xn--[a-z0-9-]+|com|org|net|edu|gov|info|io|uk)(?![A-Za-z0-9-]|\.[A-Za-z0-9-]))"
+_AT = re.compile(_BRACKETED % "at|@|arroba" + rf"|(?<=[A-Za-z0-9]) at (?={_HOST})", re.I)
+_DOT = re.compile(_BRACKETED % "dot|[.]|punkt|point|punto" + "|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
 _ODD = "".join(map(re.escape, [*_LOOKALIKES, *_INVISIBLE])) + "！-～٠-٩۰-۹०-९"
-_SIGNS = re.compile(
-    rf"[{_ODD}]|[\[({{<] ?(?:[aA][tT]|[aA]rroba|@|[dD][oO][tT]|\.|[pP]unkt|[pP]oint|[pP]unto) ?[\])}}>]| (?:at|AT|At) [A-Za-z0-9-]+(?: dot | DOT |\.(?:{_ENDINGS})\b|(?:\.[A-Za-z0-9-]+)+\.(?:{_ENDINGS})\b)"
-)
-#: Three names of digits in a row; a run's first letters let the scan skip most words.
-_SPELLED_SIGN = re.compile(rf"(?<![^\W_])(?=[zontfseuhdqcpZONTFSEUHDQCPvVaA]){_WORD}{_BETWEEN}{_WORD}{_BETWEEN}{_WORD}", re.I)
 
 
 def _digits(s: str) -> list[int]:
@@ -100,22 +97,20 @@ class Rewritten:
     """A text and, for each of its characters, the source characters from `low` to `high` (exclusive) it stands for."""
 
     def __init__(self, text: str):
-        self.text, self.low, self.high = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.low, self.high = text, range(len(text)), range(1, len(text) + 1)
 
     def replaced(self, edits: list[tuple[int, int, str]]) -> Rewritten:
         """Characters a to b become s; each character of s stands for all of them."""
         if not edits:
             return self
-        out = Rewritten("")
-        parts, at = [], 0
+        parts, low, high, at = [], [], [], 0
         for a, b, s in edits:
             parts += [self.text[at:a], s]
-            out.low += self.low[at:a] + [self.low[a]] * len(s)
-            out.high += self.high[at:a] + [self.high[b - 1]] * len(s)
+            low += [*self.low[at:a], *[self.low[a]] * len(s)]
+            high += [*self.high[at:a], *[self.high[b - 1]] * len(s)]
             at = b
-        out.text = "".join(parts) + self.text[at:]
-        out.low += self.low[at:]
-        out.high += self.high[at:]
+        out = Rewritten("".join(parts) + self.text[at:])
+        out.low, out.high = [*low, *self.low[at:]], [*high, *self.high[at:]]
         return out
 
 
@@ -145,15 +140,13 @@ def _spelled(text: str):
 def rewrite(text: str) -> Rewritten:
     r = Rewritten(text)
     r = r.replaced([(m.start(), m.end(), _fold(m[0])) for m in _FOLDABLE.finditer(r.text)])
-    r = r.replaced([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
     r = r.replaced([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
+    r = r.replaced([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
     return r.replaced(list(_spelled(r.text)))
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further spans of the source: identifiers of the rewritten text that are not there as they are and touch no plain one."""
-    if not (_SIGNS.search(text) or _SPELLED_SIGN.search(text)):
-        return []
     r = rewrite(text)
     if r.text == text:
         return []

@@ -45,6 +45,15 @@ def test_disguises_are_mapped_back():
     assert spans("192[.]168[.]0[.]1") == {("ip", "192[.]168[.]0[.]1")}
 
 
+def test_disguises_without_other_signs():
+    for text in ("jane@example dot com", "jane at example.it", "jane at mail.example.nl", "jane (ARROBA) host (PUNTO) es", "jane at example Dot com", "jane AT EXAMPLE.COM", "Jane at Example dot Com", "Jane at Example.Com"):
+        for more in ("", " \u00a0–"):
+            assert spans(text + more) == {("email", text)}, text
+    assert spans("192 dot 168 dot 0 dot 1") == {("ip", "192 dot 168 dot 0 dot 1")}
+    for text in ("we met at noon.Then on", "look at 3.5 percent", "see at e.g. home", "I am at home – one.", "at 12.30 and"):
+        assert not spans(text), text
+
+
 def test_clean_prose_is_left_alone():
     for text in ("Look at example. One two three four five six seven!", "meet at noon. Then go", "we are at home (at) last", "one dot two", ""):
         assert not spans(text)
