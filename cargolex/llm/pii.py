@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,15 +147,20 @@ def rewrite(text: str) -> Rewritten:
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further spans of the source: identifiers of the rewritten text that are not there as they are and touch no plain one."""
+    """Further spans of the source: identifiers of the rewritten text that are not there as they are and that no plain one of their kind covers."""
     r = rewrite(text)
     if r.text == text:
         return []
-    taken = sorted((a, b) for a, _, b in base)
+    starts, ends = [[] for _ in KINDS], [[] for _ in KINDS]
+    for a, kind, b in base:
+        starts[kind].append(a)
+        ends[kind].append(b)
     out = []
     for a, kind, b in plain(r.text):
         low, high = r.low[a], r.high[b - 1]
-        if text[low:high] != r.text[a:b] and not any(x < high and low < y for x, y in taken):
+        # plain spans of a kind do not overlap: the last that starts by low is the only one that can cover
+        last = bisect_right(starts[kind], low) - 1
+        if text[low:high] != r.text[a:b] and (last < 0 or ends[kind][last] < high):
             out.append((low, kind, high))
     return out
 

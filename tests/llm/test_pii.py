@@ -54,6 +54,12 @@ def test_disguises_without_other_signs():
         assert not spans(text), text
 
 
+def test_partly_disguised():
+    for kind, text in (("email", "jаne.doe@example.com"), ("email", "ja\u200bne.doe@example.com"), ("email", "jane@mail.exаmple.com"), ("ip", "192.168.1.1０"), ("email", "jane@mail.example dot com")):
+        assert pii.plain(text) and spans(text) == {(kind, text)}, text
+    assert not spans("a\u00a0– jane.doe@example.com 10.0.0.1 one")
+
+
 def test_clean_prose_is_left_alone():
     for text in ("Look at example. One two three four five six seven!", "meet at noon. Then go", "we are at home (at) last", "one dot two", ""):
         assert not spans(text)
