@@ -46,15 +46,38 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _WORD = r"(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + r")"
-_BETWEEN = r"[ ,;-]{1,3}"
-_RUN = re.compile(rf"(?<![^\W_]){_WORD}(?:{_BETWEEN}{_WORD}){{3,}}(?![^\W_])", re.I)
+#: A name of a digit that stands alone; its first letter lets the scan skip most words.
+_NUMBER = re.compile(rf"(?=[zontfseuhdqcpva])(?<![^\W_]){_WORD}(?![^\W_])", re.I)
+#: Up to so many of these characters may stand between a name of a digit and what it touches; those of _MERGED fall away between names.
+_GAP, _NEAR, _MERGED = 3, frozenset(" ,;().-"), frozenset(" ,;-")
+#: What re.I takes for an i, too.
+_TURKISH = {0x130: "i", 0x131: "i"}
+_DIGIT = frozenset("0123456789+")
 _BRACKETED = r"[ ]?[\[({<][ ]?(?:%s)[ ]?[\])}>][ ]?"
 _DOTS = _BRACKETED % "dot|[.]|punkt|point|punto" + "| dot (?=[A-Za-z0-9])"
 #: A host of "name at host": it has a disguised dot, or its ending is in one case or well known (not "at noon.Then", "at e.g." or "at 3.5").
 _HOST = rf"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*?(?:{_DOTS}|\.(?:(?-i:[a-z]{{2,}}|[A-Z]{{2,}})|xn--[a-z0-9-]+|com|org|net|edu|gov|info|io|uk)(?![A-Za-z0-9-]|\.[A-Za-z0-9-]))"
 _AT = re.compile(_BRACKETED % "at|@|arroba" + rf"|(?<=[A-Za-z0-9]) at (?={_HOST})", re.I)
 _DOT = re.compile(_BRACKETED % "dot|[.]|punkt|point|punto" + "|(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
-_ODD = "".join(map(re.escape, [*_LOOKALIKES, *_INVISIBLE])) + "！-～٠-٩۰-۹०-९"
+
+
+def _folds() -> dict[str, str]:
+    """What each foldable character becomes: digits of any script, letters that NFKC makes ASCII, look-alikes; invisible ones nothing."""
+    out = {}
+    # no foldable character is among the ideographs and syllables left out
+    for c in map(chr, [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)]):
+        d, n = unicodedata.decimal(c, None), unicodedata.normalize("NFKC", c)
+        if d is not None:
+            out[c] = str(d)
+        elif n.isascii() and n.isalpha() and (len(n) == 1 or c.isalpha()):
+            out[c] = n
+    out |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    return out | _LOOKALIKES | dict.fromkeys(_INVISIBLE, "")
+
+
+_FOLDS = _folds()
+#: All foldable characters, and others beyond the first plane, where a set of many characters would be searched one by one.
+_FOLDABLE = re.compile("[" + "".join(re.escape(c) for c in _FOLDS if c < "\U00010000") + "\U00010000-\U0001ffff]")
 
 
 def _digits(s: str) -> list[int]:
@@ -115,32 +138,35 @@ class Rewritten:
         return out
 
 
-def _fold(c: str) -> str:
-    if c in _INVISIBLE:
-        return ""
-    if c in _LOOKALIKES:
-        return _LOOKALIKES[c]
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
-    d = unicodedata.decimal(c, None)
-    return c if d is None else str(d)
-
-
-_FOLDABLE = re.compile(rf"[{_ODD}]")
-
-
 def _spelled(text: str):
-    for m in _RUN.finditer(text):
-        last = m.start()
-        for w in re.finditer(_WORD, m[0], re.I):
-            a, b = m.start() + w.start(), m.start() + w.end()
-            yield last if last > m.start() else a, b, _SPELLED[w[0].lower()]
-            last = b
+    """Names of digits that touch a digit, a plus or another name; what is between two names goes, between a name and a digit it is one character.
+
+    A full stop and a space part sentences, and a name with a capital alone after a digit begins one.
+    """
+    names = [(m.start(), m.end(), _SPELLED[m[0].translate(_TURKISH).lower()]) for m in _NUMBER.finditer(text)]
+    for i, (a, b, digit) in enumerate(names):
+        low, high = a, b
+        while low > 0 and a - low < _GAP and text[low - 1] in _NEAR:
+            low -= 1
+        while high < len(text) and high - b < _GAP and text[high] in _NEAR:
+            high += 1
+        whole, ended = ". " not in text[low:a], ". " in text[b:high]
+        named = whole and i > 0 and names[i - 1][1] >= low
+        after = not ended and high < len(text) and text[high] in _DIGIT
+        more = after or not ended and i + 1 < len(names) and names[i + 1][0] <= high
+        before = whole and low > 0 and text[low - 1] in _DIGIT and (named or more or not text[a:b].istitle())
+        if not (named or before or more):
+            continue
+        if low < a and _MERGED.issuperset(text[low:a]) and (named or before and text[low:a] not in " -"):
+            yield low, a, "" if named else " "
+        yield a, b, digit
+        if b < high and after and _MERGED.issuperset(text[b:high]) and text[b:high] not in " -":
+            yield b, high, " "
 
 
 def rewrite(text: str) -> Rewritten:
     r = Rewritten(text)
-    r = r.replaced([(m.start(), m.end(), _fold(m[0])) for m in _FOLDABLE.finditer(r.text)])
+    r = r.replaced([(m.start(), m.end(), _FOLDS[m[0]]) for m in _FOLDABLE.finditer(r.text) if m[0] in _FOLDS])
     r = r.replaced([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
     r = r.replaced([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
     return r.replaced(list(_spelled(r.text)))

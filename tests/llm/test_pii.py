@@ -60,6 +60,25 @@ def test_partly_disguised():
     assert not spans("a\u00a0– jane.doe@example.com 10.0.0.1 one")
 
 
+def test_spelled_digits_in_short_runs():
+    ips = ("one nine two dot one six eight dot zero dot one", "one two seven dot zero dot zero dot one", "192.168.zero.one", "uno.zwei.trois.4")
+    for kind, text in [("ip", x) for x in ips] + [("phone", "plus four nine 151 2345678"), ("phone", "+49 one five 1 2345678"), ("card", "4539 1488 0343 64 six seven"), ("card", "4539 1488 0343 64, six - seven"), ("card", "four five 39 1488 0343 6467")]:
+        for more in ("", " and", ". One"):
+            assert spans(text + more) == {(kind, text)}, text
+    assert not spans("call +1 (848) 555-1373 Un jour, +1 (848) 555-1373. Two")
+    assert not spans("three, two dot one. One plus one is two; ſix SİX fıve one in 2 at 3 or four.")
+
+
+def test_foreign_digits_and_letters():
+    styled = lambda text, a, zero: "".join(chr(ord(c) - 97 + a) if c.isalpha() else chr(ord(c) - 48 + zero) if c.isdigit() else c for c in text)
+    for zero in (0x9E6, 0xE50, 0x1D7CE, 0x660):
+        assert spans("x " + styled("192.168.0.1", 0, zero)) == {("ip", styled("192.168.0.1", 0, zero))}
+    for a in (0x1D41A, 0x1D5BA, 0x24D0):
+        assert spans("x " + styled("jane@mail.com", a, 0)) == {("email", styled("jane@mail.com", a, 0))}
+    assert spans("ﬁona@exa\U0001d426ple.com") == {("email", "ﬁona@exa\U0001d426ple.com")}
+    assert not spans("x² ½ 😀 №5 ª.º")
+
+
 def test_clean_prose_is_left_alone():
     for text in ("Look at example. One two three four five six seven!", "meet at noon. Then go", "we are at home (at) last", "one dot two", ""):
         assert not spans(text)
