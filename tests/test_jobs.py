@@ -98,6 +98,18 @@ def test_sinks_there_and_back(spark, tmp_path):
     assert text[0] == "=" * 70 and any("ERROR" in x for x in text)
 
 
+def test_snapshot_and_log_are_streamed(spark, tmp_path):
+    out = rows.parse_or_error(spark.createDataFrame([(f"f{i}", None, "bad") for i in (2, 0, 1, 1)], "source string, text string, error string"), forms.AS_OF_YEAR)
+    pieces = list(sinks.snapshot_json(out, NOW))
+    assert len(pieces) == 6 and [r["source"] for r in json.loads("".join(pieces))["rows"]] == ["f0", "f1", "f1", "f2"]
+    assert json.loads("".join(sinks.snapshot_json(out.limit(0), NOW)))["rows"] == []
+    sinks.write_snapshot(out, str(tmp_path / "s.json"), NOW)
+    assert os.listdir(tmp_path) == ["s.json"] and files.read_snapshot(spark, str(tmp_path / "s.json")).count() == 4
+    log, there = str(tmp_path / "x.log"), []
+    assert sinks.write_log_safe((there.append(os.path.exists(log)) or str(i) for i in range(3)), log, NOW) == log
+    assert there == 3 * [True] and open(log).read() == "0\n1\n2\n"
+
+
 def test_sidecars_and_directory(spark):
     docs = spark.createDataFrame([("a.pdf", "из pdf"), ("b.pdf", "из pdf")], "source string, text string")
     side = spark.createDataFrame([("a.txt", "рядом")], "source string, text string")
