@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import before, find, first_of, has, let, lines, matches, position, replace, strip
+from .rx import before, behind, find, first_of, has, let, lines, matches, position, replace, strip
 from .textnorm import is_garbage, is_noise_line, strip_garbage_tokens
 from .validate import TAX_ID, is_valid_tax_id
 
@@ -63,8 +63,8 @@ def is_noisy(line: Column) -> Column:
     return F.coalesce(let(strip(line), judged), F.lit(True))
 
 
-def _through(left: Column, rest: Column, pattern: str) -> Column:
-    return F.concat(left, find(rest, rf"^(?:{pattern})"))
+def _first_valid(s: Column) -> Column:
+    return first_of(matches(s, TAX_ID, ""), lambda m: is_valid_tax_id(m["found"]))
 
 
 def cut_after_tax_id(s: Column) -> Column:
@@ -72,25 +72,21 @@ def cut_after_tax_id(s: Column) -> Column:
     named = find(s, rf"^.*?{NAMED_TAX_ID}", 0, "is")
     worded = find(s, rf"^.*?\b[A-Za-zА-Яа-яЁё]{{2,4}}\.?\s+(?:[0-9]{{10}}|[0-9]{{12}})\b", 0, "s")
     worded = F.when(is_valid_tax_id(find(worded, r"([0-9]+)\z", 1, "")), worded)
-    bare = let(first_of(matches(s, TAX_ID, ""), lambda m: is_valid_tax_id(find(m["rest"], "^[0-9]+", 0, ""))), lambda m: _through(m["left"], m["rest"], "[0-9]+"))
+    bare = let(_first_valid(s), lambda m: F.substring(s, F.lit(1), m["at"] + F.length(m["found"])))
     return strip(F.coalesce(named, worded, bare), " ,;")
 
 
 def cut_before_registry(s: Column) -> Column:
     """Up to the first name of a registry number, or four characters before the first valid tax id."""
-    tax = F.length(first_of(matches(s, TAX_ID, ""), lambda m: is_valid_tax_id(find(m["rest"], "^[0-9]+", 0, "")))["left"])
+    tax = _first_valid(s)["at"]
     at = F.least(position(s, REGISTRY), F.when(tax.isNotNull(), F.greatest(tax - 4, F.lit(0))))
     return let(at, lambda n: F.when(n.isNull(), s).otherwise(strip(F.substring(s, F.lit(1), n), r" ,;\-–—")))
 
 
 def trim_to_org(s: Column) -> Column:
     """From the first legal form that is not a bank's on; all of it without one."""
-
-    def is_company(m: Column) -> Column:
-        ahead = F.substring(m["rest"], F.length(find(m["rest"], f"^{ORG}")) + 1, F.lit(60))
-        return ~has(ahead, BANK)
-
-    return F.coalesce(first_of(matches(s, ORG), is_company)["rest"], s)
+    own = first_of(matches(s, ORG), lambda m: ~has(behind(s, m, 60), BANK))
+    return F.coalesce(F.substring(s, own["at"] + 1, F.length(s)), s)
 
 
 def party_lines(body: Column, most: int = 4) -> Column:

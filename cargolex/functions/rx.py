@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = ""
+# private-use characters that part a text at matches
+MARK, MARK_END = "\ue001", "\ue002"
 SPACE = r"[\s\x1c-\x1f]"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -64,18 +65,34 @@ def lines(c: Column) -> Column:
 
 def marked(c: Column, pattern: str, flags: str = "i") -> Column:
     """The text before the first match, and from each match up to the next one."""
-    return F.split(F.regexp_replace(F.translate(c, MARK, ""), rx(pattern, flags), MARK + "$0"), MARK, -1)
+    return F.split(F.regexp_replace(F.translate(c, MARK, "?"), rx(pattern, flags), MARK + "$0"), MARK, -1)
 
 
 def matches(c: Column, pattern: str, flags: str = "i") -> Column:
-    """Of each match: `left` (the text before it) and `rest` (the text from it on)."""
+    """Of each match: `at` (the characters before it) and `found` (its text). What lies around it is for the caller to cut out of c."""
 
-    def parted(parts: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-        each = F.transform(at, lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "").alias("left"), F.array_join(F.slice(parts, i + 1, F.greatest(F.size(parts), F.lit(1))), "").alias("rest")))
-        return F.when(F.size(parts) > 1, each).otherwise(F.slice(each, 1, 0))
+    def placed(parts: Column) -> Column:
+        own = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.split(p, MARK_END, 2))
+        return let(own, lambda pieces: F.zip_with(_places(F.length(F.get(parts, F.lit(0))), pieces), pieces, lambda at, p: F.struct(at.alias("at"), F.get(p, F.lit(0)).alias("found"))))
 
-    return let(marked(c, pattern, flags), parted)
+    text = F.translate(c, MARK + MARK_END, "??")
+    return let(F.split(F.regexp_replace(text, rx(pattern, flags), f"{MARK}$0{MARK_END}"), MARK, -1), placed)
+
+
+def _places(first: Column, pieces: Column) -> Column:
+    """Where each piece (a match and what follows it) begins."""
+    step = lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(p, F.lit(0))) + F.length(F.get(p, F.lit(1)))))
+    return F.slice(F.aggregate(pieces, F.array(first), step), F.lit(1), F.size(pieces))
+
+
+def first_match(c: Column, pattern: str, flags: str = "i") -> Column:
+    """`at` and `found` of the first match; NULL if there is none."""
+    return let(position(c, pattern, flags), lambda at: F.when(at.isNotNull(), F.struct(at.alias("at"), find(c, pattern, 0, flags).alias("found"))))
+
+
+def behind(c: Column, m: Column, n: int) -> Column:
+    """n characters behind a match."""
+    return F.substring(c, m["at"] + F.length(m["found"]) + 1, F.lit(n))
 
 
 def last_chars(c: Column, n: int) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import GARBAGE, MISSING
-from .rx import SPACE, find_all, has, let, replace, strip
+from .rx import MARK, MARK_END, SPACE, find_all, has, let, replace, strip
 
 # Invisible characters, dashes, and Latin letters with their Cyrillic look-alikes.
 INVISIBLE = "­​‌‍﻿‪‬"
@@ -22,7 +20,6 @@ FOREIGN = "іїєґІЇЄҐ" + "àáâãäåèéêëìíîïòóôõöùúûüý
 
 _CYR, _ALL = "А-Яа-яЁё", "А-Яа-яЁёA-Za-z"
 _DASH = DASHES.replace("-", "\\-")
-_TO_FIX = ""
 _WORD = r"[^\s\x1c-\x1f]+"
 
 
@@ -42,9 +39,14 @@ def collapse_spaces(c: Column) -> Column:
 
 def fix_lookalikes(c: Column) -> Column:
     """Latin look-alikes beside Cyrillic letters of their word become Cyrillic; a run of them after a Cyrillic letter as a whole."""
-    beside = rf"([{LATIN}])(?=[{_CYR}])|(?<=[{_CYR}][{LATIN}]{{0,64}})([{LATIN}])"
-    marked = replace(F.translate(c, _TO_FIX, ""), beside, f"$1$2{_TO_FIX}", "")
-    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0] + _TO_FIX), F.lit(pair[1])), zip(LATIN, CYRILLIC, strict=True), marked)
+    beside = rf"(?<=[{_CYR}])[{LATIN}]+|[{LATIN}](?=[{_CYR}])"
+    parts = F.split(replace(F.translate(c, MARK + MARK_END, ""), beside, f"{MARK}$0{MARK_END}", ""), MARK, -1)
+
+    def fixed(part: Column, i: Column) -> Column:
+        own = F.split(part, MARK_END, 2)
+        return F.when(i == 0, part).otherwise(F.concat(F.translate(F.get(own, F.lit(0)), LATIN, CYRILLIC), F.get(own, F.lit(1))))
+
+    return F.array_join(F.transform(parts, fixed), "")
 
 
 def normalize(c: Column) -> Column:

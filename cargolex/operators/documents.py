@@ -68,9 +68,14 @@ def split_documents(text: Column) -> Column:
     return let(split_by_pages(text), lambda d: F.when(F.size(d) > 0, d).otherwise(split_at_headers(text)))
 
 
+def documents_of(text: Column) -> Column:
+    """A file's waybills as an array of texts; a file without text is one waybill without text."""
+    return F.when(strip(F.coalesce(text, F.lit(""))) == "", F.array(F.lit(""))).otherwise(split_documents(text))
+
+
 def explode_documents(files: DataFrame) -> DataFrame:
-    """files(source, text) to one row per waybill: source, doc_idx from 0, n_docs, text, file_text. A file without text is one waybill without text."""
-    split = files.select("source", F.col("text").alias("file_text"), F.when(strip(F.coalesce("text", F.lit(""))) == "", F.array(F.lit(""))).otherwise(split_documents(F.col("text"))).alias("_docs"))
+    """files(source, text) to one row per waybill: source, doc_idx from 0, n_docs, text, file_text."""
+    split = files.select("source", F.col("text").alias("file_text"), documents_of(F.col("text")).alias("_docs"))
     rows = split.select("source", "file_text", F.size("_docs").alias("n_docs"), F.posexplode("_docs").alias("doc_idx", "text"))
     return rows.select("source", "doc_idx", "n_docs", "text", "file_text")
 
@@ -80,11 +85,25 @@ def document_source(source: Column, n_docs: Column, doc_idx: Column) -> Column:
     return F.when(n_docs == 1, source).otherwise(F.concat(source, F.lit("#"), (doc_idx + 1).cast("string")))
 
 
-def drop_noise_documents(rows: DataFrame) -> DataFrame:
-    """Of files with several waybills those without number, date, vehicle, driver and shipper go; if all go, the first stays, under the file's own name.
+def _is_noise(row: Column) -> Column:
+    return F.forall(F.array(*(is_blank(row[f]) for f in ("number", "date", "vehicle", "driver", "shipper"))), lambda x: x)
+
+
+def without_noise(rows: Column, source: Column) -> Column:
+    """A file's waybills (structs of the fields, row_source and doc_idx) but for those without number, date, vehicle, driver and shipper; if all
+    go, the first stays, under the file's own name. A single waybill always stays.
+    """
 
-    rows has source, doc_idx, n_docs, row_source and the fields."""
-    noise = (F.col("n_docs") > 1) & is_blank(F.col("number")) & is_blank(F.col("date")) & is_blank(F.col("vehicle")) & is_blank(F.col("driver")) & is_blank(F.col("shipper"))
-    marked_ = rows.withColumn("_noise", noise).withColumn("_all", F.min("_noise").over(W.partitionBy("source")))
+    def kept(good: Column) -> Column:
+        first = F.transform(F.slice(rows, 1, 1), lambda r: r.withField("row_source", source))
+        return F.when(F.size(rows) <= 1, rows).when(F.size(good) > 0, good).otherwise(first)
+
+    return let(F.filter(rows, lambda r: ~_is_noise(r)), kept)
+
+
+def drop_noise_documents(rows: DataFrame) -> DataFrame:
+    """The same for a table of rows with source, doc_idx, n_docs, row_source and the fields, whose files' rows lie anywhere."""
+    marked_ = rows.withColumn("_noise", (F.col("n_docs") > 1) & _is_noise(F.struct("number", "date", "vehicle", "driver", "shipper")))
+    marked_ = marked_.withColumn("_all", F.min("_noise").over(W.partitionBy("source")))
     kept = marked_.filter(~F.col("_noise") | (F.col("_all") & (F.col("doc_idx") == 0)))
     return kept.withColumn("row_source", F.when(F.col("_all"), F.col("source")).otherwise(F.col("row_source"))).drop("_noise", "_all")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.orglines import NAMED_TAX_ID, NEIGHBOUR, ORG, SERVICE, WORD_DATE_OR_NUMBER, cut_after_tax_id, cut_before_registry, is_noisy, meaningful_lines, party_lines, trim_to_org
-from ..functions.rx import before, find, first_of, has, let, lines, matches, position, replace, strip
+from ..functions.rx import before, behind, find, first_match, first_of, has, let, lines, matches, position, replace, strip
 from ..functions.textnorm import clean_value, is_garbage, strip_garbage_tokens
 from ..functions.validate import compact_plate, first_date
 from ..schema import FIELDS, is_blank
@@ -36,12 +36,18 @@ PLATE_LABELS = [rf"{x}\s*[:\-–—]?\s*([^\n\r]{{2,40}})" for x in (r"гос\.?
 
 
 def found(value: Column, conf: Column | float) -> Column:
-    """A field; its confidence is 0 if it has no value."""
-    return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNotNull(), conf if isinstance(conf, Column) else F.lit(conf)).otherwise(0.0).cast("double").alias("conf")))
+    """A field; NULL if it has no value."""
+    sure = conf if isinstance(conf, Column) else F.lit(conf)
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), sure.cast("double").alias("conf"))))
 
 
-def _either(first: Column, second: Column) -> Column:
-    return let(first, lambda own: F.when(own["value"].isNotNull(), own).otherwise(second))
+def or_missing(field: Column) -> Column:
+    """A field that was not found has no value and the confidence 0."""
+    return F.coalesce(field, F.struct(F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("conf")))
+
+
+#: The first way to find a field that gives a value.
+_either = F.coalesce
 
 
 def _value(c: Column) -> Column:
@@ -52,7 +58,7 @@ def _value(c: Column) -> Column:
 # number and date
 
 
-def _of_the_form(m: Column) -> Column:
+def _of_the_form(region: Column, m: Column) -> Column:
     """Whether what stands left of a number says that it belongs to the form: a copy, an annex, a decree."""
 
     def judged(left: Column) -> Column:
@@ -62,14 +68,14 @@ def _of_the_form(m: Column) -> Column:
         annex = wide.contains("приложени") & has(wide, "1137|2116|2200|534", "")
         return has(near, r"экземпляр|экз\.", "") | has(line, r"приложение|прил\.|постановлен|договор|к правилам", "") | decree | annex
 
-    return let(F.lower(m["left"]), judged)
+    return let(F.lower(F.substring(region, F.lit(1), m["at"])), judged)
 
 
 def pick_number(region: Column) -> Column:
     """The first number of a region that is not the form's own; stricter forms of writing it go first."""
 
     def by(form: str) -> Column:
-        own = F.transform(F.filter(matches(region, form), lambda m: ~_of_the_form(m)), lambda m: strip(find(m["rest"], f"\\A(?:{form})", 1), r"\s.,:;"))
+        own = F.transform(F.filter(matches(region, form), lambda m: ~_of_the_form(region, m)), lambda m: strip(find(m["found"], f"\\A(?:{form})", 1), r"\s.,:;"))
         return first_of(own, lambda x: has(x, "[0-9]", "") & ~x.isin(DECREES))
 
     return F.coalesce(*(by(form) for form in NUMBER_FORMS))
@@ -85,7 +91,7 @@ def number_without_sign(tail: Column) -> Column:
 
 def heading_tail(head: Column, text: Column) -> Column:
     """The 500 characters behind the waybill's heading, in the head section if there is one; NULL without a heading."""
-    return let(F.coalesce(head, text), lambda source: F.substring(first_of(matches(source, HEADING), lambda m: F.lit(True))["rest"], F.length(find(source, HEADING)) + 1, F.lit(500)))
+    return let(F.coalesce(head, text), lambda source: let(first_match(source, HEADING), lambda m: behind(source, m, 500)))
 
 
 def number(head: Column, text: Column) -> Column:
@@ -195,20 +201,20 @@ def volume(section: Column, text: Column) -> Column:
 
 def _full_name(c: Column) -> Column:
     """The first full name that no "ИП" stands before."""
-    own = first_of(matches(c, FULL_NAME, ""), lambda m: ~has(F.right(m["left"], F.lit(5)), r"ип[ \n]"))
-    return strip(find(own["rest"], f"\\A{FULL_NAME}", 0, ""))
+    left = lambda m: F.substring(c, F.greatest(m["at"] - 4, F.lit(1)), F.least(m["at"], F.lit(5)))
+    return strip(first_of(matches(c, FULL_NAME, ""), lambda m: ~has(left(m), r"ип[ \n]"))["found"])
 
 
 def driver(section: Column, text: Column) -> Column:
     short = lambda c: strip(find(c, PERSON, 0, ""))
-    window = F.substring(first_of(matches(text, r"п[ес][рст]евоз\w{0,5}"), lambda m: F.lit(True))["rest"], 1, 1500)
+    window = F.substring(text, position(text, r"п[ес][рст]евоз\w{0,5}") + 1, F.lit(1500))
     beside = let(window, lambda w: _either(found(short(w), 0.5), found(_full_name(w), 0.4)))
-    return _either(found(short(section), 1.0), _either(found(_full_name(section), 0.9), beside))
+    return _either(found(short(section), 1.0), found(_full_name(section), 0.9), beside)
 
 
 def vehicle(section: Column, text: Column) -> Column:
     labelled = F.coalesce(*(let(clean_value(find(text, x, 1)), lambda v: F.when(~is_blank(v), v)) for x in PLATE_LABELS))
-    return _either(found(compact_plate(section), 1.0), _either(found(compact_plate(text), 0.6), found(labelled, 0.4)))
+    return _either(found(compact_plate(section), 1.0), found(compact_plate(text), 0.6), found(labelled, 0.4))
 
 
 def _collected(own: Column) -> Column:
@@ -232,14 +238,13 @@ def _trimmed(c: Column) -> Column:
 def reception(section: Column, text: Column) -> Column:
     clear = F.filter(lines(before(section, RECEPTION_STOP)), lambda x: ~is_noisy(x))
     cleaned = F.filter(F.transform(clear, lambda x: strip_garbage_tokens(strip(x))), lambda x: (F.length(x) > 3) & has(x, WORD_DATE_OR_NUMBER, ""))
-    chunk = F.substring(first_of(matches(text, r"при[ёе]м\s+груз\w*"), lambda m: F.lit(True))["rest"], F.length(find(text, r"при[ёе]м\s+груз\w*")) + 1, F.lit(1500))
+    chunk = let(first_match(text, r"при[ёе]м\s+груз\w*"), lambda m: behind(text, m, 1500))
     beside = F.filter(F.transform(F.filter(lines(before(chunk, RECEPTION_STOP)), lambda x: ~is_noisy(x)), lambda x: strip(x)), lambda x: x != "")
     return _either(found(_value(_trimmed(let(cleaned, _collected))), 0.9), found(_value(_trimmed(let(beside, _collected))), 0.5))
 
 
-def add_fields(docs: DataFrame, as_of_year: int, text: str = "text", wanted: list[str] | None = None) -> DataFrame:
-    """Adds a struct (value, conf) for each field to rows with text and sections."""
-    t, s = F.col(text), F.col("sections")
+def extracted(t: Column, s: Column, as_of_year: int, wanted: list[str] | None = None) -> dict[str, Column]:
+    """A struct (value, conf) for each field of a waybill's text and its sections."""
     makers = {
         "date": lambda: date(s["head"], t, as_of_year),
         "number": lambda: number(s["head"], t),
@@ -251,4 +256,9 @@ def add_fields(docs: DataFrame, as_of_year: int, text: str = "text", wanted: lis
         "vehicle": lambda: vehicle(s["vehicle"], t),
         "reception": lambda: reception(s["reception"], t),
     }
-    return docs.withColumns({f: makers[f]() for f in wanted or FIELDS})
+    return {f: or_missing(makers[f]()) for f in wanted or FIELDS}
+
+
+def add_fields(docs: DataFrame, as_of_year: int, text: str = "text", wanted: list[str] | None = None) -> DataFrame:
+    """Adds the fields to rows with text and sections."""
+    return docs.withColumns(extracted(F.col(text), F.col("sections"), as_of_year, wanted))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rx import strip
+from ..functions.rx import let, strip
 from ..schema import FIELDS, ROW, is_blank, shown
 from . import fields
-from .documents import document_source, drop_noise_documents, explode_documents
-from .sections import add_sections
+from .documents import document_source, documents_of, without_noise
+from .sections import header_candidates, markers_of, sections_of, unknown_titles, with_fuzzy_roles
 
 # Titles, notes and thresholds of the result.
 TITLE = "Транспортная накладная"
@@ -32,36 +32,64 @@ def notes(text: Column, confidence: Column) -> Column:
     return F.concat_ws(";", F.when(F.length(F.coalesce(text, F.lit(""))) < LEAST_TEXT, LOW_TEXT), F.when(overall(confidence) < LEAST_CONFIDENCE, LOW_CONF))
 
 
+#: Fields that a waybill can take from its whole file.
+FROM_FILE = {"cargo": fields.cargo, "volume": fields.volume}
+
+
+def _or_from_file(own: Column, n_docs: Column, of_file: Column) -> Column:
+    return F.when((n_docs > 1) & own["value"].isNull(), of_file).otherwise(own)
+
+
+def _of_file(make: Callable, text: Column) -> Column:
+    return fields.or_missing(fields.found(make(F.lit(None).cast("string"), text)["value"], FILE_CONFIDENCE))
+
+
 def from_whole_file(docs: DataFrame) -> DataFrame:
     """Of files with several waybills, cargo and volume that a waybill lacks are taken from the file's whole text, with a low confidence."""
-    none = F.lit(None).cast("string")
-    out = docs
-    for f, make in (("cargo", fields.cargo), ("volume", fields.volume)):
-        again = fields.found(make(none, F.col("file_text"))["value"], FILE_CONFIDENCE)
-        out = out.withColumn(f, F.when((F.col("n_docs") > 1) & F.col(f)["value"].isNull(), again).otherwise(F.col(f)))
-    return out
-
-
-def assemble(docs: DataFrame) -> DataFrame:
-    """Waybills with their fields to result rows, with the keys source (file), doc_idx and n_docs; values are NULL where missing."""
-    confidence = F.struct(*(F.col(f)["conf"].alias(f) for f in FIELDS))
-    out = docs.select(
-        "source",
-        "doc_idx",
-        "n_docs",
-        document_source(F.col("source"), F.col("n_docs"), F.col("doc_idx")).alias("row_source"),
-        *(F.col(f)["value"].alias(f) for f in FIELDS),
-        title(F.col("number")["value"]).alias("waybill"),
-        confidence.alias("confidence"),
-        notes(F.col("text"), confidence).alias("note"),
-    )
-    return out
+    return docs.withColumns({f: _or_from_file(F.col(f), F.col("n_docs"), _of_file(make, F.col("file_text"))) for f, make in FROM_FILE.items()})
+
+
+def assembled(source: Column, doc_idx: Column, n_docs: Column, text: Column, got: dict[str, Column]) -> Column:
+    """A result row as a struct, of a waybill's fields (value, conf) and its text; values are NULL where missing."""
+
+    def row(own: Column) -> Column:
+        confidence = F.struct(*(own[f]["conf"].alias(f) for f in FIELDS))
+        return F.struct(
+            doc_idx.cast("int").alias("doc_idx"),
+            n_docs.alias("n_docs"),
+            document_source(source, n_docs, doc_idx).alias("row_source"),
+            *(own[f]["value"].alias(f) for f in FIELDS),
+            title(own["number"]["value"]).alias("waybill"),
+            confidence.alias("confidence"),
+            notes(text, confidence).alias("note"),
+        )
+
+    return let(F.struct(*(got[f].alias(f) for f in FIELDS)), row)
 
 
 def parse(files: DataFrame, as_of_year: int) -> DataFrame:
-    """Normalised files(source, text) to result rows. The only shuffle is that of the rows by file, which decides on noise among several waybills."""
-    docs = fields.add_fields(add_sections(explode_documents(files)), as_of_year)
-    return drop_noise_documents(assemble(from_whole_file(docs)))
+    """Normalised files(source, text) to result rows, without any shuffle.
+
+    A file's waybills are an array of its row until they are rows of the result: noise among them is decided there, and the plan
+    above sees plain columns. explode_outer, as a filter that the optimiser infers for an inner one would repeat the whole parsing.
+    """
+    own = files.select("source", F.col("text").alias("_file"), documents_of(F.col("text")).alias("_texts"))
+    own = own.withColumn("_docs", F.transform("_texts", lambda t: F.struct(t.alias("text"), header_candidates(t).alias("candidates")))).drop("_texts")
+    own = with_fuzzy_roles(own, F.array_distinct(F.flatten(F.transform("_docs", lambda d: unknown_titles(d["candidates"])))))
+    own = own.withColumn("_docs", F.transform("_docs", lambda d: F.struct(d["text"].alias("text"), sections_of(d["text"], markers_of(d["candidates"], F.col("_fuzzy"))).alias("sections"))))
+    each = lambda f: F.transform("_docs", lambda d: fields.extracted(d["text"], d["sections"], as_of_year, [f])[f])
+    own = own.withColumns({f"_{f}": each(f) for f in FIELDS})
+    # the whole file is read once, however many of its waybills need it, and only if one does
+    lacks = lambda f: (F.size("_docs") > 1) & F.exists(f"_{f}", lambda x: x["value"].isNull())
+    own = own.withColumns({f"_file_{f}": F.when(lacks(f), _of_file(make, F.col("_file"))) for f, make in FROM_FILE.items()})
+
+    def row(d: Column, i: Column) -> Column:
+        got = {f: F.get(f"_{f}", i) for f in FIELDS}
+        got |= {f: _or_from_file(got[f], F.size("_docs"), F.col(f"_file_{f}")) for f in FROM_FILE}
+        return assembled(F.col("source"), i, F.size("_docs"), d["text"], got)
+
+    own = own.withColumn("_rows", F.transform("_docs", row))
+    return own.select("source", F.explode_outer(without_noise(F.col("_rows"), F.col("source"))).alias("r")).select("source", "r.*")
 
 
 def placeholder(source: Column, error: Column) -> list[Column]:

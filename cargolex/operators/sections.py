@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_roles
-from ..functions.rx import find, has, let, matches, strip
+from ..functions.rx import find, first_of, has, let, matches, strip
 from ..schema import ROLES
 
 IGNORED = "__ignored__"
@@ -54,10 +54,10 @@ def header_candidates(text: Column) -> Column:
 
     def each(pattern: str, flags: str, title: int, numbered: bool, rank: int) -> Column:
         def one(m: Column) -> Column:
-            own = find(m["rest"], f"\\A(?:{pattern})", title, flags)
-            number = find(m["rest"], f"\\A(?:{pattern})", 1, flags)
+            own = find(m["found"], f"\\A(?:{pattern})", title, flags)
+            number = find(m["found"], f"\\A(?:{pattern})", 1, flags)
             by_number = F.when(number == "3", "cargo").when(number == "6", "carrier").when(number == "7", "vehicle").when(number == "8", "reception") if numbered else F.lit(None).cast("string")
-            return F.struct(F.length(m["left"]).alias("pos"), F.lit(rank).alias("rank"), own.alias("title"), exact_role(own).alias("role"), by_number.alias("by_number"))
+            return F.struct(m["at"].alias("pos"), F.lit(rank).alias("rank"), own.alias("title"), exact_role(own).alias("role"), by_number.alias("by_number"))
 
         return F.transform(matches(text, pattern, flags), one)
 
@@ -65,10 +65,10 @@ def header_candidates(text: Column) -> Column:
 
 
 def _decided(candidates: Column, fuzzy: Column) -> Column:
-    """Candidates with a role: the exact one, else the fuzzy one, else the number's."""
+    """Candidates with a role: the exact one, else the fuzzy one (a map by title), else the number's."""
 
-    def one(c: Column, i: Column) -> Column:
-        guess = F.get(fuzzy, i)
+    def one(c: Column) -> Column:
+        guess = F.try_element_at(fuzzy, c["title"])
         guess = F.when((c["role"] == "?") | guess.isin("shipper", "consignee"), guess)
         return F.struct(c["pos"].alias("pos"), F.when(~c["role"].startswith("?"), c["role"]).otherwise(F.coalesce(guess, c["by_number"])).alias("role"))
 
@@ -92,28 +92,48 @@ def _body(chunk: Column) -> Column:
     return let(strip(chunk), parted)
 
 
+def unknown_titles(candidates: Column) -> Column:
+    """The titles that only the fuzzy scorer can tell, each once."""
+    return F.array_distinct(F.filter(F.transform(candidates, lambda c: F.when(c["role"].startswith("?"), c["title"])), lambda t: t.isNotNull()))
+
+
+def with_fuzzy_roles(rows: DataFrame, titles: Column) -> DataFrame:
+    """Adds _fuzzy: the roles of an array of titles, by title."""
+    own = rows.withColumn("_titles", titles)
+    return own.withColumn("_roles", fuzzy_roles(F.col("_titles"))).withColumn("_fuzzy", F.map_from_arrays("_titles", "_roles")).drop("_titles", "_roles")
+
+
+def markers_of(candidates: Column, fuzzy: Column) -> Column:
+    """The (pos, role) that bound sections, in order."""
+    return _first_of_each(_decided(candidates, fuzzy))
+
+
 def add_markers(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds markers: the (pos, role) that bound sections, in order."""
     own = docs.withColumn("_candidates", header_candidates(F.col(text)))
-    # titles are sent to the scorer as an array of the candidates' length, '' where a rule has decided
-    own = own.withColumn("_fuzzy", fuzzy_roles(F.transform("_candidates", lambda c: F.when(c["role"].startswith("?"), c["title"]).otherwise(F.lit("")))))
-    return own.withColumn("markers", _first_of_each(_decided(F.col("_candidates"), F.col("_fuzzy")))).drop("_candidates", "_fuzzy")
+    own = with_fuzzy_roles(own, unknown_titles(F.col("_candidates")))
+    return own.withColumn("markers", markers_of(F.col("_candidates"), F.col("_fuzzy"))).drop("_candidates", "_fuzzy")
 
 
-def add_sections(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds sections: a struct of the seven roles' bodies, NULL where a role is absent."""
-    t = F.col(text)
-    own = add_markers(docs, text)
+def sections_of(t: Column, markers: Column) -> Column:
+    """A struct of the seven roles' bodies, NULL where a role is absent."""
+
+    def of(m: Column) -> Column:
+        def between(x: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(m, i + 1)["pos"], F.length(t))
+            return F.struct(x["role"].alias("role"), _body(F.substring(t, x["pos"] + 1, end - x["pos"])).alias("body"))
+
+        def bodies(parts: Column) -> Column:
+            head = F.nullif(strip(F.when(F.size(m) > 0, F.substring(t, F.lit(1), F.get(m, F.lit(0))["pos"])).otherwise(t)), F.lit(""))
+            body = lambda role: first_of(parts, lambda p: p["role"] == role)["body"]
+            return F.struct(head.alias("head"), *(body(role).alias(role) for role in ROLES[1:]))
 
-    def between(m: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(F.col("markers"), i + 1)["pos"], F.length(t))
-        return F.struct(m["role"].alias("role"), _body(F.substring(t, m["pos"] + 1, end - m["pos"])).alias("body"))
+        return let(F.transform(m, between), bodies)
 
-    own = own.withColumn("_parts", F.transform("markers", between))
-    head = F.nullif(strip(F.when(F.size("markers") > 0, F.substring(t, F.lit(1), F.get("markers", F.lit(0))["pos"])).otherwise(t)), F.lit(""))
-    bodies = [_of_role(role).alias(role) for role in ROLES[1:]]
-    return own.withColumn("sections", F.struct(head.alias("head"), *bodies)).drop("_parts")
+    return let(markers, of)
 
 
-def _of_role(role: str) -> Column:
-    return F.get(F.filter("_parts", lambda p: p["role"] == role), F.lit(0))["body"]
+def add_sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds sections: a struct of the seven roles' bodies, NULL where a role is absent."""
+    own = add_markers(docs, text)
+    return own.withColumn("sections", sections_of(F.col(text), F.col("markers")))

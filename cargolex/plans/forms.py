@@ -121,4 +121,10 @@ def form() -> Column:
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, defect, text): a form for each order."""
-    return values(spark, sf_dir).select("o_orderkey", "defect", form().alias("text"))
+    return spread(values(spark, sf_dir)).select("o_orderkey", "defect", form().alias("text"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt over all cores: reading a form costs far more than moving one. Larger inputs stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

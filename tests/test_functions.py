@@ -8,7 +8,7 @@ from cargolex.operators import documents, sections
 
 YEAR = 2026
 CASES = {
-    "normalize": (textnorm.normalize, {"ИHH Мapкa Тенsar HAи": "ИНН Марка Тенsar HАи", "При-\nём  груза\r\n\r\nтест ": "Приём груза\nтест", "a­b​c": "abc", "": "", None: None}),
+    "normalize": (textnorm.normalize, {"ИHH Мapкa Тенsar HAи": "ИНН Марка Тенsar HАи", "При-\nём  груза\r\n\r\nтест ": "Приём груза\nтест", "a­b​c": "abc", "Бace yБ ayБ xyz": "Басе уБ aуБ xyz", "": "", None: None}),
     "garbage_token": (textnorm.is_garbage_token, {"іі-і": True, "Бекам'тбд": True, "ав4'": True, "café": True, "Тенsar": False, "RENAULT": False, "B30F300": False, "—": False, "...": False, "'|_'": True, "7743553262": False, "420111,": False}),
     "noise_line": (textnorm.is_noise_line, {"іі-і Ц:і": True, "нормальная строка": False, "": True, "одно іі-і": True, "два слова іі-і": False}),
     "strip_garbage": (textnorm.strip_garbage_tokens, {"ООО іі-і  Ромашка 'Г'чп ok": "ООО Ромашка ok", "": ""}),
@@ -30,6 +30,19 @@ CASES = {
 }
 
 
+def test_matches_are_where_they_stand(spark):
+    import re
+
+    from cargolex.functions import rx
+
+    texts = ["", "a1b22c", "12", "x", "1 2 3 \ue001 4", "é9é" * 50]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = {r.i: [(m.at, m.found) for m in r.m] for r in df.select("i", rx.matches(F.col("x"), "[0-9]+").alias("m")).collect()}
+    assert got == {i: [(m.start(), m[0]) for m in re.finditer("[0-9]+", x)] for i, x in enumerate(texts)}
+    first = {r.i: r.m and (r.m.at, r.m.found) for r in df.select("i", rx.first_match(F.col("x"), "[0-9]+").alias("m")).collect()}
+    assert first == {i: (got[i] or [None])[0] for i in got}
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(spark, name):
     f, cases = CASES[name]

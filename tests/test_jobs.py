@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolex import cli
-from cargolex.operators import documents, feedback, fields, organisations, rows
+from cargolex.operators import documents, feedback, organisations, rows
 from cargolex.operators.reports import file_status
 from cargolex.plans import catalog, forms
 from cargolex.schema import FIELDS
@@ -140,7 +140,24 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     assert sorted(r.source for r in spark.read.parquet(out).collect()) == sorted(n for n, _ in texts)
 
 
-def test_plan_needs_no_shuffle_but_for_noise(spark):
-    docs = documents.explode_documents(spark.createDataFrame([("a", "b")], "source string, text string"))
-    plan = fields.add_fields(docs.withColumn("sections", F.lit(None).cast("struct<head:string,shipper:string,consignee:string,cargo:string,carrier:string,vehicle:string,reception:string>")), 2026)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+def test_parsing_is_planned_soon_and_shuffles_nothing(spark):
+    """The optimiser must neither repeat the fields' expressions nor derive constraints from them, filters on the result included."""
+    import time
+
+    out = rows.parse(spark.createDataFrame([("a", "b")], "source string, text string"), 2026).filter("number is not null and note = ''")
+    began = time.time()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - began < 15 and "Exchange" not in plan
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_noise_in_the_row_as_over_rows(spark):
+    """Files of one to three waybills, every pattern of noise among them, by the array of a file and by the table of all rows."""
+    cases = [(n, bits) for n in (1, 2, 3) for bits in range(1 << n)]
+    own = [(f"{n}-{b}", i, n, f"{n}-{b}#{i + 1}" if n > 1 else f"{n}-{b}", *([None] * 4), None if b >> i & 1 else "x") for n, b in cases for i in range(n)]
+    df = spark.createDataFrame(own, "source string, doc_idx int, n_docs int, row_source string, number string, date string, vehicle string, driver string, shipper string")
+    want = sorted(tuple(r) for r in documents.drop_noise_documents(df).collect())
+    as_array = df.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(*df.columns[1:]))).alias("a"))
+    got = as_array.select("source", F.inline(documents.without_noise(F.col("a"), F.col("source"))))
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
