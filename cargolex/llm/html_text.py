@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +33,12 @@ ENDS = {
     "tr": ({"tr", "caption"}, {"table"}),
     **{x: ({"thead", "tbody", "tfoot", "caption"}, {"table"}) for x in ("thead", "tbody", "tfoot")},
 }
-#: Open elements at most; deeper ones break lines but are not nested further.
-DEPTH = 512
+#: Characters that lists and quotes are indented at most, and tables in tables that are aligned: deeper ones keep their text and its order.
+INDENT, TABLES = 120, 24
+#: How many times its own text the padding of a table may take; the widest columns are padded less beyond it.
+PADDING = 6
+#: Cells that reach down into a row at most; further ones fill their own row alone.
+ABOVE = 1000
 #: Elements that no end tag of another element reaches out of.
 WALLS = frozenset("table td th caption".split())
 
@@ -52,7 +58,7 @@ class Writer:
         self.now: list[str] = []
         self.space = False
         self.margin = 0
-        self.indents: list[str] = []
+        self.indent = 0
         self.marker = ""
 
     def text(self, s: str, kept: bool) -> None:
@@ -76,9 +82,9 @@ class Writer:
         if self.now or self.marker:
             if self.lines:
                 self.lines += [""] * self.margin
-            before = "".join(self.indents)
+            before = " " * min(self.indent, INDENT)
             if self.marker:
-                before = before[: len(before) - len(self.marker)] + self.marker
+                before = before[: max(len(before) - len(self.marker), 0)] + self.marker
             self.lines.append((before + "".join(self.now)).rstrip())
             self.now, self.marker, self.margin = [], "", 0
         self.space = False
@@ -110,33 +116,71 @@ class Writer:
 
 
 class Element:
-    __slots__ = ("count", "hidden", "kept", "ordered", "outer", "pushed", "table", "tag", "writer")
+    __slots__ = ("count", "down", "hidden", "kept", "ordered", "pushed", "table", "tag", "writer")
 
     def __init__(self, tag, hidden, kept, writer):
         self.tag, self.hidden, self.kept, self.writer = tag, hidden, kept, writer
-        self.outer = self.table = self.ordered = self.count = None
+        self.table = self.ordered = self.count = self.down = None
         self.pushed = 0
 
 
-def _laid_out(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Cells (columns spanned, lines) padded to the widths of their columns, two spaces apart."""
+def _spanned(value: str | None, most: int) -> int:
+    return min(max(int(value[:9]), 1), most) if value and value.isascii() and value.isdigit() else 1
+
+
+def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells (columns and rows spanned, lines) to (first column, columns, lines); columns that a cell above still spans are left free."""
+    out, above = [], []  # (first column, end, first row that is free again), by column
+    for r, row in enumerate(rows):
+        above = [x for x in above if x[2] > r]
+        cells, at, i, down = [], 0, 0, []
+        for span, tall, lines in row:
+            while i < len(above) and above[i][0] <= at:
+                at, i = max(at, above[i][1]), i + 1
+            cells.append((at, span, lines))
+            if tall > 1 and len(above) < ABOVE:
+                down.append((at, at + span, r + tall))
+            at += span
+        if down:
+            above = sorted(above + down)
+        out.append(cells)
+    return out
+
+
+def _laid_out(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Lines of a table: cells begin where their columns do, two spaces apart at least."""
+    placed = _placed(rows)
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for span, lines in row:
+    for cells in placed:
+        for at, span, lines in cells:
             if span == 1:
                 widths[at] = max([widths.get(at, 0), *map(len, lines)])
-            at += span
+    columns, heights = sorted(widths), [max((len(lines) for *_, lines in cells), default=0) for cells in placed]
+    allowed = 1000 + PADDING * sum(2 + sum(map(len, lines)) for cells in placed for *_, lines in cells)
+    widest = max(widths.values(), default=0)
+    while True:
+        starts = [0, *accumulate(min(widths[c], widest) + 2 for c in columns)]
+        begin = [[starts[bisect_left(columns, at)] for at, *_ in cells] for cells in placed]
+        if sum(h * b[-1] for h, b in zip(heights, begin, strict=True) if b) <= allowed:
+            break
+        if not widest:  # columns by the thousand that hold next to nothing
+            begin = [[0] * len(cells) for cells in placed]
+            break
+        widest //= 2
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for _, lines in row), default=0)):
-            parts, at, length = [], 0, 0
-            for span, lines in row:
-                cell = lines[i] if i < len(lines) else ""
-                width = widths.get(at, 0) if span == 1 else sum(widths.get(c, 0) + 2 for c in range(at, at + span)) - 2
-                parts.append(cell.ljust(max(width, len(cell))))
-                at += span
-            out.append("  ".join(parts).rstrip())
+    for cells, h, b in zip(placed, heights, begin, strict=True):
+        by_line: list[list[tuple[int, str]]] = [[] for _ in range(h)]
+        for (_, _, lines), start in zip(cells, b, strict=True):
+            for i, cell in enumerate(lines):
+                if cell:
+                    by_line[i].append((start, cell))
+        for own in by_line:
+            parts, length = [], 0
+            for start, cell in own:
+                gap = max(start - length, 2) if length else start
+                parts += [" " * gap, cell]
+                length += gap + len(cell)
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -144,43 +188,51 @@ class Page:
     def __init__(self):
         self.writer = Writer()
         self.open: list[Element] = [Element("", False, False, self.writer)]
+        #: Where the open elements of each tag stand, so that no question about them walks the whole stack.
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.open))
+        self.open.append(e)
 
     def close(self) -> None:
         e = self.open.pop()
+        self.places[e.tag].pop()
         w = e.writer
         if e.tag in ("td", "th"):
             if not e.hidden and e.table is not None:
                 if not e.table:
                     e.table.append([])
-                e.table[-1].append((e.count, w.result()))
+                e.table[-1].append((e.count, e.down, w.result()))
+            elif not e.hidden and e.table is None:
+                w.block(0)
         elif e.tag == "table":
-            if not e.hidden:
+            if not e.hidden and e.table is not None:
                 w.rows(_laid_out([r for r in e.table if r]))
                 w.block(1)
         elif e.tag in BLOCKS and not e.hidden:
             if e.tag == "li" and w.marker:
                 w.flush()
-            for _ in range(e.pushed):
+            if e.pushed:
                 w.block(0)
-            w.block(e.tag in SPACED and not (e.tag in ("ul", "ol", "menu") and any(x.tag == "li" for x in self.open)))
-        if e.pushed:
-            del w.indents[-e.pushed :]
+            w.block(e.tag in SPACED and not (e.tag in ("ul", "ol", "menu") and self.is_open("li")))
+        w.indent -= e.pushed
 
     def nearest(self, tags, walls) -> int:
         """Place of the innermost open element of tags that no element of walls shuts in; 0 if none."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                return i
-            if self.open[i].tag in walls:
-                return 0
-        return 0
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        wall = max((self.places[t][-1] for t in walls if t not in tags and self.places.get(t)), default=0)
+        return at if at > wall else 0
+
+    def is_open(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
 
     def close_to(self, i: int) -> None:
         while len(self.open) > i > 0:
             self.close()
 
     def start(self, tag: str, attrs: str) -> None:
-        if tag in ("html", "body") and any(x.tag == tag for x in self.open):
+        if tag in ("html", "body") and self.is_open(tag):
             return
         if self.open[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "script", "style", "template", "noscript"):
             self.close()
@@ -199,20 +251,22 @@ class Page:
                 w.line()
             return
         if tag in BLOCKS and not hidden:
-            nested = tag in ("ul", "ol", "menu") and any(x.tag == "li" for x in self.open)
+            nested = tag in ("ul", "ol", "menu") and self.is_open("li")
             w.block(tag in SPACED and not nested)
-        if tag in VOID or len(self.open) >= DEPTH:
+        if tag in VOID:
             return
         e = Element(tag, hidden, above.kept or tag in ("pre", "textarea", "xmp"), w)
-        table = next((x for x in reversed(self.open) if x.tag == "table"), None)
+        tables = self.places.get("table")
+        table = self.open[tables[-1]] if tables else None
         if tag == "table":
-            e.table = []
+            e.table = [] if not tables or len(tables) < TABLES else None
         elif tag == "tr":
-            if not hidden:
+            if not hidden and table.table is not None:
                 table.table.append([])
         elif tag in ("td", "th"):
-            e.writer, e.table = Writer(), None if hidden else table.table
-            e.count = min(max(int(seen["colspan"]), 1), 1000) if seen.get("colspan", "").isascii() and seen.get("colspan", "").isdigit() else 1
+            if table.table is not None:
+                e.writer, e.table = Writer(), None if hidden else table.table
+            e.count, e.down = _spanned(seen.get("colspan"), 1000), _spanned(seen.get("rowspan"), 65534)
         elif tag in ("ul", "ol", "menu"):
             e.ordered = tag == "ol"
             e.count = int(seen["start"]) - 1 if e.ordered and re.fullmatch(r"-?[0-9]{1,9}", seen.get("start", "")) else 0
@@ -222,12 +276,12 @@ class Page:
                 lst.count += 1
             w.flush()
             w.marker = f"{lst.count}. " if lst is not None and lst.ordered else "- "
-            w.indents.append(" " * len(w.marker))
-            e.pushed = 1
+            e.pushed = len(w.marker)
+            w.indent += e.pushed
         elif tag in ("blockquote", "dd") and not hidden:
-            w.indents.append("  ")
-            e.pushed = 1
-        self.open.append(e)
+            e.pushed = 2
+            w.indent += 2
+        self.push(e)
 
     def end(self, tag: str) -> None:
         if tag == "p" and not self.nearest({"p"}, WALLS):
@@ -282,6 +336,6 @@ def _render(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id and text. A null page gives null, an empty one ''; tags that never end, wrong nesting and pages of any length
-    are rendered in one pass, elements nested deeper than DEPTH as if they were not nested further; repeated rows are rendered alike; an empty table gives an empty one; other columns are not looked at."""
+    are rendered in one pass; elements may nest to any depth; repeated rows are rendered alike; an empty table gives an empty one; other columns are not looked at."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_render, "page_id long, text string")

@@ -40,6 +40,8 @@ def test_layout():
     assert render("<ul><li>x<li>y y<br>z<ol start=9><li>p<li>q</ol><li></ul>t") == "- x\n- y y\n  z\n  9. p\n  10. q\n-\n\nt"
     assert render("<table><tr><th>n<th>long<tr><td>aaaa<td>b<p>c<tr><td colspan=2>wide wide wide<td>x</table>") == "n     long\naaaa  b\n\n      c\nwide wide wide  x"
     assert render("<table><tr><td>1<table><tr><td>in<td>ner</table><td>2</table>") == "1        2\n\nin  ner"
+    assert render("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A  b\n   c\nd  e"
+    assert render("<table><tr><td>a<td rowspan=3 colspan=2>B<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j<td>k</table>") == "a  B     c\nd        e\nf        g\nh  i  j  k"
     assert render("<pre>a  b\n\n c</pre> <b>x</b><i>y</i>  z\n w") == "a  b\n\n c\n\nxy z w"
     assert render("<blockquote>q<p>r</blockquote>s") == "  q\n\n  r\n\ns"
 
@@ -50,6 +52,24 @@ def test_hidden_parts():
     assert render("&lt;p&gt; &amp;amp; a < b <3 &copy;") == "<p> &amp; a < b <3 ©"
 
 
+def test_any_depth():
+    deep = 5000
+    assert render("<div>" * deep + "a<div style='display:none'>secret</div>b<p hidden>no") == "ab"
+    assert render("<b>" * deep + "a<ol><li>x<li>y</ol>") == "a\n\n1. x\n2. y"
+    lists = render("<ul><li>w" * deep)
+    assert lists.count("w") == deep and len(lists) < deep * (html_text.INDENT + 10)
+    assert render("<table><tr><td>" * 300 + "x<td>y") == "x  y" or "".join(render("<table><tr><td>" * 300 + "x<td>y").split()) == "xy"
+
+
+def test_padding_is_within_a_constant_of_the_text():
+    long = "<table>" + "<tr><td>a<td>b" * 1000 + f"<tr><td>{'word ' * 4000}<td>c</table>"
+    out = render(long)
+    assert len(out) < 10 * len(long) and sum(x.count("a") for x in out.split("\n")) == 1000 and out.count("word") == 4000
+    wide = "<table><tr>" + f"<td>{'x' * 200}" * 300 + ("<tr>" + "<td>a" * 300) * 300 + "</table>"
+    assert len(render(wide)) < 10 * len(wide)
+    assert len(render("<table>" + "<tr><td colspan=1000 rowspan=60000>a<td>b" * 2000)) < 1_000_000
+
+
 def test_broken_pages_take_one_pass():
     assert render("") == "" and render("<") == "<" and render("<a") == "<a" and render("</p>x</div></b>") == "x"
     began = time.time()
