@@ -4,8 +4,9 @@ A word's features are its byte trigrams (word edges included), its affixes of fo
 often enough, itself as an entry of the lexicon. Transitions between the languages of neighbouring words are learned
 with them. Forward-backward gives every word its language probabilities; a text's language is the one with most of its words' probability.
 
-The model is fitted on the driver on a sample of labelled rows: SAMPLE documents of each language at most, chosen by a hash of
-their text; whatever is predicted reads the whole text.
+The model is fitted on the driver on a sample of labelled rows: SAMPLE different texts of each language at most, chosen by a hash of
+the text, and SAMPLE_CHARS characters of each. As these are of one language each, runs of words of two languages are spliced into further texts, from
+which switching is learned. Whatever is predicted reads the whole text.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import Window as W
 from . import vectors as v
 from .common import texts
 
-#: Labelled documents of each language that are fitted, languages at most.
-SAMPLE = 120
-LANGUAGES = 64
-#: Words of one chain; a longer text is several chains.
-CHAIN = 64
+#: Different labelled texts of each language that are fitted, characters of each, and languages; with more of these fitting is refused.
+SAMPLE, SAMPLE_CHARS = 120, 20_000
+LANGUAGES = 256
+#: Words of one chain, and how many of its neighbours' words it reads at each end when texts are labelled, so that context does not end with it.
+CHAIN, MARGIN = 64, 16
+#: Spliced texts of each language, the runs of one, and the words of a run at least and at most.
+SPLICED, RUNS, RUN = 24, 8, (4, 20)
 BUCKETS = 1 << 15
 EPOCHS, RATE, DECAY, CHAINS_A_STEP = 5, 0.25, 1e-6, 256
 LEXICON_COUNT = 4
@@ -91,6 +94,27 @@ def _emissions(w: Words, model: Model) -> np.ndarray:
     return out
 
 
+def _overlapping(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """Chains of a text that read MARGIN words on at each end: the words in them (some twice), their chain, their place in it, how many chains there
+    are, and where each word stands outside a margin.
+    """
+    new = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    sizes = np.diff(np.append(new, len(row)))
+    per_row = -(-sizes // CHAIN)
+    n = int(per_row.sum())
+    nth = np.arange(n) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    first, last = np.repeat(new, per_row), np.repeat(new + sizes, per_row)
+    core = first + nth * CHAIN
+    low, high = np.maximum(core - MARGIN, first), np.minimum(core + CHAIN + MARGIN, last)
+    lengths = high - low
+    begin = np.cumsum(lengths) - lengths
+    chain = np.repeat(np.arange(n), lengths)
+    place = np.arange(int(lengths.sum())) - begin[chain]
+    own = np.arange(len(row))
+    of = np.repeat(np.cumsum(per_row) - per_row, sizes) + (own - np.repeat(new, sizes)) // CHAIN
+    return low[chain] + place, chain, place, n, begin[of] + own - low[of]
+
+
 def _chained(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Chain and place in it of every word."""
     first = np.zeros(len(row), np.int64)
@@ -101,29 +125,30 @@ def _chained(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return chain, within % CHAIN, int(chain[-1]) + 1
 
 
-def _posteriors(emissions: np.ndarray, chain: np.ndarray, place: np.ndarray, n: int, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By forward-backward: language probabilities of every word, and expected transitions in all."""
-    k = emissions.shape[1]
-    e = np.zeros((CHAIN, n, k), np.float32)
-    there = np.zeros((CHAIN, n, 1), bool)
+def _posteriors(emissions: np.ndarray, chain: np.ndarray, place: np.ndarray, n: int, transitions: np.ndarray, fitting: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """By forward-backward: language probabilities of every word and, for fitting, expected transitions in all."""
+    k, longest = emissions.shape[1], int(place.max()) + 1
+    e = np.zeros((longest, n, k), np.float32)
+    there = np.zeros((longest, n, 1), bool)
     e[place, chain] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     there[place, chain] = True
     a = np.exp(transitions).astype(np.float32)
     forward, backward = np.zeros_like(e), np.ones_like(e)
     now = e[0] / e[0].sum(axis=1, keepdims=True)
     forward[0] = now
-    for t in range(1, CHAIN):
+    for t in range(1, longest):
         now = (now @ a) * e[t]
         now = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
         forward[t] = now
     now = np.ones((n, k), np.float32)
     expected = np.zeros((k, k))
-    for t in range(CHAIN - 2, -1, -1):
+    for t in range(longest - 2, -1, -1):
         ahead = e[t + 1] * now
         both = ahead @ a.T
-        pair = (forward[t][:, :, None] * a) * ahead[:, None, :]
-        pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-30)
-        expected += (pair * there[t + 1][:, :, None]).sum(axis=0)
+        if fitting:
+            pair = (forward[t][:, :, None] * a) * ahead[:, None, :]
+            pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-30)
+            expected += (pair * there[t + 1][:, :, None]).sum(axis=0)
         now = np.where(there[t + 1], both / np.maximum(both.sum(axis=1, keepdims=True), 1e-30), 1.0)
         backward[t] = now
     p = (forward * backward)[place, chain]
@@ -131,33 +156,61 @@ def _posteriors(emissions: np.ndarray, chain: np.ndarray, place: np.ndarray, n:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """Up to SAMPLE texts of each of LANGUAGES languages, from rows that are not held out."""
-    known = texts(docs, F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """SAMPLE different texts of each language, or all if there are fewer, from rows that are not held out."""
+    known = texts(docs, F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
+    counts = known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).limit(LANGUAGES + 1).collect()
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3 * SAMPLE / r["count"]))))
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"column lang has over {LANGUAGES} different values")
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3 * SAMPLE / r["n"]))))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    # about 3 * SAMPLE rows of a language are left for the order
+    # about 3 * SAMPLE texts of a language are left for the order, however often each stands in the table
     drawn = known.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])
     drawn = drawn.groupBy("lang", "text").agg(F.first("draw").alias("draw"))
     first = drawn.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("i") <= SAMPLE)
     return sorted((r["lang"], r["text"]) for r in first.select("lang", "text").collect())
 
 
+def _spliced(rows: list[tuple[str, str]], languages: list[str]) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Texts of runs of words by turns from two texts of different languages, with where (byte) each run begins and its language."""
+    rnd = np.random.Generator(np.random.PCG64(11))
+    words = {lang: [t.split() for x, t in rows if x == lang] for lang in languages}
+    words = {lang: [own for own in texts_ if len(own) >= RUN[0]] for lang, texts_ in words.items()}
+    usable = [lang for lang in languages if words[lang]]
+    out = []
+    for a in usable if len(usable) > 1 else ():
+        others = [x for x in usable if x != a]
+        for _ in range(SPLICED):
+            pair = [(lang, words[lang][rnd.integers(len(words[lang]))]) for lang in (a, others[rnd.integers(len(others))])]
+            text, marks = "", []
+            for i in range(RUNS):
+                lang, own = pair[i % 2]
+                n = int(rnd.integers(RUN[0], RUN[1] + 1))
+                at = int(rnd.integers(max(len(own) - n, 0) + 1))
+                marks.append((len(text.encode()), languages.index(lang)))
+                text += " ".join(own[at : at + n]) + " "
+            out.append((text, marks))
+    return out
+
+
 def fit(rows: list[tuple[str, str]]) -> Model | None:
-    """Adagrad on the chains' conditional likelihood; every word of a document bears its document's language."""
+    """Adagrad on the chains' conditional likelihood; every word of a document bears its document's language, and those of spliced texts that of their run."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"])
+    marked = [(t, [(0, languages.index(lang))]) for lang, t in rows] + _spliced(rows, languages)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in marked])], ["text"])
+    # the runs of all texts one behind the other, by row and byte
+    of_row = np.array([i for i, (_, own) in enumerate(marked) for _ in own])
+    begins, label = (np.array([mark[j] for _, own in marked for mark in own]) for j in (0, 1))
+    key = of_row * (1 << 40) + begins
     parts = []
-    label = np.array([languages.index(lang) for lang, _ in rows])
     done = 0
     for part, data, bounds in v.pieces(batch, "text"):
         w = _featurised(data, bounds)
         if len(w.row):
-            parts.append((w, label[done + w.row]))
+            parts.append((w, label[np.searchsorted(key, (done + w.row) * (1 << 40) + w.starts - bounds[w.row], "right") - 1]))
         done += len(part)
     if not parts:
         return None
@@ -197,6 +250,44 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return model
 
 
+def _labelled(w: Words, m: Model) -> np.ndarray:
+    """Language probabilities of every word, by chains that overlap."""
+    words, chain, place, n, core = _overlapping(w.row)
+    return _posteriors(_emissions(w, m)[words], chain, place, n, m.transitions, False)[0][core]
+
+
+def _runs(model):
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            for part, data, bounds in v.pieces(batch, "text"):
+                out = [[] for _ in range(len(part))]
+                w = _featurised(data, bounds) if m is not None and len(data) else None
+                if w is not None and len(w.row):
+                    best = _labelled(w, m).argmax(axis=1)
+                    # bytes that begin a character, to count code points
+                    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                    new = np.flatnonzero(np.append(True, (w.row[1:] != w.row[:-1]) | (best[1:] != best[:-1])))
+                    for a, b in zip(new, np.append(new[1:], len(best)), strict=True):
+                        if not any(map(str.isalpha, data[w.starts[a] : w.ends[b - 1]].tobytes().decode("utf-8", "replace"))):
+                            continue  # signs outside ASCII that are no letters
+                        row = int(w.row[a])
+                        base = points[bounds[row]]
+                        out[row].append({"start": int(points[w.starts[a]] - base), "end": int(points[w.ends[b - 1]] - base), "lang": m.languages[best[a]], "n_words": int(b - a)})
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], ["doc_id", "runs"])
+
+    return run
+
+
+def switched(docs: DataFrame, model: Model | None) -> DataFrame:
+    """One row per document: doc_id and runs, the stretches of words of one language in their order (code points, end exclusive; words of
+    letters alone count). Texts that are null or without letters, and all texts if nothing was learned, have none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return texts(docs).mapInArrow(_runs(shared), "doc_id long, runs array<struct<start:long,end:long,lang:string,n_words:long>>")
+
+
 def _predict(model, carry: bool = False):
     """carry: whether the rows' own columns go along, with the prediction at their end, or doc_id alone."""
 
@@ -213,8 +304,7 @@ def _predict(model, carry: bool = False):
                         lettered = plain
                         for i in np.flatnonzero((np.bincount(w.row, minlength=len(part)) > 0) & ~plain):
                             lettered[i] = any(map(str.isalpha, data[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace")))
-                        chain, place, n = _chained(w.row)
-                        p, _ = _posteriors(_emissions(w, m), chain, place, n, m.transitions)
+                        p = _labelled(w, m)
                         votes = np.stack([np.bincount(w.row, p[:, j], len(part)) for j in range(p.shape[1])], axis=1)
                 total = votes.sum(axis=1)
                 best = votes.argmax(axis=1)

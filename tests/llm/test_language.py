@@ -50,3 +50,84 @@ def test_nulls_and_letterless_texts(spark):
     assert all(got[i] == ("und", 0.0) for i in (1, 2, 3)) and got[7][0] in ("en", "de") and set(got) == {r[0] for r in rows}
     assert lid.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in lid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_overlapping_chains_as_one_long_chain():
+    """Words labelled by chains that read into their neighbours are as by one chain of the whole text, exactly where a text fits one."""
+    rnd = np.random.default_rng(2)
+    sizes = [1, 63, 64, 65, 200, 500, 7]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    e = rnd.normal(size=(len(row), 3)).astype(np.float32) * 2
+    t = np.eye(3) * 1.5
+    words, chain, place, n, core = lid._overlapping(row)
+    got = lid._posteriors(e[words], chain, place, n, t, False)[0][core]
+    assert (words[core] == np.arange(len(row))).all() and n == sum(-(-s // lid.CHAIN) for s in sizes)
+    at = 0
+    for s in sizes:
+        want, _ = lid._posteriors(e[at : at + s], np.zeros(s, int), np.arange(s), 1, t, False)
+        assert np.abs(got[at : at + s] - want).max() < (1e-6 if s <= lid.CHAIN + lid.MARGIN else 1e-3), s
+        at += s
+
+
+def code_switched(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect() if r.lang and r.text and 200 < len(r.text) < 4000]
+    return rows
+
+
+def test_words_of_code_switched_text(spark):
+    """Runs of two languages in one text: words bear their run's language, and spans map back to the text."""
+    rows = code_switched(spark)
+    model = lid.fit(sorted((lang, text) for i, text, lang in rows[: len(rows) // 2]))
+    rnd, by = np.random.default_rng(5), {}
+    for _, text, lang in rows[len(rows) // 2 :]:
+        by.setdefault(lang, []).append([w for w in text.split() if w.isalpha()])
+    docs, truth = [], {}
+    for i in range(60):
+        a, b = rnd.choice(sorted(by), 2, replace=False)
+        parts = []
+        for j in range(6):
+            own = by[(a, b)[j % 2]][rnd.integers(len(by[(a, b)[j % 2]]))]
+            at = rnd.integers(max(len(own) - 12, 1))
+            parts += [(w, (a, b)[j % 2]) for w in own[at : at + 12]]
+        docs.append((i, " ".join(w for w, _ in parts)))
+        truth[i] = parts
+    df = spark.createDataFrame([*docs, (100, None), (101, "1 2 …")], "doc_id long, text string")
+    right = total = 0
+    for r in lid.switched(df, model).collect():
+        if r.doc_id >= 100:
+            assert not r.runs
+            continue
+        text, got = dict(docs)[r.doc_id], []
+        for run in r.runs:
+            piece = text[run.start : run.end]
+            assert piece == piece.strip() and len(piece.split()) == run.n_words
+            got += [run.lang] * run.n_words
+        assert len(got) == len(truth[r.doc_id])
+        right += sum(x == y for x, (_, y) in zip(got, truth[r.doc_id], strict=True))
+        total += len(got)
+    assert right >= 0.9 * total, (right, total)
+
+
+def test_every_language_is_sampled_however_often_texts_repeat(spark):
+    rows = [(i, f"the {i} of and", "en") for i in range(300)] + [(1000 + i, "le la les et", "fr") for i in range(3000)] + [(9000 + i, f"der {i} und", "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lid.sample(df)
+    n = {lang: len([1 for x, _ in got if x == lang]) for lang in ("en", "fr", "de")}
+    own = sum(1 for r in df.filter(~lid.held_out(F.col("doc_id")) & (F.col("lang") == "de")).collect())
+    assert n == {"en": lid.SAMPLE, "fr": 1, "de": own}
+    assert lid.predict(df.limit(5).union(df.limit(5)), lid.fit(got)).count() == 10
+    many = spark.range(lid.LANGUAGES * 3).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("lang"))
+    try:
+        lid.sample(many)
+    except ValueError as e:
+        assert "lang" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_very_long_text(spark):
+    words = "the thing of the other thing and der die das und nicht ".split()
+    long = " ".join(words[i % 7 if i < 400_000 else 7 + i % 5] for i in range(600_000))
+    df = spark.createDataFrame([(1, "the thing of and", "en"), (2, "der die das und nicht", "de"), (3, "the other thing", "en"), (5, "das und nicht", "de"), (7, long, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lid.identify(df).collect()}
+    assert got[7][0] == "en" and 0.5 < got[7][1] < 0.8
