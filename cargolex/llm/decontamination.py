@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any window of an item), item_ids (array), contaminated.
 
     Null and wordless texts have no words; such items match nothing. Repeated items and ties count once, an empty
-    table on either side leaves all documents clean, and further columns are not looked at. doc_id identifies a document.
+    table on either side leaves all documents clean, and further columns are not looked at. Rows that stand several times get the same
+    result; rows of one doc_id with different texts share their hits; rows without doc_id count as clean.
     """
     words, windows = matched_windows(docs, items)
     covered = F.aggregate(

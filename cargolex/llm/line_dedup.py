@@ -50,10 +50,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     sets = marked.groupBy("_host").agg(F.collect_list("_line").alias("_set"))
     if marked.count() <= BROADCAST_ROWS:
         sets = F.broadcast(sets)
-    lines = _lines(F.col("text"))
+    # the input's own columns go along inside one struct, so that none of theirs can clash with those of the operator
+    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col("text").alias("_text")).join(sets, "_host", "left")
+    lines = _lines(F.col("_text"))
     kept = F.when(F.col("_set").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_set", _key(x)), F.lit(False))))
-    out = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(sets, "_host", "left")
-    out = out.withColumn("_kept", kept).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")))
-    return out.drop("_host", "_set", "_kept")
+    there = F.col("_text").isNotNull()
+    out = out.withColumn("_kept", kept).withColumn("_n", F.size(lines))
+    made = {"text": F.when(there, F.array_join("_kept", "\n")), "n_lines": F.when(there, F.col("_n")).otherwise(0).cast("long"), "n_dropped": F.when(there, F.col("_n") - F.size("_kept")).otherwise(0).cast("long")}
+    rest = [c for c in docs.columns if c not in made or c == "text"]
+    return out.select(*(made[c].alias(c) if c in made else F.col("_row").getField(c).alias(c) for c in rest), *(made[c].alias(c) for c in ("n_lines", "n_dropped")))

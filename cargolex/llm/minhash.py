@@ -19,7 +19,7 @@ from . import vectors as v
 from .common import checkpoint, texts
 from .components import components
 
-SHINGLE = 4
+SHINGLE = 5
 PERCENT = 80
 #: A pair at the threshold shares none of 32 bands of 4 minima with a probability of 5e-8.
 BANDS, ROWS = 32, 4

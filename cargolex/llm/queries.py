@@ -23,7 +23,7 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_near_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op5_html_extraction(spark, sf_dir):
@@ -43,7 +43,7 @@ def op7_suffix_dedup(spark, sf_dir):
 def op8_source_mixing(spark, sf_dir):
     """How often each document is read."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_source").alias("source"), "n_tokens", "n_copies")
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "n_copies")
 
 
 def op9_decontamination(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as v
-from .common import stored, texts
+from .common import checkpoint, stored, texts
 
 SPAN = 100
 _NAME = 32
@@ -234,9 +234,16 @@ def _ranked(runs: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return later, again
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, n): at at.. at+n-1 start strings of SPAN bytes that start earlier too (smaller doc_id, or before in the document)."""
-    source = texts(docs)
+def repeated_spans(docs: DataFrame, twice: DataFrame | None = None) -> DataFrame:
+    """(doc_id, at, n): at at.. at+n-1 start strings of SPAN bytes that start earlier too (smaller doc_id, or before in the document).
+
+    Rows without doc_id are left out, and of rows with one doc_id the first text by order stands for it.
+    """
+    source = texts(docs).filter(F.col("doc_id").isNotNull())
+    twice = _repeated_ids(docs) if twice is None else twice
+    if not twice.isEmpty():
+        stands = source.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        source = source.join(twice, "doc_id", "left_anti").unionByName(stands)
     found, again = _ranked(source.mapInArrow(_runs, _RUNS), _RUNS)
     spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     snippets = stored(source.join(spans, "doc_id").mapInArrow(_snippets, "doc_id long, at int, n int, own binary"))
@@ -245,11 +252,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return found.union(more).union(most)
 
 
+def _repeated_ids(docs: DataFrame) -> DataFrame:
+    """The ids of more than one row; a shuffle of ids alone."""
+    return checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+
+
 def cut_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes (remaining bytes, which may part a character; null if not asked for).
 
     A null text is empty; texts under SPAN bytes and an empty table lose nothing; of copies the first keeps its text; other columns are not looked at.
-    doc_id must be unique and not null.
+    Rows that stand several times are one document and get the same result; of different texts under one doc_id the first by order is that document, and
+    the others, as well as rows without doc_id, lose nothing.
     """
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return texts(docs).join(spans, "doc_id", "left").mapInArrow(partial(_cut, with_bytes=with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    twice = _repeated_ids(docs)
+    spans = repeated_spans(docs, twice).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    rows = texts(docs).join(spans, "doc_id", "left")
+    if not twice.isEmpty():
+        stands = texts(docs).join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.xxhash64(F.min(F.coalesce("text", F.lit("")))).alias("_first"))
+        same = F.coalesce(F.col("_first") == F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(True))
+        rows = rows.join(stands, "doc_id", "left").select("doc_id", "text", F.when(same, F.col("spans")).alias("spans"))
+    return rows.mapInArrow(partial(_cut, with_bytes=with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

@@ -33,11 +33,11 @@ def planted():
     return out
 
 
-def brute_components(texts):
+def brute_components(texts, k=4):
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(max(len(w) - 3, 1))} if w else set()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))} if w else set()
     comp = {i: i for i in texts}
 
     def root(i):
@@ -80,7 +80,7 @@ def docs(request, spark):
 
 def test_near_duplicates_as_by_brute_force(docs):
     texts, df = docs
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 4).collect()}
     assert got == brute_components(texts)
 
 

@@ -43,7 +43,7 @@ def edited_copies(seed, sizes_vary):
 @pytest.mark.parametrize(("seed", "sizes_vary"), [(1, False), (2, True), (3, True)])
 def test_group_around_the_threshold_as_by_brute_force(spark, seed, sizes_vary):
     texts = edited_copies(seed, sizes_vary)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(rows_of(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(rows_of(spark, texts), 4).collect()}
     want = brute_components(texts)
     assert got == want and 20 < len({c for _, c in want.values()}) < 340
 
@@ -52,7 +52,7 @@ def test_pairs_left_over_are_few_and_whole(spark):
     """Of pairs in one group none that is linked is ruled out, though most of the pairs that are not linked are."""
     texts = edited_copies(4, True)
     ids = sorted(texts)
-    keys, n = minhash.shingle_sets(*_bytes([texts[i] for i in ids]), len(ids))
+    keys, n = minhash.shingle_sets(*_bytes([texts[i] for i in ids]), len(ids), 4)
     sets = dict(zip(ids, map(set, np.split(keys, np.cumsum(n)[:-1])), strict=True))
     hub = ids[0]
     rows = [(hub, i, len(sets[hub]), len(sets[i]), len(sets[hub] & sets[i]), [int(x) - (1 << 64) * (x >> 63 == 1) for x in map(int, sets[i] - sets[hub])]) for i in ids[1:]]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cargolex.llm import decontamination, line_dedup, mixing
+from cargolex.llm import decontamination, line_dedup, mixing, suffix_dedup
 
 from .test_dedup import brute_components
 
@@ -110,7 +110,7 @@ def test_lines(steps):
 
 def test_near_duplicates(steps):
     before, after = map(taken, steps[2])
-    comp = brute_components({d: t for d, (_, t) in before.items()})
+    comp = brute_components({d: t for d, (_, t) in before.items()}, 5)
     assert after == {d: x for d, x in before.items() if comp[d][1] == d} and len(after) < len(before)
 
 
@@ -145,7 +145,55 @@ def test_lines_and_mix_of_odd_tables(spark):
     rows = {i: ("s" if i % 3 else None, t) for i, t in enumerate([None, "", "a\n\n a \nb", "a", "a\r\nc", "a\nc\n", "d"] * 4)}
     df = spark.createDataFrame([(d, t, s, 1.5, "x") for d, (s, t) in rows.items()], "doc_id long, text string, source string, n_copies double, _x string")
     assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()} == brute_lines(rows)
+    clash = df.selectExpr("*", "'h' as _host", "array(1L) as _set", "'k' as _kept", "struct(1 as a) as _row", "7 as n_lines", "'t' as _text")
+    for make in (line_dedup.drop_boilerplate, mixing.mix):
+        out = make(clash)
+        assert {(r._host, tuple(r._set), r._kept, r._row.a, r._text, r._x) for r in out.collect()} == {("h", (1,), "k", 1, "t", "x")}
+    assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(clash).collect()} == brute_lines(rows)
     named = {d: (s or "", t) for d, (s, t) in rows.items()}
     assert {r.doc_id: r.n_copies for r in mixing.mix(df).collect()} == brute_mix(named)
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
     assert {r.n_copies for r in mixing.mix(df.withColumn("text", F.lit(" "))).collect()} == {0}
+
+
+def test_empty_and_unlabelled_runs(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("none", []), ("nulls", [(i, None, None, None, None) for i in range(3)]), ("unlabelled", [(1, "the thing of the other", None, "a", 22)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(folder / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(folder)).count() == 0, name
+
+
+def test_repeated_rows_and_null_ids(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (2, "x " + long, "a"), (None, long, "a"), (3, "short", "b"), (3, "another text", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = sorted(((r.doc_id, r.n_removed) for r in suffix_dedup.cut_repeats(df).collect()), key=str)
+    assert out == sorted([(1, 0), (1, 0), (2, len(long)), (None, 0), (3, 0), (3, 0)], key=str)
+    bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(12)))], "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit) for r in decontamination.contamination(df, bench).collect()]
+    assert got.count((1, 60, 12)) == 2 and (2, 61, 12) in got and len(got) == 6
+    read = mixing.mix(df).collect()
+    assert len(read) == 6 and len({r.n_copies for r in read if r.doc_id == 1}) == 1
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes among short ones, in every operator of the pipeline that had none."""
+    body = "\n".join(f"line {i} of many words to read on and on" for i in range(12_000))
+    item = "a question that stands in the benchmark and nowhere else at all"
+    rows = [(1, body + " " + item, "a"), (2, "short text", "a"), (3, body[:-1], "a"), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    lines = {r.doc_id: r.n_lines for r in line_dedup.drop_boilerplate(df).collect()}
+    assert lines == {1: 12_000, 2: 1, 3: 12_000, 4: 0}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontamination.contamination(df, bench).collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.cut_repeats(df).collect()} == {i: x[0] for i, x in removed({i: t for i, t, _ in rows}).items()}
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(df).collect()} == {i: len((t or "").split()) for i, t, _ in rows}
+
+
+def removed(texts):
+    from .test_dedup import brute_repeats
+
+    return {i: (x[1],) for i, x in brute_repeats(texts).items()}
