@@ -35,8 +35,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix reads, with the number of times (n_copies) and the key of their order (mix_order)."""
-    read = mixing.mix(docs).filter("n_copies > 0").select("doc_id", "n_tokens", "n_copies", "mix_order")
-    return docs.drop("n_tokens", "n_copies", "mix_order").join(read, "doc_id")
+    return mixing.mix(docs).filter("n_copies > 0")
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", benchmark), ("source_mixing", mixture)]
