@@ -66,7 +66,9 @@ def name_key(c: Column) -> Column:
 
 def _name_ok(expected: Column, got: Column) -> Column:
     short = strip(F.get(F.split(expected, ","), F.lit(0)))
-    return F.coalesce(expected == "", F.lit(True)) | name_key(got).contains(name_key(short)) | (partial_similarity(name_key(short), name_key(got)) >= NAME_SIMILARITY)
+    inside = name_key(got).contains(name_key(short))
+    # only names that are not found as they are go to the scorer
+    return F.coalesce(expected == "", F.lit(True)) | inside | (partial_similarity(F.when(~inside, name_key(short)), name_key(got)) >= NAME_SIMILARITY)
 
 
 def _party_ok(e: Column, got: Column) -> Column:

@@ -53,7 +53,7 @@ _UNSEEN = f"translate({_DIRTY}, {_q(tn.INVISIBLE)}, '')"
 
 def _dirty(spark, sf_dir) -> DataFrame:
     """Documents with invisible characters, doubled spaces and line ends, and words broken by dashes."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(_DIRTY.replace("chr(8203)", _q("​")).replace("chr(10)", "char(10)")).alias("text"))
+    return forms.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(_DIRTY.replace("chr(8203)", _q("​")).replace("chr(10)", "char(10)")).alias("text"))
 
 
 @_query(f"select doc_id, md5({_UNSEEN}) as out from documents")
@@ -89,7 +89,7 @@ _LINES = r"select doc_id, unnest(string_split(text, chr(10))) as l, generate_sub
 
 @_query(f"select doc_id, count(t) as n_tokens, coalesce(sum({_GARBAGE}::int), 0)::bigint as n_garbage from documents left join (select doc_id as d, unnest(regexp_extract_all(text, '[^\\s\\x1c-\\x1f]+')) as t from documents) on d = doc_id group by doc_id")
 def garbage_token_flags(spark, sf_dir):
-    own = _table(spark, sf_dir, "documents").select("doc_id", tn.tokens(F.col("text")).alias("t"))
+    own = forms.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tn.tokens(F.col("text")).alias("t"))
     return own.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", tn.is_garbage_token)).cast("long").alias("n_garbage"))
 
 
@@ -97,7 +97,7 @@ def garbage_token_flags(spark, sf_dir):
 s as (select doc_id, i, avg({_GARBAGE}::int) as share from t group by doc_id, i)
 select l.doc_id, count(*) as n_lines, sum((coalesce(share, 1.0) >= 0.5)::int)::bigint as n_noise from l left join s using (doc_id, i) group by l.doc_id""")
 def noise_line_share(spark, sf_dir):
-    own = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    own = forms.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n", -1).alias("l"))
     return own.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.filter("l", lambda x: tn.is_noise_line(x))).cast("long").alias("n_noise"))
 
 
@@ -105,7 +105,7 @@ def noise_line_share(spark, sf_dir):
 k as (select doc_id, string_agg(t, '' order by i) as s from p where regexp_matches(t, '^[\\s\\x1c-\\x1f]*$') or not {_GARBAGE} group by doc_id)
 select doc_id, md5(coalesce({_STRIP.format("regexp_replace(s, '[\\s\\x1c-\\x1f]{2,}', ' ', 'g')")}, '')) as out from documents left join k using (doc_id)""")
 def strip_garbage_tokens(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(tn.strip_garbage_tokens(F.col("text"))).alias("out"))
+    return forms.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(tn.strip_garbage_tokens(F.col("text"))).alias("out"))
 
 
 @_query("select o_orderkey, case o_orderkey % 4 when 0 then cast(o_orderkey as varchar) when 1 then 'отсутствует' when 2 then 'неразборчиво' else o_orderpriority end as out from orders")
@@ -211,10 +211,12 @@ def header_candidates(spark, sf_dir):
 _TITLES = [("1", "Грузоотправитель: ООО", "shipper"), ("2", "Груз", "cargo"), ("3", "груз - мука", "cargo"), ("4", "Грузополучатель", "consignee"), ("5", "ПРИЕМ ГРУЗА", "reception"), ("6", "Отметки о выдаче", "__ignored__"), ("7", "Грузоопучатель", "consignee"), ("8", "Продавец", "shipper"), ("9", "Перевозчик", "carrier"), ("10", "Условия перевозки", "__ignored__"), ("11", "Наименование", "?"), ("12", "грузовик", "?груз")]
 
 
-@_query(f"select n, title, role from (values {', '.join(f'({n}, {_q(t)}, {_q(r)})' for n, t, r in _TITLES)}) v(n, title, role)")
+@_query(f"select o_orderkey, title || ' ' || o_orderkey as title, role from orders join (values {', '.join(f'({n}, {_q(t)}, {_q(r)})' for n, t, r in _TITLES)}) v(n, title, role) on o_orderkey % {len(_TITLES)} + 1 = n")
 def header_classify(spark, sf_dir):
-    own = spark.createDataFrame([(int(n), t) for n, t, _ in _TITLES], "n int, title string").withColumn("role", sections.exact_role(F.col("title")))
-    return own
+    """A title for each order, with its key behind it."""
+    title = F.element_at(F.array(*(F.lit(t) for _, t, _ in _TITLES)), (F.col("o_orderkey") % len(_TITLES) + 1).cast("int"))
+    own = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", title, F.col("o_orderkey").cast("string")).alias("title"))
+    return own.withColumn("role", sections.exact_role(F.col("title")))
 
 
 @_query()
@@ -253,9 +255,10 @@ for _f in FIELDS:
     _query(f"select o_orderkey, {_f}, {_f}_conf from ({forms.expected_sql([_f])})")(_extract(_f))
 
 
-@_query(f"select o_orderkey, number from ({forms.values_sql()}) where defect = 2")
+@_query(f"select o_orderkey, case when defect = 2 then number end as number from ({forms.values_sql()})")
 def extract_number_no_sign(spark, sf_dir):
-    own = _forms(spark, sf_dir).filter("defect = 2")
+    """Forms with a sign have no line that is a bare number; only those without one do."""
+    own = _forms(spark, sf_dir)
     return own.select("o_orderkey", fields.number_without_sign(fields.heading_tail(F.lit(None).cast("string"), F.col("text"))).alias("number"))
 
 
@@ -440,7 +443,7 @@ def input_priority_pick(spark, sf_dir):
 
 def _scored(spark, sf_dir) -> DataFrame:
     """Expert labels beside results: every fifth number, every seventh plate and every eighth consignee is wrong or missing."""
-    v, k = forms.values(spark, sf_dir), F.col("o_orderkey")
+    v, k = forms.spread(forms.values(spark, sf_dir)), F.col("o_orderkey")
     party = lambda inn, name: F.struct(F.col(inn).alias("inn"), F.col(name).alias("name"))
     none = F.lit(None)
     expected = F.struct(F.col("number"), F.col("day").alias("date"), party("shipper_inn", "shipper_name").alias("shipper"), F.struct(none.cast("string").alias("inn"), F.col("consignee_name").alias("name")).alias("consignee"), F.when(k % 2 == 0, F.col("driver")).alias("driver"), F.struct(F.lit("МАЗ").alias("make"), F.col("plate")).alias("vehicle"), F.col("cargo_name").alias("cargo"), F.struct(F.col("places").cast("int").alias("places"), none.cast("double").alias("net"), none.cast("double").alias("vol")).alias("volume"), party("terminal_inn", "terminal_name").alias("reception"))
