@@ -82,14 +82,27 @@ def choose(plain: Column, blocks: Column, layout: Column) -> Column:
     return F.when((best < FEW) & (g >= LAYOUT_GAIN * best) & (g > LEAST_LAYOUT), layout).when(b > BLOCKS_GAIN * p, blocks).otherwise(plain)
 
 
+def page_text(page: Column) -> Column:
+    """The text of a page: a struct of width, plain, blocks and spans. Spans are rendered only for poor pages."""
+
+    def chosen(blocks: Column) -> Column:
+        weak = F.greatest(score(page["plain"]), score(blocks)) < FEW
+        return choose(F.coalesce(page["plain"], F.lit("")), blocks, F.when(weak, render(page["spans"].cast(SPAN), page["width"])))
+
+    return let(block_text(page["blocks"]), chosen)
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
-    """pages(source, page_no, width, plain, blocks, spans) to (source, page_no, text). Spans are rendered only for poor pages."""
-    blocks = block_text(F.col("blocks"))
-    weak = F.greatest(score(F.col("plain")), score(blocks)) < FEW
-    return pages.select("source", "page_no", choose(F.coalesce("plain", F.lit("")), blocks, F.when(weak, render(F.col("spans").cast(SPAN), F.col("width")))).alias("text"))
+    """pages(source, page_no, width, plain, blocks, spans) to (source, page_no, text)."""
+    return pages.select("source", "page_no", page_text(F.struct("width", "plain", "blocks", "spans")).alias("text"))
+
+
+def joined_pages(pages: Column) -> Column:
+    """The text of an array of pages in their order, parted by form feeds; nothing is shuffled."""
+    return F.array_join(F.transform(F.array_sort(F.transform(pages, lambda p: F.struct(p["page_no"].alias("page_no"), page_text(p).alias("text")))), lambda p: p["text"]), "\f")
 
 
 def file_texts(pages: DataFrame) -> DataFrame:
-    """(source, text): a file's pages in order, parted by form feeds."""
+    """(source, text): pages that are rows of their own, in order, parted by form feeds."""
     own = page_texts(pages).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
     return own.select("source", F.array_join(F.transform("pages", lambda p: p["text"]), "\f").alias("text"))

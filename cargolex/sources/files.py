@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.textnorm import normalize
-from ..operators.layout import file_texts
+from ..operators.layout import joined_pages
 from ..schema import CORRECTION, FIELDS, SNAPSHOT_ROW, SPAN
 
 PAGES = f"page_no int, width double, plain string, blocks array<struct<kind:int,text:string>>, spans {SPAN}"
@@ -26,7 +26,7 @@ def list_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def decoded(documents: DataFrame, decoder: Callable[[bytes], list[dict]]) -> DataFrame:
     """(source, text, error) of documents. decoder: bytes to the page dicts of PAGES (the library that reads PDFs is the caller's); what it
-    raises becomes the file's error and never fails the job."""
+    raises becomes the file's error and never fails the job. Each document is decoded once, and nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,8 +41,7 @@ def decoded(documents: DataFrame, decoder: Callable[[bytes], list[dict]]) -> Dat
     page = pa.struct([("page_no", pa.int32()), ("width", pa.float64()), ("plain", pa.string()), ("blocks", pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))), ("spans", pa.list_(span))])
     schema = pa.schema([("source", pa.string()), ("pages", pa.list_(page)), ("error", pa.string())])
     own = documents.select("path", "content").mapInArrow(run, f"source string, pages array<struct<{re.sub(r'(\w+) (?=int|double|string|array)', r'\1:', PAGES)}>>, error string")
-    texts = file_texts(own.select("source", F.inline("pages")))
-    return own.select("source", "error").join(texts, "source", "left").select("source", F.coalesce("text", F.lit("")).alias("text"), "error")
+    return own.select("source", F.coalesce(joined_pages(F.col("pages")), F.lit("")).alias("text"), "error")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -63,7 +63,10 @@ def test_decoder_errors_and_layout(spark, tmp_path):
             raise ValueError("сломан")
         return [{"page_no": i, "width": 100.0, "plain": "текст " * 30, "blocks": [], "spans": []} for i in (1, 2)]
 
-    got = {r.source.rsplit("/", 1)[1]: r for r in files.decoded(files.list_documents(spark, str(tmp_path)), decoder).collect()}
+    out = files.decoded(files.list_documents(spark, str(tmp_path)), decoder)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    got = {r.source.rsplit("/", 1)[1]: r for r in out.collect()}
     assert set(got) == {"a.PDF", "b.pdf"} and got["b.pdf"].error == "сломан" and got["a.PDF"].text.count("\f") == 1
 
 
