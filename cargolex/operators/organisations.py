@@ -22,7 +22,7 @@ def parties_of(expected: DataFrame) -> DataFrame:
     doc = expected.select("source_file", F.posexplode("documents").alias("doc_no", "d"))
     fields = [c for c in COLUMNS if c != "ogrn"]
     as_struct = lambda p: F.struct(*(p[c].alias(c) for c in fields))
-    own = F.concat(F.coalesce(F.transform("d.parties", as_struct), F.array()), F.array(as_struct(F.col("d.loading.infrastructure_owner"))))
+    own = F.concat(F.coalesce(F.transform("d.parties", as_struct), F.array()), F.array(*(as_struct(F.col(f"d.{at}.infrastructure_owner")) for at in ("loading", "unloading"))))
     rows = doc.select("source_file", "doc_no", F.posexplode(own).alias("party_no", "p")).select("source_file", "doc_no", "party_no", "p.*")
     return rows.withColumn("seq", F.concat_ws("|", "source_file", F.lpad(F.col("doc_no").cast("string"), 6, "0"), F.lpad(F.col("party_no").cast("string"), 6, "0")))
 

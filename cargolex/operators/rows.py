@@ -125,11 +125,21 @@ def enrich(rows: DataFrame, suggestions: DataFrame | None) -> DataFrame:
 
 
 def enrich_with(rows: DataFrame, plugin: Callable | None) -> DataFrame:
-    """plugin: an iterator of Arrow batches (row_source and fields) to suggestions; runs on weak rows alone. None leaves rows as they are."""
+    """plugin: an iterator of Arrow batches (row_source and fields) to suggestions, called for each batch of weak rows; None leaves rows as
+    they are. A batch for which it raises has no suggestions, so that its errors never fail the job."""
     if plugin is None:
         return rows
+
+    def run(batches):
+        for batch in batches:
+            try:
+                told = list(plugin(iter([batch])))
+            except Exception:  # noqa: BLE001
+                continue
+            yield from told
+
     weak = rows.filter(overall(F.col("confidence")) < LEAST_CONFIDENCE).select("row_source", *FIELDS)
-    return enrich(rows, weak.mapInArrow(plugin, weak.schema))
+    return enrich(rows, weak.mapInArrow(run, weak.schema))
 
 
 def to_json(rows: DataFrame) -> DataFrame:

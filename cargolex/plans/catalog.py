@@ -13,7 +13,7 @@ from ..functions import textnorm as tn
 from ..functions import validate as va
 from ..operators import documents, feedback, fields, layout, organisations, reports, rows, scoring, sections
 from ..schema import FIELDS
-from ..sources import sinks
+from ..sources import files, sinks
 from . import forms
 
 YEAR = forms.AS_OF_YEAR
@@ -219,10 +219,13 @@ def header_classify(spark, sf_dir):
     return own.withColumn("role", sections.exact_role(F.col("title")))
 
 
-@_query()
+_MISREAD = {"Грузотравитель": "shipper", "Псревозчик": "carrier", "Транспортнос средство": "vehicle", "Прнем груза": "reception", "Наименование": None, "Пере": None}
+
+
+@_query(f"select o_orderkey, title, role from orders join customer on o_custkey = c_custkey join (values {', '.join(f'({i}, {_q(t)}, {_q(r) if r else "null"})' for i, (t, r) in enumerate(_MISREAD.items()))}) t(i, title, role) on i = o_orderkey % {len(_MISREAD)}")
 def header_fuzzy(spark, sf_dir):
-    """Roles of misread titles; the scorer slides windows, which SQL cannot say."""
-    own = forms.values(spark, sf_dir).select("o_orderkey", F.element_at(F.array(*map(F.lit, ["Грузотравитель", "Псревозчик", "Транспортнос средство", "Прнем груза", "Наименование", "Пере"])), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("title"))
+    """Roles of misread titles."""
+    own = forms.values(spark, sf_dir).select("o_orderkey", F.element_at(F.array(*map(F.lit, _MISREAD)), (F.col("o_orderkey") % len(_MISREAD) + 1).cast("int")).alias("title"))
     from ..functions.fuzzy import fuzzy_roles
 
     return own.select("o_orderkey", "title", F.get(fuzzy_roles(F.array("title")), F.lit(0)).alias("role"))
@@ -441,6 +444,50 @@ def input_priority_pick(spark, sf_dir):
     return scoring.pick_inputs(_table(spark, sf_dir, "orders").select(F.concat(F.lit("/in/"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit("/"), base, suffix, F.lit(".pdf")).alias("path")))
 
 
+def _experts(spark, sf_dir) -> DataFrame:
+    """Expert files of orders, by the key's remainder of four: a waybill among documents, a page, no JSON, and documents without a waybill."""
+    k, c = F.col("o_orderkey"), F.col
+    party = lambda role, inn, name, driver=None: F.struct(F.lit(role).alias("role"), c(inn).alias("inn"), c(name).alias("name"), F.when(F.lit(driver is not None), F.struct(F.lit("").alias("short_name"), c("driver").alias("full_name"))).alias("driver"))
+    net = (c("o_custkey") % 20 + F.lit(0.5)).alias("net_weight_t")
+    places = c("places").cast("int").alias("places_count")
+    tn = F.struct(
+        F.lit("TN").alias("type"), "number", scoring.ru_to_iso(c("day")).alias("date"),
+        F.array(party("carrier", "terminal_inn", "terminal_name", "driver"), party("shipper", "shipper_inn", "shipper_name"), party("consignee", "consignee_inn", "consignee_name")).alias("parties"),
+        F.struct(F.lit("МАЗ").alias("vehicle_make"), c("plate").alias("vehicle_reg_plate")).alias("transport"),
+        F.struct(c("cargo_name").alias("description"), places, net).alias("cargo_header"),
+        F.struct(F.when(k % 8 != 4, F.struct(c("terminal_name").alias("name"), c("terminal_inn").alias("inn"))).alias("infrastructure_owner")).alias("loading"),
+    )
+    page = F.struct(
+        F.when(k % 8 == 1, "").otherwise(c("number")).alias("ttn_internal_number"), c("number").alias("order_number"), F.regexp_replace("day", r"20(\d\d)$", "$1").alias("ttn_date"),
+        F.struct(c("shipper_name").alias("name"), c("shipper_inn").alias("inn")).alias("consignor"), F.struct(c("consignee_name").alias("name"), c("consignee_inn").alias("inn")).alias("consignee"),
+        c("driver").alias("carrier_driver"), F.struct(F.lit("МАЗ").alias("brand"), "plate").alias("vehicle"), F.struct(c("cargo_name").alias("name"), places, net).alias("cargo"),
+        F.struct(F.when(k % 8 != 5, c("terminal_name")).alias("loader"), c("terminal_inn").alias("loader_inn")).alias("loading_point"),
+    )
+    text = F.when(k % 4 == 0, F.concat(F.lit('{"documents":[{"type":"UPD","number":"0"},'), F.to_json(tn), F.lit("]}")))
+    text = text.when(k % 4 == 1, F.concat(F.lit('{"documents":["UPD","TTN_LIST"],"pages":[{"document_type":"UPD","structured_fields":{}},{"document_type":"TTN","structured_fields":{}},{"document_type":"TTN","structured_fields":'), F.to_json(page), F.lit("}]}")))
+    text = text.when(k % 4 == 2, '{"documents":').otherwise('{"documents":[{"type":"UPD"}],"pages":[]}')
+    return files.expert_json(forms.values(spark, sf_dir).select(k.cast("string").alias("source_file"), text.alias("text")))
+
+
+@_query(f"""select o_orderkey, number, day as date, shipper_inn, shipper_name, consignee_inn, driver, 'МАЗ' as make, plate, cargo_name as cargo, places, cast(o_custkey % 20 as varchar) || '.5' as net,
+ case when o_orderkey % 8 not in (4, 5) then terminal_inn end as owner_inn from ({forms.values_sql()}) where o_orderkey % 4 < 2""")
+def expert_expectations(spark, sf_dir):
+    own = scoring.expectations(_experts(spark, sf_dir))
+    parts = {"shipper_inn": "shipper.inn", "shipper_name": "shipper.name", "consignee_inn": "consignee.inn", "driver": "driver", "make": "vehicle.make", "plate": "vehicle.plate", "cargo": "cargo", "places": "volume.places", "net": "volume.net", "owner_inn": "reception.inn"}
+    return own.select(F.col("source_file").cast("long").alias("o_orderkey"), "number", "date", *(F.col(v).alias(k) for k, v in parts.items()))
+
+
+@_query("""with f as (select 'TN_' || (o_custkey // 2) as base, o_custkey // 2 as n, '/in/' || o_orderkey || '/TN_' || (o_custkey // 2) || case o_orderkey % 4 when 0 then '_ocred' when 1 then '-выход' when 2 then ' выход' else '' end || '.pdf' as path, o_orderkey % 4 = 2 as other from orders)
+select path, case when n % 3 <> 0 and not other then base || '.json' end as source_file from f""")
+def file_expert_match(spark, sf_dir):
+    """Files beside the expert files of two thirds of their base names; a space before the last suffix is part of the name."""
+    own = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey div 2").alias("n"))
+    suffix = F.element_at(F.array(*map(F.lit, ["_ocred", "-выход", " выход", ""])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    paths = own.select(F.concat(F.lit("/in/"), F.col("o_orderkey").cast("string"), F.lit("/TN_"), F.col("n").cast("string"), suffix, F.lit(".pdf")).alias("path"))
+    experts = own.filter("n % 3 <> 0").select(F.concat(F.lit("TN_"), F.col("n").cast("string"), F.lit(".json")).alias("source_file")).distinct()
+    return scoring.with_experts(paths, experts)
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     """Expert labels beside results: every fifth number, every seventh plate and every eighth consignee is wrong or missing."""
     v, k = forms.spread(forms.values(spark, sf_dir)), F.col("o_orderkey")
@@ -468,6 +515,29 @@ def golden_rule_check(spark, sf_dir):
     return forms.values(spark, sf_dir).select("o_orderkey", F.array_join(scoring.rule_failures(F.col("cargo_name"), rule), ",").alias("failed"))
 
 
+_GOLDEN = [("number", "equals", 0, "k % 5 = 0"), ("cargo", "not_contains", 0, "k % 3 = 0"), ("conf_min", "conf_min", 0, "k % 7 = 0"), ("note_not_contains", "note_not_contains", 0, "k % 4 = 1"), ("row", "missing", 1, "k % 6 = 1"), ("row", "extra", 1, "k % 6 = 0")]
+
+
+@_query("with v as (select o_orderkey as k from orders join customer on o_custkey = c_custkey where o_orderkey % 9 <> 4) " + " union all ".join(f"select cast(k as varchar) as golden_case, {i}::int as doc_idx, '{what}' as what, '{failed}' as failed from v where {when}" for what, failed, i, when in _GOLDEN))
+def golden_case_check(spark, sf_dir):
+    """Golden files against rows: wrong values and words, confidences too low, notes, rows that are missing or too many, and rows of no case."""
+    own, k = forms.values(spark, sf_dir), F.col("o_orderkey")
+    told = F.struct(
+        F.when(k % 5 == 0, "другой").otherwise(F.col("number")).alias("number"),
+        F.struct(F.array(F.lit("Изделие")).alias("contains"), F.array(F.when(k % 3 == 0, "стальное").otherwise("медное")).alias("not_contains")).alias("cargo"),
+        F.lit("отсутствует").alias("driver"),
+        F.when(k % 7 == 0, 0.9).otherwise(0.8).alias("conf_min"),
+        F.when(k % 4 == 1, F.array(F.lit("ERROR"), F.lit("LOW"))).otherwise(F.array(F.lit("ERROR"))).alias("note_not_contains"),
+    )
+    text = F.concat(F.lit('{"rows":['), F.to_json(told), F.when(k % 6 == 1, ",{}").otherwise(""), F.lit("]}"))
+    rules = scoring.golden_rules(own.filter(k % 9 != 4).select(k.cast("string").alias("case"), text.alias("text")))
+    confidence = F.struct(*(F.lit(0.8).alias(f) for f in FIELDS))
+    n_rows = F.when(k % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    values = [F.col("cargo_name" if f == "cargo" else f) if f in ("number", "cargo") else F.lit(None).cast("string") for f in scoring.GOLDEN]
+    got = own.select(F.concat(k.cast("string"), F.lit(".pdf")).alias("source"), F.explode(n_rows).alias("doc_idx"), *(v.alias(f) for f, v in zip(scoring.GOLDEN, values, strict=True)), confidence.alias("confidence"), F.when(k % 2 == 1, "LOW_CONF").alias("note"))
+    return scoring.golden_failures(got, rules).withColumnRenamed("case", "golden_case")
+
+
 # layout
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.textnorm import normalize
 from ..operators.layout import joined_pages
-from ..schema import CORRECTION, FIELDS, SNAPSHOT_ROW, SPAN
+from ..schema import CORRECTION, EXPERT_DOCUMENTS, EXPERT_PAGES, FIELDS, SNAPSHOT_ROW, SPAN
 
 PAGES = f"page_no int, width double, plain string, blocks array<struct<kind:int,text:string>>, spans {SPAN}"
 
@@ -44,9 +44,15 @@ def decoded(documents: DataFrame, decoder: Callable[[bytes], list[dict]]) -> Dat
     return own.select("source", F.coalesce(joined_pages(F.col("pages")), F.lit("")).alias("text"), "error")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """Whole text files, form feeds kept: source (file name), text."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=names).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), F.col("value").alias("text"))
+
+
+def file_marks(files: DataFrame) -> DataFrame:
+    """A reader's rows with the path, size and time of their files, which key the cache: path, length, modified."""
+    m = F.col("_metadata")
+    return files.withColumns({"path": m["file_path"], "length": m["file_size"], "modified": m["file_modification_time"]})
 
 
 def with_sidecars(documents: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -76,8 +82,23 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     return own.dropna(subset=required)
 
 
+def expert_json(texts: DataFrame) -> DataFrame:
+    """(source_file, text) of expert files to (source_file, documents, pages); what is no JSON, or of another shape, is NULL and fails nothing."""
+    own = texts.select("source_file", F.from_json("text", "documents string, pages string").alias("e"))
+    return own.select("source_file", F.from_json("e.documents", EXPERT_DOCUMENTS).alias("documents"), F.from_json("e.pages", EXPERT_PAGES).alias("pages"))
+
+
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    """The .json files of a folder as expert_json gives them."""
+    own = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return expert_json(own.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"), F.col("value").alias("text")))
+
+
+def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Golden cases of a folder: (source, text) of the .txt files, and (case, text) of the .expected.json files that have such a file beside them."""
+    texts = read_texts(spark, path, "*.txt")
+    rules = read_texts(spark, path, "*.expected.json").select(F.regexp_replace("source", r"\.expected\.json$", "").alias("case"), "text")
+    return texts, rules.join(texts.select(F.regexp_replace("source", r"\.txt$", "").alias("case")), "case", "left_semi")
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolex import cli
-from cargolex.operators import documents, feedback, organisations, rows
+from cargolex.operators import documents, feedback, organisations, rows, scoring
 from cargolex.operators.reports import file_status
 from cargolex.plans import catalog, forms
 from cargolex.schema import FIELDS
@@ -17,7 +17,7 @@ from cargolex.sources import files, sinks
 from cargolex.streaming import directory
 
 SF, NOW = "/root/testdata/sf0.001", datetime(2026, 1, 2, 3, 4, 5)
-CHECKED = ["normalize_text", "garbage_token_flags", "split_pages", "noise_doc_filter", "first_marker_per_role", "extract_number", "log_lines", "batch_file_status", "feedback_diff", "accuracy_by_field", "line_grouping", "waybill_pipeline"]
+CHECKED = ["normalize_text", "garbage_token_flags", "split_pages", "noise_doc_filter", "first_marker_per_role", "extract_number", "log_lines", "batch_file_status", "feedback_diff", "accuracy_by_field", "header_fuzzy", "input_priority_pick", "expert_expectations", "file_expert_match", "golden_rule_check", "golden_case_check", "line_grouping", "waybill_pipeline"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -81,6 +81,46 @@ def test_enrichment_fills_blanks_of_weak_rows(spark):
     assert back.source == "x" and back.confidence.driver == 0.0
 
 
+def test_plugin_errors_never_fail_the_job(spark):
+    df = spark.createDataFrame([("x", "пусто", None)], "source string, text string, error string")
+    weak = rows.parse_or_error(df, forms.AS_OF_YEAR)
+
+    def broken(batches):
+        raise ValueError("no network")
+
+    assert [r.note for r in rows.enrich_with(weak, broken).collect()] == ["LOW_TEXT;LOW_CONF"]
+
+
+def test_expert_files_and_parties(spark, tmp_path):
+    owner = lambda inn: {"infrastructure_owner": {"name": "Порт", "inn": inn}}
+    whole = {"documents": [{"type": "TN", "number": 7, "parties": [{"role": "shipper", "inn": "7736207543", "name": "А"}], "cargo_header": {"net_weight_t": 12.50, "places_count": 3}, "loading": owner("500100732259"), "unloading": owner("7707083893")}]}
+    for name, text in {"a": json.dumps(whole), "b": "[1, 2", "c": "{}", "d": '{"documents": 5, "pages": "x"}', "e": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    expected = files.read_expected(spark, str(tmp_path))
+    assert expected.count() == 5
+    got = scoring.expectations(expected).collect()
+    assert [(r.source_file, r.number, r.date, r.shipper.inn, r.volume.net, r.volume.places, r.reception.name) for r in got] == [("a.json", "7", None, "7736207543", "12.5", "3", "Порт")]
+    assert [r.inn for r in organisations.parties_of(expected).orderBy("seq").collect()] == ["7736207543", "500100732259", "7707083893"]
+
+
+def test_golden_files_frozen_and_read_again(spark, tmp_path):
+    out = rows.parse(files.normalized(spark.createDataFrame(form_texts(spark, 2), "source string, text string")), forms.AS_OF_YEAR).cache()
+    fresh = scoring.frozen(scoring.fresh_rules(out))
+    for r in scoring.golden_json(fresh).collect():
+        assert json.loads(r.text)["rows"][0]["note_not_contains"] == ["ERROR"]
+        (tmp_path / f"{r.case}.expected.json").write_text(r.text, encoding="utf-8")
+        (tmp_path / f"{r.case}.txt").write_text("x", encoding="utf-8")
+    (tmp_path / "alone.expected.json").write_text('{"rows": []}')
+    texts, cases = files.read_golden(spark, str(tmp_path))
+    assert texts.count() == 2 and cases.count() == 2
+    rules = scoring.golden_rules(cases)
+    assert scoring.golden_failures(out, rules).count() == 0
+    told = rules.withColumn("rules", F.create_map(F.lit("number"), F.lit("иной")))
+    kept = scoring.frozen(scoring.fresh_rules(out), told)
+    assert {(r.what, r.failed) for r in scoring.golden_failures(out, kept).collect()} == {("number", "equals")}
+    assert all(set(r.rules) == {*scoring.GOLDEN, "conf_min", "note_not_contains"} for r in kept.collect())
+
+
 def test_sinks_there_and_back(spark, tmp_path):
     out = catalog._rows(spark, SF).filter("doc_idx < 30").cache()
     path = sinks.write_workbook_safe(out, str(tmp_path / "r.xlsx"), NOW)
@@ -123,12 +163,40 @@ def test_sidecars_and_directory(spark):
     assert [r.inn for r in organisations.remembered(cached, found).collect()] == ["500100732259"]
 
 
-def test_cli(spark, tmp_path):
+def test_cli(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "no")], spark) == 2 and cli.main([str(tmp_path)], spark) == 1
-    for name, text in form_texts(spark, 3):
+    texts = form_texts(spark, 3)
+    for name, text in texts[:2]:
         (tmp_path / name).write_text(text, encoding="utf-8")
-    assert cli.main([str(tmp_path), "--as-of-year", str(forms.AS_OF_YEAR)], spark) == 0
-    assert (tmp_path / "result.xlsx").exists() and "Файлов:     3" in (tmp_path / "result.log").read_text()
+    year = ["--as-of-year", str(forms.AS_OF_YEAR)]
+    assert cli.main([str(tmp_path), *year], spark) == 0
+    (tmp_path / texts[2][0]).write_text(texts[2][1], encoding="utf-8")
+    # rows that the cache holds are taken from it, so that they can be told from rows that are read
+    cache = str(tmp_path / ".cargolex_cache")
+    held = spark.read.parquet(cache)
+    marked = [r.asDict(True) | {"note": "CACHED"} for r in held.collect()]
+    spark.createDataFrame(marked, held.schema).write.mode("overwrite").parquet(cache)
+    capsys.readouterr()
+    assert cli.main([str(tmp_path), "-v", *year], spark) == 0
+    assert (tmp_path / "extraction.xlsx").exists() and "Файлов:     3" in (tmp_path / "extraction.log").read_text()
+    assert capsys.readouterr().out.count("[OK  ]") == 3
+    notes = {r.source: r.note for r in files.read_workbooks(spark, str(tmp_path)).collect()}
+    assert notes == {texts[0][0]: "CACHED", texts[1][0]: "CACHED", texts[2][0]: ""}
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_cli_with_decoder(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"good")
+    (tmp_path / "in" / "b.PDF").write_bytes(b"bad")
+    (tmp_path / "ownpages.py").write_text(
+        "def pages(content):\n    if content == b'bad':\n        raise ValueError('broken')\n    return [{'page_no': 1, 'width': 100.0, 'plain': 'Транспортная накладная ' * 20, 'blocks': [], 'spans': []}]\n", encoding="utf-8"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "ownpages.py"))
+    out = tmp_path / "out.xlsx"
+    assert cli.main([str(tmp_path / "in"), "--decoder", "ownpages:pages", "--out", str(out), "--no-cache"], spark) == 3
+    assert out.exists() and "broken" in (tmp_path / "out.log").read_text() and not (tmp_path / ".cargolex_cache").exists()
 
 
 def test_stream_reads_each_file_once(spark, tmp_path):
