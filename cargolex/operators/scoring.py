@@ -202,8 +202,8 @@ def golden_rules(cases: DataFrame) -> DataFrame:
 
 
 def golden_failures(results: DataFrame, rules: DataFrame) -> DataFrame:
-    """(case, doc_idx, what, failed) of all that golden_rules and result rows disagree on: a field's checks, conf_min, note_not_contains, and rows
-    that are missing or too many. The source of a result is its case with any suffix; results of no case are not looked at."""
+    """(case, doc_idx, what, failed) of all that golden_rules and result rows disagree on: what is a field, with its check, or `row`, with conf_min,
+    note_not_contains, missing or extra. The source of a result is its case with any suffix; results of no case are not looked at."""
     got = results.select(F.regexp_replace("source", r"\.[^.]*$", "").alias("case"), "doc_idx", *GOLDEN, F.coalesce("note", F.lit("")).alias("note"), overall(F.col("confidence")).alias("_overall"), F.lit(True).alias("_there"))
     both = rules.join(got, ["case", "doc_idx"], "left")
 

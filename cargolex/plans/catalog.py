@@ -515,7 +515,7 @@ def golden_rule_check(spark, sf_dir):
     return forms.values(spark, sf_dir).select("o_orderkey", F.array_join(scoring.rule_failures(F.col("cargo_name"), rule), ",").alias("failed"))
 
 
-_GOLDEN = [("number", "equals", 0, "k % 5 = 0"), ("cargo", "not_contains", 0, "k % 3 = 0"), ("conf_min", "conf_min", 0, "k % 7 = 0"), ("note_not_contains", "note_not_contains", 0, "k % 4 = 1"), ("row", "missing", 1, "k % 6 = 1"), ("row", "extra", 1, "k % 6 = 0")]
+_GOLDEN = [("number", "equals", 0, "k % 5 = 0"), ("cargo", "not_contains", 0, "k % 3 = 0"), ("row", "conf_min", 0, "k % 7 = 0"), ("row", "note_not_contains", 0, "k % 4 = 1"), ("row", "missing", 1, "k % 6 = 1"), ("row", "extra", 1, "k % 6 = 0")]
 
 
 @_query("with v as (select o_orderkey as k from orders join customer on o_custkey = c_custkey where o_orderkey % 9 <> 4) " + " union all ".join(f"select cast(k as varchar) as golden_case, {i}::int as doc_idx, '{what}' as what, '{failed}' as failed from v where {when}" for what, failed, i, when in _GOLDEN))

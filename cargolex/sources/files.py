@@ -45,7 +45,7 @@ def decoded(documents: DataFrame, decoder: Callable[[bytes], list[dict]]) -> Dat
 
 
 def read_texts(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """Whole text files, form feeds kept: source (file name), text."""
+    """Whole text files, form feeds kept: source (file name), text. Spark's readers leave out files of no bytes."""
     return spark.read.text(path, wholetext=True, pathGlobFilter=names).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"), F.col("value").alias("text"))
 
 
@@ -89,7 +89,7 @@ def expert_json(texts: DataFrame) -> DataFrame:
 
 
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
-    """The .json files of a folder as expert_json gives them."""
+    """The .json files of a folder as expert_json gives them; Spark's readers leave out files of no bytes."""
     own = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     return expert_json(own.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"), F.col("value").alias("text")))
 

@@ -94,7 +94,7 @@ def test_plugin_errors_never_fail_the_job(spark):
 def test_expert_files_and_parties(spark, tmp_path):
     owner = lambda inn: {"infrastructure_owner": {"name": "Порт", "inn": inn}}
     whole = {"documents": [{"type": "TN", "number": 7, "parties": [{"role": "shipper", "inn": "7736207543", "name": "А"}], "cargo_header": {"net_weight_t": 12.50, "places_count": 3}, "loading": owner("500100732259"), "unloading": owner("7707083893")}]}
-    for name, text in {"a": json.dumps(whole), "b": "[1, 2", "c": "{}", "d": '{"documents": 5, "pages": "x"}', "e": ""}.items():
+    for name, text in {"a": json.dumps(whole), "b": "[1, 2", "c": "{}", "d": '{"documents": 5, "pages": "x"}', "e": " "}.items():
         (tmp_path / f"{name}.json").write_text(text)
     expected = files.read_expected(spark, str(tmp_path))
     assert expected.count() == 5
