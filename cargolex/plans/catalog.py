@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import textnorm as tn
 from ..functions import validate as va
 from ..operators import documents, feedback, fields, layout, organisations, reports, rows, scoring, sections
-from ..schema import FIELDS
+from ..schema import FIELDS, ROLES
 from ..sources import files, sinks
 from . import forms
 
@@ -258,6 +258,15 @@ for _f in FIELDS:
     _query(f"select o_orderkey, {_f}, {_f}_conf from ({forms.expected_sql([_f])})")(_extract(_f))
 
 
+@_query(forms.loose_sql())
+def fields_without_sections(spark, sf_dir):
+    """Forms whose titles are lost: every field is looked for in the whole text, with a lower confidence."""
+    own = forms.spread(forms.values(spark, sf_dir)).select("o_orderkey", tn.normalize(forms.loose_form()).alias("text"))
+    none = F.struct(*(F.lit(None).cast("string").alias(r) for r in ROLES))
+    out = fields.add_fields(own.withColumn("sections", none), YEAR, wanted=list(forms.LOOSE_EXPECTED))
+    return out.select("o_orderkey", *(c for f in forms.LOOSE_EXPECTED for c in (F.col(f)["value"].alias(f), F.col(f)["conf"].alias(f"{f}_conf"))))
+
+
 @_query(f"select o_orderkey, case when defect = 2 then number end as number from ({forms.values_sql()})")
 def extract_number_no_sign(spark, sf_dir):
     """Forms with a sign have no line that is a bare number; only those without one do."""

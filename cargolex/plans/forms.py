@@ -119,6 +119,42 @@ def form() -> Column:
     return F.concat_ws("\n", *lines)
 
 
+#: What is to be found in a form without sections, whose fields stand behind their names: field -> (value, confidence).
+LOOSE = 3
+LOOSE_EXPECTED = {
+    "date": (EXPECTED["date"][0], f"case when o_orderkey % {LOOSE} = 2 then 0.5 else 0.7 end"),
+    "number": ("number", f"case o_orderkey % {LOOSE} when 0 then 0.6 when 1 then 0.55 else 0.5 end"),
+    "shipper": ("shipper_name || ', ' || shipper_place || ', ИНН ' || shipper_inn", "0.5"),
+    "consignee": ("consignee_name || ', ' || consignee_place", "0.5"),
+    "driver": ("driver", "0.5"),
+    "vehicle": ("plate", "0.6"),
+    "reception": ("terminal_name || ', ' || terminal_place || ', ИНН ' || terminal_inn", "0.5"),
+}
+
+
+def loose_form() -> Column:
+    """A form that lost its numbered titles: the number behind a sign, on a line of its own, or without the form's heading."""
+    c, k = F.col, F.col("o_orderkey") % LOOSE
+    signed = F.concat(F.lit("№ "), c("number"), F.lit(" от "), c("day"))
+    lines = [
+        F.when(k == 0, F.concat(F.lit("Транспортная накладная\n"), signed)).when(k == 1, F.concat(F.lit("Транспортная накладная\n"), c("day"), F.lit("\n"), c("number"))).otherwise(signed),
+        F.concat(F.lit("Грузоотправитель: "), c("shipper_name"), F.lit(", "), c("shipper_place"), F.lit(", ИНН "), c("shipper_inn")),
+        F.concat(F.lit("Грузополучатель\n"), c("consignee_name"), F.lit(", "), c("consignee_place")),
+        F.concat(F.lit("Псревозчик ООО «Трансавто», водитель "), c("driver")),
+        F.concat(F.lit("автомобиль "), c("plate")),
+        F.lit("Прием груза"),
+        c("terminal_name"),
+        c("terminal_place"),
+        F.concat(F.lit("ИНН "), c("terminal_inn")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def loose_sql() -> str:
+    own = [f"{v} as {f}, cast(case when ({v}) is null then 0.0 else {conf} end as double) as {f}_conf" for f, (v, conf) in LOOSE_EXPECTED.items()]
+    return f"select o_orderkey, {', '.join(own)} from ({values_sql()})"
+
+
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, defect, text): a form for each order."""
     return spread(values(spark, sf_dir)).select("o_orderkey", "defect", form().alias("text"))
