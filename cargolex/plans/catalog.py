@@ -125,6 +125,27 @@ def taxid_checksum(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TEN).alias("s")).withColumn("valid", va.is_valid_tax_id(F.col("s")))
 
 
+def _control(weights: list[int]) -> str:
+    return f"(({' + '.join(f'{w} * cast(substr(s, {i + 1}, 1) as int)' for i, w in enumerate(weights))}) % 11 % 10)"
+
+
+_TWELVE = [  # ten digits, the eleventh wrong for every third key, the twelfth right for a tenth of the keys
+    "cast(o_custkey * 1000003 % 9000000000 + 1000000000 as string)",
+    f"s || cast(({_control(va.WEIGHTS_11)} + case when o_orderkey % 3 = 0 then 1 else 0 end) % 10 as string)",
+    "s || cast(o_orderkey % 10 as string)",
+]
+
+
+@_query(
+    f"select o_orderkey, s, {_control(va.WEIGHTS_11)} = cast(substr(s, 11, 1) as int) and {_control(va.WEIGHTS_12)} = cast(substr(s, 12, 1) as int) as valid from (select o_orderkey, {_TWELVE[2]} as s from (select o_orderkey, {_TWELVE[1]} as s from (select o_orderkey, {_TWELVE[0]} as s from orders)))"
+)
+def taxid_checksum_12(spark, sf_dir):
+    own = _table(spark, sf_dir, "orders")
+    for made in _TWELVE:
+        own = own.withColumn("s", F.expr(made))
+    return own.select("o_orderkey", "s", va.is_valid_tax_id(F.col("s")).alias("valid"))
+
+
 @_query(f"select o_orderkey, case when defect < 4 then shipper_inn end as out from ({forms.values_sql()})")
 def first_valid_taxid(spark, sf_dir):
     wrong = F.concat(F.left("shipper_inn", F.lit(9)), ((F.right("shipper_inn", F.lit(1)).cast("int") + 1) % 10).cast("string"))
@@ -175,6 +196,19 @@ def split_pages(spark, sf_dir):
     return own.select("o_orderkey", F.size("d").alias("n"), F.coalesce(F.get("d", F.lit(0)) == F.concat("text", F.lit("\n" + _BACK)), F.lit(False)).alias("front_and_back"))
 
 
+_LISTS = {"Реестр транспортных накладных": "registry", "Отгрузочная спецификация": "registry", "Счёт на оплату": "blank", "Реестр": "blank"}
+
+
+@_query(f"select o_orderkey, kind || ',ttn_start' as kinds, (kind = 'registry')::int as n from orders join customer on o_custkey = c_custkey join (values {', '.join(f'({i}, {_q(k)})' for i, k in enumerate(_LISTS.values()))}) t(i, kind) on i = o_orderkey % {len(_LISTS)}")
+def split_registries(spark, sf_dir):
+    """Registries in front of a form make a file mixed, other pages and all but empty ones do not."""
+    i = F.col("o_orderkey") % len(_LISTS)
+    head = F.element_at(F.array(*map(F.lit, _LISTS)), (i + 1).cast("int"))
+    page = F.concat(head, F.when(i < 3, F.repeat(F.lit("\nпозиция и её количество"), 10)).otherwise(""))
+    own = forms.rendered(spark, sf_dir).select("o_orderkey", F.concat(page, F.lit("\f"), tn.normalize(F.col("text"))).alias("file"))
+    return own.select("o_orderkey", F.array_join(F.transform(F.split("file", "\f"), documents.page_kind), ",").alias("kinds"), F.size(documents.split_by_pages(F.col("file"))).alias("n"))
+
+
 @_query("select o_orderkey, 2 as n_docs, unnest([0, 1]) as doc_idx, true as same from orders join customer on o_custkey = c_custkey")
 def split_anchors(spark, sf_dir):
     one = forms.rendered(spark, sf_dir).select("o_orderkey", tn.normalize(F.col("text")).alias("one"))

@@ -17,7 +17,7 @@ from cargolex.sources import files, sinks
 from cargolex.streaming import directory
 
 SF, NOW = "/root/testdata/sf0.001", datetime(2026, 1, 2, 3, 4, 5)
-CHECKED = ["normalize_text", "garbage_token_flags", "split_pages", "noise_doc_filter", "first_marker_per_role", "extract_number", "log_lines", "batch_file_status", "feedback_diff", "accuracy_by_field", "header_fuzzy", "input_priority_pick", "expert_expectations", "file_expert_match", "golden_rule_check", "golden_case_check", "fields_without_sections", "line_grouping", "waybill_pipeline"]
+CHECKED = ["normalize_text", "garbage_token_flags", "split_pages", "noise_doc_filter", "first_marker_per_role", "extract_number", "log_lines", "batch_file_status", "feedback_diff", "accuracy_by_field", "header_fuzzy", "input_priority_pick", "expert_expectations", "file_expert_match", "golden_rule_check", "golden_case_check", "fields_without_sections", "taxid_checksum_12", "split_registries", "line_grouping", "waybill_pipeline"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
