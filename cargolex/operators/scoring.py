@@ -85,7 +85,8 @@ def expectations(expected: DataFrame) -> DataFrame:
     page = _first(F.col("pages"), lambda p: p["document_type"].isin("TTN", "TN") & (F.to_json(p["structured_fields"]) != "{}"))
     own = expected.select("source_file", tn.alias("tn"), page["structured_fields"].alias("page"))
     both = F.coalesce(F.when(F.col("tn").isNotNull(), _of_document(F.col("tn"))), F.when(F.col("page").isNotNull(), _of_page(F.col("page"))))
-    return own.select("source_file", both.alias("e")).filter(F.col("e").isNotNull()).select("source_file", "e.*")
+    # explode_outer keeps the optimiser from copying the whole expression into each field and into the filter
+    return own.select("source_file", F.explode_outer(F.array(both)).alias("e")).filter(F.col("e").isNotNull()).select("source_file", "e.*")
 
 
 def plate_key(c: Column) -> Column:
