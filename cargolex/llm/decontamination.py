@@ -1,8 +1,11 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the smallest `GRAM`-word hash of every sliding window of `WINDOW - GRAM + 1` grams. Two equal windows
-of `WINDOW` words pick the same gram, so the join of these fingerprints misses none; each match is extended
-word by word around the gram, and only whole equal windows count. Items of fewer words are one window of that length.
+of `WINDOW` words pick the same gram, so these fingerprints miss none; a hit is extended to all windows around its gram. Items of fewer
+words are one window of that length.
+
+What is joined are the contents of windows, each once: a sentence that stands in many items and many documents gives a row for each place
+in a document, never one for each document and item. Which items a window stands in is a list that all its documents share.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ from . import vectors as v
 from .common import checkpoint, texts
 
 WINDOW, GRAM = 10, 5
-#: Bits of the filter that the scan of the documents consults: 2 MB at any size of the benchmark.
+#: Bits of each filter that the scan of the documents consults: 2 MB at any size of the benchmark.
 FILTER_BITS = 1 << 24
 BEFORE = WINDOW - GRAM
-CONTEXT = 2 * WINDOW - GRAM
+_OTHER = v.U(0x9E3779B97F4A7C15)
 
-_HIT = pa.struct([("span", pa.int32()), ("fp", pa.int64()), ("pos", pa.int32()), ("around", pa.list_(pa.int64()))])
-_SCHEMA = "doc_id long, n_words long, hits array<struct<span:int, fp:long, pos:int, around:array<long>>>"
+_HIT = pa.struct([("span", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32())])
+_SCHEMA = "doc_id long, n_words long, hits array<struct<span:int, k1:long, k2:long, start:int>>, prints array<long>"
 
 
 def _winnowed(grams: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -36,12 +39,24 @@ def _winnowed(grams: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.unique(at)
 
 
-def _kernel(lengths: list[int] | None, filters: dict | None):
-    """Scan of (doc_id, text). lengths: those of short items to look for everywhere; None: the rows are items themselves."""
+def _keys(h: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the content of each window of n words, as two numbers."""
+    own = h[starts[:, None] + np.arange(n)].ravel()
+    first = np.arange(len(starts)) * n
+    if not len(starts):
+        return np.zeros(0, v.U), np.zeros(0, v.U)
+    return v.grams(own, n)[first], v.grams(v.mix(own ^ _OTHER), n)[first]
+
+
+def _kernel(filters):
+    """Scan of (doc_id, text) for windows. filters: bitmaps by length of window, and of grams under 0; None: the rows are items, all of whose
+    windows and fingerprints are told."""
 
-    def passes(span: int, fp: np.ndarray) -> np.ndarray:
-        bit = fp & v.U(FILTER_BITS - 1)
-        return (filters.value[span][(bit >> v.U(3)).astype(np.int64)] >> (bit & v.U(7)).astype(np.uint8)) & 1 == 1
+    def passes(which: int, key: np.ndarray) -> np.ndarray:
+        if which not in filters.value:
+            return np.zeros(len(key), bool)
+        bit = key & v.U(FILTER_BITS - 1)
+        return (filters.value[which][(bit >> v.U(3)).astype(np.int64)] >> (bit & v.U(7)).astype(np.uint8)) & 1 == 1
 
     def run(batches):
         for batch in batches:
@@ -49,96 +64,81 @@ def _kernel(lengths: list[int] | None, filters: dict | None):
                 _, _, row, h = v.words(data, bounds, v.ALNUM)
                 counts = np.bincount(row, minlength=len(part)).astype(np.int64)
                 first = np.cumsum(counts) - counts
-                spans, fps, poss, rows = [], [], [], []
+                found, prints = [], np.zeros(0, np.int64)
 
-                def found(span, fp, at, rows=rows, spans=spans, fps=fps, poss=poss, row=row):
-                    spans.append(np.full(len(at), span, np.int32))
-                    fps.append(fp)
-                    poss.append(at)
-                    rows.append(row[at])
+                def add(n, starts, found=found, h=h):
+                    k1, k2 = _keys(h, starts, n)
+                    keep = slice(None) if filters is None else passes(n, k1)
+                    found.append((np.full(len(starts), n, np.int32)[keep], k1[keep], k2[keep], starts[keep]))
 
                 if len(h) >= WINDOW:
+                    whole = row[: len(h) - WINDOW + 1] == row[WINDOW - 1 :]
                     g = v.grams(h, GRAM)
-                    at = _winnowed(g, np.flatnonzero(row[: len(h) - WINDOW + 1] == row[WINDOW - 1 :]))
-                    if filters is not None:
-                        at = at[passes(WINDOW, g[at])] if WINDOW in filters.value else at[:0]
-                    found(WINDOW, g[at], at)
-                if lengths is None:
-                    for n in range(1, WINDOW):
-                        if len(at := first[counts == n]):
-                            found(n, v.grams(h, n)[at], at)
-                else:
-                    for n in lengths:
-                        if len(h) >= n:
-                            fp = v.grams(h, n)
-                            at = np.flatnonzero((row[: len(h) - n + 1] == row[n - 1 :]) & passes(n, fp))
-                            found(n, fp[at], at)
-                at = np.concatenate(poss) if poss else np.zeros(0, np.int64)
-                order = np.argsort(np.concatenate(rows), kind="stable") if rows else at
-                at = at[order]
-                span = np.concatenate(spans)[order] if rows else np.zeros(0, np.int32)
-                fp = np.concatenate(fps)[order] if rows else np.zeros(0, v.U)
-                long = span == WINDOW
-                near = at[long][:, None] + np.arange(-BEFORE, CONTEXT - BEFORE)
-                ok = (near >= 0) & (near < len(h))
-                near = np.clip(near, 0, max(len(h) - 1, 0))
-                around = np.where(ok & (row[near] == row[at[long]][:, None]), h[near], v.U(0)) if len(near) else np.zeros((0, CONTEXT), v.U)
-                of = row[at]
-                hits = pa.StructArray.from_arrays(
-                    [pa.array(span), pa.array(fp.view(np.int64)), pa.array((at - first[of]).astype(np.int32)), v.lists(around.ravel().view(np.int64), long * CONTEXT, pa.int64())],
-                    fields=list(_HIT),
-                )
+                    at = _winnowed(g, np.flatnonzero(whole))
+                    if filters is None:
+                        prints = at
+                        add(WINDOW, np.flatnonzero(whole))
+                    else:
+                        at = at[passes(0, g[at])]
+                        starts = np.unique(at[:, None] - np.arange(BEFORE + 1))
+                        starts = starts[(starts >= 0) & (starts < len(whole))]
+                        add(WINDOW, starts[whole[starts]])
+                for n in range(1, WINDOW):
+                    if filters is None:
+                        add(n, first[counts == n])
+                    elif n in filters.value and len(h) >= n:
+                        hit = (row[: len(h) - n + 1] == row[n - 1 :]) & passes(n, v.grams(h, n))
+                        add(n, np.flatnonzero(hit))
+                span, k1, k2, start = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int32 if i == 0 else np.int64) for i in range(4))
+                order = np.argsort(row[start], kind="stable") if len(start) else np.zeros(0, np.int64)
+                of = row[start][order] if len(start) else np.zeros(0, np.int64)
+                hits = pa.StructArray.from_arrays([pa.array(span[order]), pa.array(k1[order].view(np.int64)), pa.array(k2[order].view(np.int64)), pa.array((start[order] - first[of]).astype(np.int32))], fields=list(_HIT))
                 offsets = np.zeros(len(part) + 1, np.int32)
                 np.cumsum(np.bincount(of, minlength=len(part)), out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), hits)], ["doc_id", "n_words", "hits"])
+                told = v.lists(g[prints].view(np.int64) if len(prints) else prints, np.bincount(row[prints] if len(prints) else prints, minlength=len(part)), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), hits), told], ["doc_id", "n_words", "hits", "prints"])
 
     return run
 
 
-def _filters(prints: DataFrame) -> dict[int, np.ndarray]:
-    """For each window length a bitmap of its fingerprints: FILTER_BITS bits, however many items there are."""
-    bit = F.col("fp").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = prints.groupBy("span", F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 31 as int))")).alias("bits")).toArrow()
+def _filters(keys: DataFrame) -> dict[int, np.ndarray]:
+    """For each `which` a bitmap of its keys (which int, key long): FILTER_BITS bits, however many there are."""
+    bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = keys.groupBy("which", F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("bits")).toArrow()
     out: dict[int, np.ndarray] = {}
-    span, w, bits = (rows.column(k).to_numpy() for k in range(3))
-    for n in np.unique(span):
+    which, w, bits = (rows.column(k).to_numpy() for k in range(3))
+    for n in np.unique(which):
         words = np.zeros(FILTER_BITS // 32, np.uint32)
-        words[w[span == n]] = bits[span == n].astype(np.uint32)
+        words[w[which == n]] = bits[which == n].astype(np.uint32)
         out[int(n)] = words.view(np.uint8)
     return out
 
 
-def matched_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words) of every document, and (doc_id, item_id, start, span) of every window of an item that occurs in one."""
+def matched_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, doc_id, n_words) of every document; (row, start, span, list) of every place of a window of an item in one; (list, item_ids): the
+    items that hold a window."""
     spark = docs.sparkSession
-    tested = items.select(F.col("item_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tested = tested.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    ids = checkpoint(tested)
-    prints = ids.select(F.col("row").alias("doc_id"), "text").mapInArrow(_kernel(None, None), _SCHEMA)
-    prints = prints.select(F.col("doc_id").alias("row"), F.inline("hits"))
-    prints = checkpoint(prints.join(ids.select("row", F.col("doc_id").alias("item_id")), "row").select("item_id", "span", "fp", F.col("around").alias("theirs")))
-    filters = _filters(prints)
-    scanned = texts(docs).mapInArrow(_kernel(sorted(n for n in filters if n < WINDOW), spark.sparkContext.broadcast(filters)), _SCHEMA)
-    scanned = checkpoint(scanned)
-    hits = scanned.select("doc_id", F.inline("hits")).join(prints, ["span", "fp"])
-
-    def equal(o):
-        ours = F.slice("around", o + 1, WINDOW)
-        return (ours == F.slice("theirs", o + 1, WINDOW)) & ~F.array_contains(ours, F.lit(0).cast("long"))
-
-    offsets = F.when(F.col("span") < WINDOW, F.array(F.lit(BEFORE))).otherwise(F.filter(F.sequence(F.lit(0), F.lit(BEFORE)), equal))
-    windows = hits.select("doc_id", "item_id", "span", "pos", F.explode(offsets).alias("o")).select("doc_id", "item_id", (F.col("pos") - BEFORE + F.col("o")).alias("start"), "span")
-    return scanned.select("doc_id", "n_words"), windows
+    tested = checkpoint(items.select(F.monotonically_increasing_id().alias("doc_id"), "item_id", F.col("text").cast("string").alias("text")))
+    own = checkpoint(tested.select("doc_id", "text").mapInArrow(_kernel(None), _SCHEMA))
+    windows = own.select(F.col("doc_id"), F.inline("hits")).join(tested.select("doc_id", "item_id"), "doc_id")
+    windows = checkpoint(windows.groupBy("span", "k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
+    lists = checkpoint(windows.select("item_ids").distinct().select(F.monotonically_increasing_id().alias("list"), "item_ids"))
+    windows = checkpoint(windows.join(lists, "item_ids").select("span", "k1", "k2", "list"))
+    filters = _filters(windows.select(F.col("span").alias("which"), F.col("k1").alias("key")).union(own.select(F.lit(0), F.explode("prints"))))
+    scanned = texts(docs).mapInArrow(_kernel(spark.sparkContext.broadcast(filters)), _SCHEMA).drop("prints")
+    scanned = checkpoint(scanned.select(F.monotonically_increasing_id().alias("row"), "*"))
+    hits = scanned.select("row", F.inline("hits")).join(windows, ["span", "k1", "k2"]).select("row", "start", "span", "list")
+    return scanned.select("row", "doc_id", "n_words"), hits, lists
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside any window of an item), item_ids (array), contaminated.
+    """One row per row: doc_id, n_words, n_hit (words inside any window of an item), item_ids (sorted array), contaminated.
 
     Null and wordless texts have no words; such items match nothing. Repeated items and ties count once, an empty
-    table on either side leaves all documents clean, and further columns are not looked at. Rows that stand several times get the same
-    result; rows of one doc_id with different texts share their hits; rows without doc_id count as clean.
+    table on either side leaves all documents clean, and further columns are not looked at. Each row has its own result, also where rows share
+    a doc_id or have none. Items without item_id hit, but are not listed.
     """
-    words, windows = matched_windows(docs, items)
+    words, hits, lists = matched_windows(docs, items)
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "span"))),
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
@@ -148,6 +148,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    found = windows.groupBy("doc_id").agg(covered.alias("n_hit"), F.collect_set("item_id").alias("item_ids"))
-    out = words.join(found, "doc_id", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    found = checkpoint(hits.groupBy("row").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("list")).alias("of")))
+    # documents with the same windows share the union of their lists, which is made once
+    each = found.select("of").distinct().select("of", F.explode("of").alias("list")).join(lists, "list")
+    unions = each.groupBy("of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    out = words.join(found.join(unions, "of").select("row", "n_hit", "item_ids"), "row", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    return out.select("doc_id", "n_words", "n_hit", "item_ids", (F.col("n_hit") > 0).alias("contaminated"))

@@ -197,3 +197,16 @@ def removed(texts):
     from .test_dedup import brute_repeats
 
     return {i: (x[1],) for i, x in brute_repeats(texts).items()}
+
+
+def test_a_sentence_of_many_items_and_documents(spark):
+    """400 items and 500 documents that share a sentence: a row for each place in a document, and each row of docs has its own result."""
+    shared = " ".join(f"s{i}" for i in range(12))
+    items = [(i, f"own{i} " * 3 + shared + f" end{i}") for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"doc {i} {shared} tail {i}") for i in range(500)] + [(None, shared), (7, "clean text"), (None, "clean too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, hits, lists = decontamination.matched_windows(df, bench)
+    assert hits.count() < 10_000 and lists.count() < 10_000
+    got = decontamination.contamination(df, bench).collect()
+    assert sorted((str(r.doc_id), r.n_hit, len(r.item_ids or [])) for r in got) == sorted([*((str(i), 12, 400) for i in range(500)), ("None", 12, 400), ("7", 0, 0), ("None", 0, 0)])
