@@ -45,9 +45,13 @@ WALLS = frozenset("table td th caption".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|(?P<text>[^<]++)", re.S
 )
+#: The same where quotes do not count: after a tag whose quotes swallowed the rest of the page, so that only one search runs to its end.
+_BROKEN = re.compile(_TOKEN.pattern.replace(r"(?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+", "[^>]*+"), re.S)
+_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Writer:
@@ -116,10 +120,11 @@ class Writer:
 
 
 class Element:
-    __slots__ = ("count", "down", "hidden", "kept", "ordered", "pushed", "table", "tag", "writer")
+    __slots__ = ("count", "down", "gone", "hidden", "kept", "ordered", "pushed", "table", "tag", "unseen", "writer")
 
-    def __init__(self, tag, hidden, kept, writer):
-        self.tag, self.hidden, self.kept, self.writer = tag, hidden, kept, writer
+    def __init__(self, tag, gone, unseen, kept, writer):
+        #: gone: left out with all that is in it; unseen: invisible, but for what is made visible inside
+        self.tag, self.gone, self.unseen, self.hidden, self.kept, self.writer = tag, gone, unseen, gone or unseen, kept, writer
         self.table = self.ordered = self.count = self.down = None
         self.pushed = 0
 
@@ -187,7 +192,7 @@ def _laid_out(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
 class Page:
     def __init__(self):
         self.writer = Writer()
-        self.open: list[Element] = [Element("", False, False, self.writer)]
+        self.open: list[Element] = [Element("", False, False, False, self.writer)]
         #: Where the open elements of each tag stand, so that no question about them walks the whole stack.
         self.places: dict[str, list[int]] = {}
 
@@ -207,9 +212,11 @@ class Page:
             elif not e.hidden and e.table is None:
                 w.block(0)
         elif e.tag == "table":
-            if not e.hidden and e.table is not None:
+            if not e.gone and e.table and any(e.table):
                 w.rows(_laid_out([r for r in e.table if r]))
                 w.block(1)
+            elif not e.hidden and e.table is not None:
+                w.block(1)
         elif e.tag in BLOCKS and not e.hidden:
             if e.tag == "li" and w.marker:
                 w.flush()
@@ -245,7 +252,11 @@ class Page:
         above = self.open[-1]
         w = above.writer
         seen = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-        hidden = above.hidden or tag in HIDDEN or "hidden" in seen or bool(_UNSEEN.search(seen.get("style", ""))) or (tag == "dialog" and "open" not in seen)
+        style = seen.get("style", "")
+        gone = above.gone or tag in HIDDEN or "hidden" in seen or bool(_GONE.search(style)) or (tag == "dialog" and "open" not in seen)
+        own = _VISIBILITY.findall(style)
+        unseen = own[-1].lower() != "visible" if own else above.unseen
+        hidden = gone or unseen
         if tag == "br":
             if not hidden:
                 w.line()
@@ -255,13 +266,13 @@ class Page:
             w.block(tag in SPACED and not nested)
         if tag in VOID:
             return
-        e = Element(tag, hidden, above.kept or tag in ("pre", "textarea", "xmp"), w)
+        e = Element(tag, gone, unseen, above.kept or tag in ("pre", "textarea", "xmp"), w)
         tables = self.places.get("table")
         table = self.open[tables[-1]] if tables else None
         if tag == "table":
             e.table = [] if not tables or len(tables) < TABLES else None
         elif tag == "tr":
-            if not hidden and table.table is not None:
+            if not gone and table.table is not None:
                 table.table.append([])
         elif tag in ("td", "th"):
             if table.table is not None:
@@ -302,11 +313,16 @@ class Page:
 
 def render(source: str) -> str:
     """The visible text of a page."""
-    page, at = Page(), 0
+    page, at, token, close = Page(), 0, _TOKEN, -1
     while at < len(source):
-        m = _TOKEN.match(source, at)
-        if m is None:  # a tag that never ends
-            ends = source.find(">", at) < 0
+        m = token.match(source, at)
+        if m is None:  # a tag that never ends, or no tag
+            if close < at:
+                close = source.find(">", at)
+                close = len(source) if close < 0 else close
+            ends = close == len(source)
+            if _TAG.match(source, at):
+                token = _BROKEN
             page.characters(source[at:].replace("<", "&lt;") if ends else "&lt;")
             at = len(source) if ends else at + 1
             continue

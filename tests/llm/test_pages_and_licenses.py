@@ -78,6 +78,18 @@ def test_broken_pages_take_one_pass():
     assert time.time() - began < 30
 
 
+def test_quotes_that_never_end_take_one_pass():
+    for broken in ("<a b=\"><a c='\" ", "< ", '<a b="', "<p title='x>y'>t</p><a b=\"", "<td", "<a b='\""):
+        began = time.time()
+        out = html_text.render("<p>first</p>" + broken * (1_000_000 // len(broken)) + " > last")
+        assert time.time() - began < 20 and out.startswith("first") and out.endswith("last"), broken
+
+
+def test_visible_parts_of_an_invisible_one():
+    page = '<div style="visibility:hidden">no<p style="visibility:visible">yes</p><table><tr><td>no<td style="visibility: visible">cell</table></div><div style="display:none"><p style="visibility:visible">no</p></div>end'
+    assert html_text.render(page).split() == ["yes", "cell", "end"]
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, None, "u", "x"), (2, "", "u", "x"), (2, "<b>y", "u", "x")], "page_id long, html string, url string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract(df).collect() if r.text is not None) == [(2, ""), (2, "y")]
