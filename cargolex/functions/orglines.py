@@ -71,7 +71,7 @@ def cut_after_tax_id(s: Column) -> Column:
     """Up to the end of the tax id: a named one, else a valid one after a short word, else a valid one; NULL without any."""
     named = find(s, rf"^.*?{NAMED_TAX_ID}", 0, "is")
     worded = find(s, rf"^.*?\b[A-Za-zА-Яа-яЁё]{{2,4}}\.?\s+(?:[0-9]{{10}}|[0-9]{{12}})\b", 0, "s")
-    worded = F.when(is_valid_tax_id(find(worded, r"([0-9]+)\z", 1, "")), worded)
+    worded = let(worded, lambda x: F.when(is_valid_tax_id(find(x, r"([0-9]+)\z", 1, "")), x))
     bare = let(_first_valid(s), lambda m: F.substring(s, F.lit(1), m["at"] + F.length(m["found"])))
     return strip(F.coalesce(named, worded, bare), " ,;")
 
@@ -85,8 +85,12 @@ def cut_before_registry(s: Column) -> Column:
 
 def trim_to_org(s: Column) -> Column:
     """From the first legal form that is not a bank's on; all of it without one."""
-    own = first_of(matches(s, ORG), lambda m: ~has(behind(s, m, 60), BANK))
-    return F.coalesce(F.substring(s, own["at"] + 1, F.length(s)), s)
+
+    def cut(x: Column) -> Column:
+        own = first_of(matches(x, ORG), lambda m: ~has(behind(x, m, 60), BANK))
+        return F.coalesce(F.substring(x, own["at"] + 1, F.length(x)), x)
+
+    return let(s, cut)
 
 
 def party_lines(body: Column, most: int = 4) -> Column:

@@ -5,7 +5,9 @@ Every pattern gets Unicode classes and line ends at \\n alone; a match that is n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,12 +15,16 @@ from pyspark.sql import functions as F
 # private-use characters that part a text at matches
 MARK, MARK_END = "\ue001", "\ue002"
 SPACE = r"[\s\x1c-\x1f]"
+#: What \s and the separators above are, as characters.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
+_CLASS = re.compile(r"\\[sSwWdDbB]")
+
 
 def rx(pattern: str, flags: str = "") -> str:
     """flags: i ignores case, m anchors at lines, s lets the dot match line ends."""
-    return f"(?dU{flags}{'u' if 'i' in flags else ''}){pattern}"
+    return f"(?d{'U' if _CLASS.search(pattern) else ''}{flags}{'u' if 'i' in flags else ''}){pattern}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,22 +56,48 @@ def before(c: Column, pattern: str, flags: str = "i") -> Column:
 
 def position(c: Column, pattern: str, flags: str = "i") -> Column:
     """Characters before the first match; NULL without one."""
-    return F.when(has(c, pattern, flags), F.length(before(c, pattern, flags)))
-
-
-def strip(c: Column, chars: str | None = None) -> Column:
+    return first_match(c, pattern, flags)["at"]
+
+
+@lru_cache
+def members(chars: str) -> str:
+    """The characters of a regex class."""
+    out: list[str] = []
+    tokens = re.findall(r"\\x[0-9a-fA-F]{2}|\\.|.", chars, re.S)
+    at = 0
+    one = {r"\t": "\t", r"\n": "\n", r"\r": "\r"}
+    char = lambda t: one.get(t) or (chr(int(t[2:], 16)) if t.startswith(r"\x") else t[-1])
+    while at < len(tokens):
+        if tokens[at] == r"\s":
+            out.append(SPACES)
+        elif tokens[at + 1 : at + 2] == ["-"] and at + 2 < len(tokens):
+            out += map(chr, range(ord(char(tokens[at])), ord(char(tokens[at + 2])) + 1))
+            at += 2
+        else:
+            out.append(char(tokens[at]))
+        at += 1
+    return "".join(out)
+
+
+def strip(c: Column, chars: str = r"\s") -> Column:
     """White space, or the characters of a regex class, cut off both ends."""
-    own = SPACE if chars is None else f"[{chars}]"
-    return F.regexp_replace(c, rx(rf"^{own}+|{own}+\z"), "")
+    return F.btrim(c, F.lit(members(chars)))
 
 
 def lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, LINE_END, "\n"), "\n", -1)
+    return F.split(c, LINE_END, -1)
+
+
+def without_marks(c: Column, marks: str = MARK + MARK_END) -> Column:
+    """c with the characters that mark matches replaced; a search for bytes, where translate() would rebuild every text."""
+    for mark in marks:
+        c = F.replace(c, F.lit(mark), F.lit("?"))
+    return c
 
 
 def marked(c: Column, pattern: str, flags: str = "i") -> Column:
     """The text before the first match, and from each match up to the next one."""
-    return F.split(F.regexp_replace(F.translate(c, MARK, "?"), rx(pattern, flags), MARK + "$0"), MARK, -1)
+    return F.split(F.regexp_replace(without_marks(c), rx(pattern, flags), MARK + "$0"), MARK, -1)
 
 
 def matches(c: Column, pattern: str, flags: str = "i") -> Column:
@@ -73,21 +105,39 @@ def matches(c: Column, pattern: str, flags: str = "i") -> Column:
 
     def placed(parts: Column) -> Column:
         own = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.split(p, MARK_END, 2))
-        return let(own, lambda pieces: F.zip_with(_places(F.length(F.get(parts, F.lit(0))), pieces), pieces, lambda at, p: F.struct(at.alias("at"), F.get(p, F.lit(0)).alias("found"))))
+        lengths = lambda pieces: F.transform(pieces, lambda p: F.length(F.get(p, F.lit(0))) + F.length(F.get(p, F.lit(1))))
+        return let(own, lambda pieces: F.zip_with(starts(lengths(pieces), F.length(F.get(parts, F.lit(0)))), pieces, lambda at, p: F.struct(at.alias("at"), F.get(p, F.lit(0)).alias("found"))))
+
+    return let(F.split(F.regexp_replace(without_marks(c), rx(pattern, flags), f"{MARK}$0{MARK_END}"), MARK, -1), placed)
+
 
-    text = F.translate(c, MARK + MARK_END, "??")
-    return let(F.split(F.regexp_replace(text, rx(pattern, flags), f"{MARK}$0{MARK_END}"), MARK, -1), placed)
+#: Elements that a fold over an array of its own results takes at once: such a fold copies them at every step.
+FOLD = 64
 
 
-def _places(first: Column, pieces: Column) -> Column:
-    """Where each piece (a match and what follows it) begins."""
-    step = lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(p, F.lit(0))) + F.length(F.get(p, F.lit(1)))))
-    return F.slice(F.aggregate(pieces, F.array(first), step), F.lit(1), F.size(pieces))
+def starts(lengths: Column, first: Column) -> Column:
+    """Where each of some pieces begins, the first at `first`: sums of blocks, then sums within each block, so no long array is copied again and again."""
+
+    def running(own: Column, start: Column) -> Column:
+        return F.aggregate(own, F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def blocks(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, n: a + n))
+        return F.flatten(F.zip_with(parts, F.slice(running(sums, first), F.lit(1), F.size(parts)), lambda p, start: F.slice(running(p, start), F.lit(1), F.size(p))))
+
+    n = F.size(lengths)
+    size = F.greatest(F.lit(FOLD), F.sqrt(n.cast("double")).cast("int"))
+    many = let(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda b: F.slice(lengths, b * size + 1, size)), blocks)
+    return F.when(n > FOLD, many).otherwise(F.slice(running(lengths, first), F.lit(1), n))
 
 
 def first_match(c: Column, pattern: str, flags: str = "i") -> Column:
     """`at` and `found` of the first match; NULL if there is none."""
-    return let(position(c, pattern, flags), lambda at: F.when(at.isNotNull(), F.struct(at.alias("at"), find(c, pattern, 0, flags).alias("found"))))
+
+    def placed(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.get(parts, F.lit(1)).alias("found")))
+
+    return let(F.split(F.regexp_replace(without_marks(c), rx(f"({pattern})(?s:.*)\\z", flags), MARK + "$1"), MARK, 2), placed)
 
 
 def behind(c: Column, m: Column, n: int) -> Column:

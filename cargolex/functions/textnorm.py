@@ -90,6 +90,16 @@ def is_garbage_token(token: Column) -> Column:
     return F.coalesce(let(core, judged), F.lit(True))
 
 
+_WITHIN = rf"[^\s\x1c-\x1f{_ALL}]*"
+_SUSPECT = rf"[{QUOTES}{FOREIGN}]|[{_CYR}]{_WITHIN}[A-Za-z]|[A-Za-z]{_WITHIN}[{_CYR}]|(?<![^\s\x1c-\x1f])[{AROUND}&&[^\s\x1c-\x1f]]{{2,}}(?![^\s\x1c-\x1f])"
+
+
+def may_have_garbage(c: Column) -> Column:
+    """False where no token can be garbage: no quote, no foreign letter, no word of two scripts and no run of signs alone. One scan instead
+    of a judgement of each token; what it lets through is judged token by token."""
+    return has(c, _SUSPECT, "")
+
+
 def tokens(c: Column) -> Column:
     return find_all(c, _WORD, 0, "")
 
@@ -100,7 +110,11 @@ def noise_share(line: Column) -> Column:
     def share(own: Column) -> Column:
         return F.when(F.size(own) > 0, F.size(F.filter(own, is_garbage_token)) / F.size(own)).otherwise(1.0)
 
-    return F.coalesce(let(tokens(line), share), F.lit(1.0))
+    def judged(x: Column) -> Column:
+        clean = F.when(has(x, r"[^\s\x1c-\x1f]", ""), 0.0).otherwise(1.0)
+        return F.when(may_have_garbage(x), let(tokens(x), share)).otherwise(clean)
+
+    return F.coalesce(let(line, judged), F.lit(1.0))
 
 
 def is_noise_line(line: Column, ratio: float = 0.5) -> Column:
@@ -109,8 +123,12 @@ def is_noise_line(line: Column, ratio: float = 0.5) -> Column:
 
 def strip_garbage_tokens(c: Column) -> Column:
     """Garbage tokens dropped, the white space around them kept, runs of it then one space."""
-    kept = F.filter(find_all(c, f"{_WORD}|{SPACE}+", 0, ""), lambda x: has(x, rf"^{SPACE}*$", "") | ~is_garbage_token(x))
-    return strip(replace(F.array_join(kept, ""), rf"{SPACE}{{2,}}", " "))
+
+    def kept(x: Column) -> Column:
+        own = F.filter(find_all(x, f"{_WORD}|{SPACE}+", 0, ""), lambda t: has(t, rf"^{SPACE}*$", "") | ~is_garbage_token(t))
+        return F.when(may_have_garbage(x), F.array_join(own, "")).otherwise(x)
+
+    return strip(replace(let(c, kept), rf"{SPACE}{{2,}}", " "))
 
 
 def clean_value(c: Column) -> Column:

@@ -74,9 +74,10 @@ def documents_of(text: Column) -> Column:
 
 
 def explode_documents(files: DataFrame) -> DataFrame:
-    """files(source, text) to one row per waybill: source, doc_idx from 0, n_docs, text, file_text."""
+    """files(source, text) to one row per waybill: source, doc_idx from 0, n_docs, text, file_text. The outer form, as for an inner one the
+    optimiser infers a filter that splits every text once more."""
     split = files.select("source", F.col("text").alias("file_text"), documents_of(F.col("text")).alias("_docs"))
-    rows = split.select("source", "file_text", F.size("_docs").alias("n_docs"), F.posexplode("_docs").alias("doc_idx", "text"))
+    rows = split.select("source", "file_text", F.size("_docs").alias("n_docs"), F.posexplode_outer("_docs").alias("doc_idx", "text"))
     return rows.select("source", "doc_idx", "n_docs", "text", "file_text")
 
 

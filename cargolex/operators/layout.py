@@ -26,47 +26,56 @@ def usable_spans(spans: Column) -> Column:
 
 
 def lines_of(spans: Column) -> Column:
-    """Spans to lines, top down, each from left to right."""
+    """Spans to lines, top down, each from left to right. The fold over the spans carries its anchor and where lines begin, so that lines are cut
+    out of the ordered spans and none is built span by span."""
     by_place = F.array_sort(F.transform(usable_spans(spans), lambda s: F.struct(s["y0"].alias("y0"), s["x0"].alias("x0"), s["x1"].alias("x1"), s["y1"].alias("y1"), s["text"].alias("text"))))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        new = F.size(acc).eqNullSafe(0) | (F.abs(s["y0"] - F.get(last, F.lit(0))["y0"]) > LINE)
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.array(s))))
-        return F.when(new, F.concat(acc, F.array(F.array(s)))).otherwise(grown)
+        new = acc["anchor"].isNull() | (F.abs(s["y0"] - acc["anchor"]) > LINE)
+        n = acc["n"] + 1
+        return F.struct(F.when(new, s["y0"]).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.when(new, F.concat(acc["begins"], F.array(n))).otherwise(acc["begins"]).alias("begins"))
 
-    none = F.array().cast("array<array<struct<y0:double,x0:double,x1:double,y1:double,text:string>>>")
-    left_first = lambda line: F.transform(F.array_sort(F.transform(line, lambda s, i: F.struct(s["x0"].alias("x0"), i.alias("i"), s["x1"].alias("x1"), s["text"].alias("text")))), lambda s: F.struct(s["x0"].alias("x0"), s["x1"].alias("x1"), s["text"].alias("text")))
-    return F.transform(F.aggregate(by_place, none, step), left_first)
+    def cut(own: Column) -> Column:
+        none = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("begins"))
+        line = lambda begins: F.transform(begins, lambda at, i: left_first(F.slice(own, at, F.coalesce(F.get(begins, i + 1), F.size(own) + 1) - at)))
+        return let(F.aggregate(own, none, step, lambda acc: acc["begins"]), line)
+
+    left_first = lambda line: F.array_sort(F.transform(line, lambda s, i: F.struct(s["x0"].alias("x0"), i.alias("i"), s["x1"].alias("x1"), s["text"].alias("text"))))
+    return let(by_place, cut)
 
 
 def is_two_column(lines: Column, width: Column) -> Column:
     """Whether in half of the lines the widest gap is wide enough and near the page's middle."""
 
-    def parted(line: Column) -> Column:
-        gaps = F.transform(F.sequence(F.lit(0), F.size(line) - 2), lambda i: F.struct((F.get(line, i + 1)["x0"] - F.get(line, i)["x1"]).alias("gap"), ((F.get(line, i + 1)["x0"] + F.get(line, i)["x1"]) / 2).alias("mid"), i.alias("i")))
-        widest = F.aggregate(gaps, F.get(gaps, F.lit(0)), lambda acc, g: F.when(g["gap"] > acc["gap"], g).otherwise(acc))
-        return F.when(F.size(line) >= 2, let(widest, lambda g: (g["gap"] >= GAP) & (F.abs(g["mid"] - width / 2) <= CENTER * width))).otherwise(False)
+    def widest(line: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = s["x0"] - acc["end"]
+            more = F.coalesce(gap > acc["gap"], F.lit(False))
+            return F.struct(s["x1"].alias("end"), F.when(more, gap).otherwise(acc["gap"]).alias("gap"), F.when(more, (s["x0"] + acc["end"]) / 2).otherwise(acc["mid"]).alias("mid"))
+
+        none = F.struct(F.lit(None).cast("double").alias("end"), F.lit(0.0).alias("gap"), F.lit(0.0).cast("double").alias("mid"))
+        return F.aggregate(line, none, step, lambda acc: (acc["gap"] >= GAP) & (F.abs(acc["mid"] - width / 2) < CENTER * width))
 
-    return F.when(F.size(lines) > 0, F.size(F.filter(lines, parted)) / F.size(lines) >= SHARE).otherwise(False)
+    return F.when(F.size(lines) > 0, F.size(F.filter(lines, widest)) / F.size(lines) >= SHARE).otherwise(False)
 
 
 def _written(line: Column) -> Column:
     return F.array_join(F.transform(line, lambda s: strip(s["text"])), " ")
 
 
-def render(spans: Column, width: Column) -> Column:
-    """The page's text: both columns one below the other if it has two, else line by line."""
+def render_lines(lines: Column, width: Column) -> Column:
+    """The text of a page's lines: both columns one below the other if it has two, a blank line between them if neither is empty, else line by line."""
 
-    def page(lines: Column) -> Column:
-        def half(left: bool) -> Column:
-            own = F.transform(lines, lambda line: F.filter(line, lambda s: ((s["x0"] + s["x1"]) / 2 < width / 2) if left else ((s["x0"] + s["x1"]) / 2 >= width / 2)))
-            return F.transform(F.filter(own, lambda line: F.size(line) > 0), _written)
+    def half(left: bool) -> Column:
+        own = F.transform(lines, lambda line: F.filter(line, lambda s: ((s["x0"] + s["x1"]) / 2 < width / 2) if left else ((s["x0"] + s["x1"]) / 2 >= width / 2)))
+        return F.array_join(F.transform(F.filter(own, lambda line: F.size(line) > 0), _written), "\n")
 
-        two = F.array_join(F.concat(half(True), F.array(F.lit("")), half(False)), "\n")
-        return F.when(is_two_column(lines, width), two).otherwise(F.array_join(F.transform(lines, _written), "\n"))
+    two = F.array_join(F.filter(F.array(half(True), half(False)), lambda x: x != ""), "\n\n")
+    return F.when(is_two_column(lines, width), two).otherwise(F.array_join(F.transform(lines, _written), "\n"))
 
-    return let(lines_of(spans), page)
+
+def render(spans: Column, width: Column) -> Column:
+    return let(lines_of(spans), lambda lines: render_lines(lines, width))
 
 
 def block_text(blocks: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.rx import let, strip
 from ..schema import FIELDS, ROW, is_blank, shown
 from . import fields
 from .documents import document_source, documents_of, without_noise
-from .sections import header_candidates, markers_of, sections_of, unknown_titles, with_fuzzy_roles
+from .sections import bounds_of, pieces_of, sections_of, unknown_titles, with_fuzzy_roles
 
 # Titles, notes and thresholds of the result.
 TITLE = "Транспортная накладная"
@@ -74,9 +74,9 @@ def parse(files: DataFrame, as_of_year: int) -> DataFrame:
     above sees plain columns. explode_outer, as a filter that the optimiser infers for an inner one would repeat the whole parsing.
     """
     own = files.select("source", F.col("text").alias("_file"), documents_of(F.col("text")).alias("_texts"))
-    own = own.withColumn("_docs", F.transform("_texts", lambda t: F.struct(t.alias("text"), header_candidates(t).alias("candidates")))).drop("_texts")
-    own = with_fuzzy_roles(own, F.array_distinct(F.flatten(F.transform("_docs", lambda d: unknown_titles(d["candidates"])))))
-    own = own.withColumn("_docs", F.transform("_docs", lambda d: F.struct(d["text"].alias("text"), sections_of(d["text"], markers_of(d["candidates"], F.col("_fuzzy"))).alias("sections"))))
+    own = own.withColumn("_docs", F.transform("_texts", lambda t: F.struct(t.alias("text"), pieces_of(t).alias("pieces")))).drop("_texts")
+    own = with_fuzzy_roles(own, F.array_distinct(F.flatten(F.transform("_docs", lambda d: unknown_titles(d["pieces"])))))
+    own = own.withColumn("_docs", F.transform("_docs", lambda d: F.struct(d["text"].alias("text"), sections_of(d["pieces"], bounds_of(d["pieces"], F.col("_fuzzy"))).alias("sections"))))
     each = lambda f: F.transform("_docs", lambda d: fields.extracted(d["text"], d["sections"], as_of_year, [f])[f])
     own = own.withColumns({f"_{f}": each(f) for f in FIELDS})
     # the whole file is read once, however many of its waybills need it, and only if one does

@@ -1,6 +1,6 @@
 """Sections of a waybill: header candidates, their roles, and the text between them.
 
-Titles known by an exact rule are classified by expressions; only titles that no rule knows go, in Arrow batches, to the fuzzy scorer.
+Titles known by an exact rule are classified by expressions; only titles that no rule knows go to the fuzzy scorer, an expression too.
 """
 
 from __future__ import annotations
@@ -8,20 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import fuzzy_roles
-from ..functions.rx import find, first_of, has, let, matches, strip
+from ..functions.fuzzy import ROLE_TITLES, fuzzy_roles
+from ..functions.rx import MARK, first_of, has, let, rx, starts, strip, without_marks
 from ..schema import ROLES
 
 IGNORED = "__ignored__"
-# Titles of sections, more specific ones first; titles that only end a section; roles by number on the form of 2022.
-ROLE_TITLES = [
-    ("reception", ["прием груза", "приём груза", "погрузка груза"]),
-    ("consignee", ["грузополучатель", "покупатель"]),
-    ("shipper", ["грузоотправитель", "продавец", "поставщик"]),
-    ("vehicle", ["транспортное средство"]),
-    ("carrier", ["перевозчик"]),
-    ("cargo", ["груз"]),
-]
+# Titles that only end a section; roles by number on the form of 2022.
 STOP_TITLES = ["сопроводительные документы", "указания грузоотправителя", "условия перевозки", "информация о принятии", "оговорки и замечания", "прочие условия", "переадресовк", "стоимость услуг", "стоимость перевозки", "дата составления", "отметки", "выдача груза", "сдача груза"]
 ROLE_BY_NUMBER = {"3": "cargo", "6": "carrier", "7": "vehicle", "8": "reception"}
 _KNOWN = "|".join([t for _, titles in ROLE_TITLES for t in titles] + STOP_TITLES)
@@ -49,35 +41,57 @@ def exact_role(title: Column) -> Column:
     return let(strip(F.lower(title)), ruled)
 
 
-def header_candidates(text: Column) -> Column:
-    """All header candidates in order: pos, title, role by an exact rule, by_number (the role of the section's number, for numbered titles)."""
+#: One alternation for the three ways to write a heading; the groups that took part tell which it was.
+HEADER = rf"(?m:{NUMBERED})|(?im:{NUMBERED_KNOWN})|(?im:{BARE_KNOWN})"
+_SEP = "\ue003"
+
+
+def pieces_of(text: Column) -> Column:
+    """The text cut at its headings, by one scan: `head` is what stands before the first, and each of `parts` has its heading and what follows up
+    to the next (text), the title, the role by an exact rule, by_number (the role of the section's number, for numbered titles) and rank
+    (1 numbered, 2 numbered with a known title, 3 known title alone)."""
+
+    def part(p: Column) -> Column:
+        own = F.split(p, _SEP, 6)
+        number, numbered, known, bare = (F.get(own, F.lit(i)) for i in range(4))
+        by_number = F.when(numbered != "", F.when(number == "3", "cargo").when(number == "6", "carrier").when(number == "7", "vehicle").when(number == "8", "reception"))
+        rank = F.when(numbered != "", 1).when(known != "", 2).otherwise(3)
+        title = F.concat(numbered, known, bare)
+        return F.struct(F.get(own, F.lit(4)).alias("text"), title.alias("title"), exact_role(title).alias("role"), by_number.alias("by_number"), rank.alias("rank"))
+
+    def cut(parts: Column) -> Column:
+        return F.struct(F.get(parts, F.lit(0)).alias("head"), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), part).alias("parts"))
 
-    def each(pattern: str, flags: str, title: int, numbered: bool, rank: int) -> Column:
-        def one(m: Column) -> Column:
-            own = find(m["found"], f"\\A(?:{pattern})", title, flags)
-            number = find(m["found"], f"\\A(?:{pattern})", 1, flags)
-            by_number = F.when(number == "3", "cargo").when(number == "6", "carrier").when(number == "7", "vehicle").when(number == "8", "reception") if numbered else F.lit(None).cast("string")
-            return F.struct(m["at"].alias("pos"), F.lit(rank).alias("rank"), own.alias("title"), exact_role(own).alias("role"), by_number.alias("by_number"))
+    return let(F.split(F.regexp_replace(without_marks(text, MARK + _SEP), rx(HEADER), f"{MARK}$1{_SEP}$2{_SEP}$4{_SEP}$5{_SEP}$0"), MARK, -1), cut)
 
-        return F.transform(matches(text, pattern, flags), one)
 
-    return F.array_sort(F.concat(each(NUMBERED, "m", 2, True, 1), each(NUMBERED_KNOWN, "im", 2, False, 2), each(BARE_KNOWN, "im", 1, False, 3)))
+def _positions(pieces: Column) -> Column:
+    return starts(F.transform(pieces["parts"], lambda p: F.length(p["text"])), F.length(pieces["head"]))
+
+
+def header_candidates(text: Column) -> Column:
+    """All header candidates in order: pos, rank, title, role by an exact rule, by_number."""
+    return let(pieces_of(text), lambda own: F.zip_with(_positions(own), own["parts"], lambda at, p: F.struct(at.alias("pos"), p["rank"].alias("rank"), p["title"].alias("title"), p["role"].alias("role"), p["by_number"].alias("by_number"))))
+
 
+def _decided(c: Column, fuzzy: Column) -> Column:
+    """The role of a candidate: the exact one, else the fuzzy one (a map by title), else the number's; NULL if it is no heading."""
+    guess = F.try_element_at(fuzzy, c["title"])
+    guess = F.when((c["role"] == "?") | guess.isin("shipper", "consignee"), guess)
+    return F.when(~c["role"].startswith("?"), c["role"]).otherwise(F.coalesce(guess, c["by_number"]))
 
-def _decided(candidates: Column, fuzzy: Column) -> Column:
-    """Candidates with a role: the exact one, else the fuzzy one (a map by title), else the number's."""
 
-    def one(c: Column) -> Column:
-        guess = F.try_element_at(fuzzy, c["title"])
-        guess = F.when((c["role"] == "?") | guess.isin("shipper", "consignee"), guess)
-        return F.struct(c["pos"].alias("pos"), F.when(~c["role"].startswith("?"), c["role"]).otherwise(F.coalesce(guess, c["by_number"])).alias("role"))
+def bounds_of(pieces: Column, fuzzy: Column) -> Column:
+    """Of the pieces that begin a section: i (from 1) and role. Each role counts once, titles that only end a section always."""
 
-    return F.filter(F.transform(candidates, one), lambda m: m["role"].isNotNull())
+    def kept(roles: Column) -> Column:
+        def first(firsts: Column) -> Column:
+            numbered = F.transform(roles, lambda r, i: F.struct((i + 1).alias("i"), r.alias("role")))
+            return F.filter(numbered, lambda x: (x["role"] == IGNORED) | (F.try_element_at(firsts, x["role"]) == x["i"]))
 
+        return let(F.map_from_arrays(F.array(*map(F.lit, ROLES)), F.array(*(F.array_position(roles, F.lit(r)).cast("int") for r in ROLES))), first)
 
-def _first_of_each(markers: Column) -> Column:
-    """The first marker of each role, and all stop titles."""
-    return let(markers, lambda all_: F.filter(all_, lambda m, i: (m["role"] == IGNORED) | (F.array_position(F.transform(all_, lambda x: x["role"]), m["role"]) == i + 1)))
+    return let(F.transform(pieces["parts"], lambda p: _decided(p, fuzzy)), kept)
 
 
 def _body(chunk: Column) -> Column:
@@ -92,48 +106,50 @@ def _body(chunk: Column) -> Column:
     return let(strip(chunk), parted)
 
 
-def unknown_titles(candidates: Column) -> Column:
+def unknown_titles(pieces: Column) -> Column:
     """The titles that only the fuzzy scorer can tell, each once."""
-    return F.array_distinct(F.filter(F.transform(candidates, lambda c: F.when(c["role"].startswith("?"), c["title"])), lambda t: t.isNotNull()))
+    return F.array_distinct(F.transform(F.filter(pieces["parts"], lambda c: c["role"].startswith("?")), lambda c: c["title"]))
 
 
 def with_fuzzy_roles(rows: DataFrame, titles: Column) -> DataFrame:
     """Adds _fuzzy: the roles of an array of titles, by title."""
     own = rows.withColumn("_titles", titles)
-    return own.withColumn("_roles", fuzzy_roles(F.col("_titles"))).withColumn("_fuzzy", F.map_from_arrays("_titles", "_roles")).drop("_titles", "_roles")
+    return own.withColumn("_roles", fuzzy_roles("_titles")).withColumn("_fuzzy", F.map_from_arrays("_titles", "_roles")).drop("_titles", "_roles")
 
 
-def markers_of(candidates: Column, fuzzy: Column) -> Column:
-    """The (pos, role) that bound sections, in order."""
-    return _first_of_each(_decided(candidates, fuzzy))
+def _with_pieces(docs: DataFrame, text: str) -> DataFrame:
+    own = docs.withColumn("_pieces", pieces_of(F.col(text)))
+    return with_fuzzy_roles(own, unknown_titles(F.col("_pieces")))
 
 
 def add_markers(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds markers: the (pos, role) that bound sections, in order."""
-    own = docs.withColumn("_candidates", header_candidates(F.col(text)))
-    own = with_fuzzy_roles(own, unknown_titles(F.col("_candidates")))
-    return own.withColumn("markers", markers_of(F.col("_candidates"), F.col("_fuzzy"))).drop("_candidates", "_fuzzy")
+    placed = lambda at: F.transform(bounds_of(F.col("_pieces"), F.col("_fuzzy")), lambda b: F.struct(F.get(at, b["i"] - 1).alias("pos"), b["role"].alias("role")))
+    return _with_pieces(docs, text).withColumn("markers", let(_positions(F.col("_pieces")), placed)).drop("_pieces", "_fuzzy")
 
 
-def sections_of(t: Column, markers: Column) -> Column:
-    """A struct of the seven roles' bodies, NULL where a role is absent."""
+def sections_of(pieces: Column, bounds: Column) -> Column:
+    """A struct of the seven roles' bodies, NULL where a role is absent. A section's text is its pieces joined, so that no text is cut by counting
+    its characters."""
 
-    def of(m: Column) -> Column:
+    def of(b: Column) -> Column:
         def between(x: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(m, i + 1)["pos"], F.length(t))
-            return F.struct(x["role"].alias("role"), _body(F.substring(t, x["pos"] + 1, end - x["pos"])).alias("body"))
+            n = F.coalesce(F.get(b, i + 1)["i"], F.size(pieces["parts"]) + 1) - x["i"]
+            own = F.when(x["role"] != IGNORED, _body(F.array_join(F.transform(F.slice(pieces["parts"], x["i"], n), lambda p: p["text"]), "")))
+            return F.struct(x["role"].alias("role"), own.alias("body"))
 
         def bodies(parts: Column) -> Column:
-            head = F.nullif(strip(F.when(F.size(m) > 0, F.substring(t, F.lit(1), F.get(m, F.lit(0))["pos"])).otherwise(t)), F.lit(""))
+            before = F.coalesce(F.get(b, F.lit(0))["i"] - 1, F.size(pieces["parts"]))
+            head = F.concat(pieces["head"], F.array_join(F.transform(F.slice(pieces["parts"], F.lit(1), before), lambda p: p["text"]), ""))
             body = lambda role: first_of(parts, lambda p: p["role"] == role)["body"]
-            return F.struct(head.alias("head"), *(body(role).alias(role) for role in ROLES[1:]))
+            return F.struct(F.nullif(strip(head), F.lit("")).alias("head"), *(body(role).alias(role) for role in ROLES[1:]))
 
-        return let(F.transform(m, between), bodies)
+        return let(F.transform(b, between), bodies)
 
-    return let(markers, of)
+    return let(bounds, of)
 
 
 def add_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds sections: a struct of the seven roles' bodies, NULL where a role is absent."""
-    own = add_markers(docs, text)
-    return own.withColumn("sections", sections_of(F.col(text), F.col("markers")))
+    own = _with_pieces(docs, text)
+    return own.withColumn("sections", sections_of(F.col("_pieces"), bounds_of(F.col("_pieces"), F.col("_fuzzy")))).drop("_pieces", "_fuzzy")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fuzzy
 from ..functions import textnorm as tn
 from ..functions import validate as va
 from ..operators import documents, feedback, fields, layout, organisations, reports, rows, scoring, sections
@@ -253,16 +254,22 @@ def header_classify(spark, sf_dir):
     return own.withColumn("role", sections.exact_role(F.col("title")))
 
 
+def _damaged(title: str) -> list[str]:
+    """A title with one letter lost, one misread, and one too many."""
+    half = len(title) // 2
+    return [x.capitalize() for x in (title[:-2] + title[-1], title[:half] + "ъ" + title[half + 1 :], title[:4] + "я" + title[4:])]
+
+
 _MISREAD = {"Грузотравитель": "shipper", "Псревозчик": "carrier", "Транспортнос средство": "vehicle", "Прнем груза": "reception", "Наименование": None, "Пере": None}
+_MISREAD |= {x: role for role, titles in fuzzy.TITLES for t in titles if "ё" not in t for x in _damaged(t)}
 
 
 @_query(f"select o_orderkey, title, role from orders join customer on o_custkey = c_custkey join (values {', '.join(f'({i}, {_q(t)}, {_q(r) if r else "null"})' for i, (t, r) in enumerate(_MISREAD.items()))}) t(i, title, role) on i = o_orderkey % {len(_MISREAD)}")
 def header_fuzzy(spark, sf_dir):
     """Roles of misread titles."""
-    own = forms.values(spark, sf_dir).select("o_orderkey", F.element_at(F.array(*map(F.lit, _MISREAD)), (F.col("o_orderkey") % len(_MISREAD) + 1).cast("int")).alias("title"))
-    from ..functions.fuzzy import fuzzy_roles
-
-    return own.select("o_orderkey", "title", F.get(fuzzy_roles(F.array("title")), F.lit(0)).alias("role"))
+    title = F.element_at(F.array(*map(F.lit, _MISREAD)), (F.col("o_orderkey") % len(_MISREAD) + 1).cast("int"))
+    own = forms.spread(_table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.array(title).alias("titles"))
+    return own.select("o_orderkey", F.get("titles", F.lit(0)).alias("title"), F.get(fuzzy.fuzzy_roles("titles"), F.lit(0)).alias("role"))
 
 
 @_query("select o_orderkey, 'shipper,' || case when o_orderkey % 8 = 4 then '' else 'consignee,' end || 'cargo,__ignored__,carrier,vehicle,reception,__ignored__' as roles from orders join customer on o_custkey = c_custkey")
@@ -603,8 +610,24 @@ def line_grouping(spark, sf_dir):
 
 @_query("select o_orderkey, true as two, " + " || chr(10) || ".join(f"'{s}{i} ' || o_orderkey" if s else "''" for s, i in [("л", 0), ("л", 1), ("л", 2), ("л", 3), ("", 0), ("п", 0), ("п", 1), ("п", 2), ("п", 3)]) + " as text from orders")
 def two_column_detect(spark, sf_dir):
-    own = _spans(spark, sf_dir, True)
-    return own.select("o_orderkey", layout.is_two_column(layout.lines_of(F.col("spans")), F.lit(480.0)).alias("two"), layout.render(F.col("spans"), F.lit(480.0)).alias("text"))
+    own = forms.spread(_spans(spark, sf_dir, True)).select("o_orderkey", layout.lines_of(F.col("spans")).alias("lines"))
+    return own.select("o_orderkey", layout.is_two_column(F.col("lines"), F.lit(480.0)).alias("two"), layout.render_lines(F.col("lines"), F.lit(480.0)).alias("text"))
+
+
+#: Ends of the left span and begin and end of the right one by o_orderkey % 4: a gap just wide enough, one too narrow, one just too far from the
+#: middle, and two spans that both lie in the right half.
+_EDGES = [(100.0, 220.0, 250.0, 400.0), (100.0, 220.0, 249.5, 400.0), (100.0, 316.0, 356.0, 400.0), (200.0, 290.0, 330.0, 400.0)]
+
+
+@_query("""select o_orderkey, o_orderkey % 4 in (0, 3) as two, case o_orderkey % 4 when 0 then l0 || chr(10) || l1 || chr(10) || chr(10) || r0 || chr(10) || r1 else l0 || ' ' || r0 || chr(10) || l1 || ' ' || r1 end as text
+from (select o_orderkey, 'л0 ' || o_orderkey as l0, 'л1 ' || o_orderkey as l1, 'п0 ' || o_orderkey as r0, 'п1 ' || o_orderkey as r1 from orders)""")
+def column_edges(spark, sf_dir):
+    """Gaps exactly at their bounds, and a page of two columns one of which is empty."""
+    k = (F.col("o_orderkey") % 4 + 1).cast("int")
+    place = [F.element_at(F.array(*(F.lit(e[j]) for e in _EDGES)), k) for j in range(4)]
+    each = [F.struct(place[2 * j].alias("x0"), F.lit(i * 12.0).alias("y0"), place[2 * j + 1].alias("x1"), F.lit(i * 12.0 + 9).alias("y1"), F.concat(F.lit(f"{'лп'[j]}{i} "), F.col("o_orderkey").cast("string")).alias("text")) for i in range(2) for j in (1, 0)]
+    own = forms.spread(_table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", layout.lines_of(F.array(*each)).alias("lines"))
+    return own.select("o_orderkey", layout.is_two_column(F.col("lines"), F.lit(480.0)).alias("two"), layout.render_lines(F.col("lines"), F.lit(480.0)).alias("text"))
 
 
 @_query("select o_orderkey, case o_orderkey % 4 when 0 then 'п' when 1 then 'б' when 2 then 'в' else 'п' end as way, case o_orderkey % 4 when 0 then 120 when 1 then 121 when 2 then 60 else 60 end as score from orders")
