@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.rx import strip
 from ..schema import FIELDS, is_blank, shown
@@ -28,14 +27,29 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_key", F.coalesce(F.nullif(F.col("source").cast("string"), F.lit("")), F.concat(F.lit("__row_"), F.col("row_no").cast("string"))))
 
 
+#: Rows of one key that one task joins, about.
+SPLIT = 100_000
+
+
+def _join_frequent(rows: DataFrame, one_each: DataFrame) -> DataFrame:
+    """rows joined with one_each (a row for each _key). Keys of more than SPLIT rows, of which there are at most one in SPLIT rows, are
+    salted on both sides."""
+    hot = rows.groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select("_key", F.ceil(F.col("n") / SPLIT).cast("int").alias("_parts"))
+    parts = lambda df: df.join(F.broadcast(hot), "_key", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    salted = parts(rows).withColumn("_salt", F.pmod(F.col("row_no"), F.col("_parts")).cast("int"))
+    copies = parts(one_each).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return salted.drop("_parts").join(copies.drop("_parts"), ["_key", "_salt"]).drop("_salt")
+
+
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row per changed field. before: a snapshot with row_no; after: edited rows (source and fields) with row_no from 0.
 
-    Rows match by source, else by place; of rows with one source the first of the snapshot counts; unmatched rows are left out.
+    Rows match by source, else by place; of rows with one source the first of the snapshot counts; unmatched rows are left out. The first is found
+    by partial sums, and edited rows of one source beyond SPLIT are dealt to several tasks.
     """
-    own = _keyed(before).withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("row_no"))).filter("_n = 1")
-    first = own.select("_key", F.col("source").alias("_source"), *(F.struct(F.col(f).alias("o"), F.col(f"{f}_conf").alias("c")).alias(f"_{f}") for f in FIELDS))
-    both = _keyed(after).join(first, "_key")
+    kept = F.struct(F.col("source").alias("_source"), *(F.struct(F.col(f).alias("o"), F.col(f"{f}_conf").alias("c")).alias(f"_{f}") for f in FIELDS))
+    first = _keyed(before).groupBy("_key").agg(F.min_by(kept, "row_no").alias("_first")).select("_key", "_first.*")
+    both = _join_frequent(_keyed(after), first)
     clean = lambda c: strip(F.coalesce(c, F.lit("")))
     each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("field"), clean(F.col(f"_{f}")["o"]).alias("original"), clean(F.col(f)).alias("corrected"), F.coalesce(F.col(f"_{f}")["c"], F.lit(0.0)).alias("original_confidence")) for i, f in enumerate(FIELDS)))
     long = both.select(F.coalesce("_source", F.lit("")).alias("source"), (F.col("row_no") + 2).cast("int").alias("excel_row"), F.inline(each))

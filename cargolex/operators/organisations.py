@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.validate import first_tax_id, is_valid_tax_id
 
@@ -27,10 +26,39 @@ def parties_of(expected: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.concat_ws("|", "source_file", F.lpad(F.col("doc_no").cast("string"), 6, "0"), F.lpad(F.col("party_no").cast("string"), 6, "0")))
 
 
-def merged(cached: DataFrame, harvested: DataFrame) -> DataFrame:
-    """Both directories in one; what is cached goes before what is harvested."""
-    both = cached.withColumn("_rank", F.lit(0)).unionByName(harvested.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(W.partitionBy("inn").orderBy("_rank"))).filter("_n = 1").drop("_rank", "_n")
+def merged(cached: DataFrame, harvested: DataFrame, refresh: bool = False) -> DataFrame:
+    """Both directories in one: what is cached goes before what is harvested, with refresh the other way round. Within one directory the entry
+    that was seen first counts (column seq, if it is there), then the smallest by its columns; partial sums, no window."""
+    both = cached.withColumn("_rank", F.lit(int(refresh))).unionByName(harvested.withColumn("_rank", F.lit(int(not refresh))), allowMissingColumns=True)
+    columns = [c for c in both.columns if c not in ("_rank", "inn")]
+    order = F.struct("_rank", *(F.col(c) for c in columns if c == "seq"), F.to_json(F.struct(*columns)))
+    best = both.groupBy("inn").agg(F.min_by(F.struct(*columns), order).alias("_best"))
+    return best.select(*(F.col("inn") if c == "inn" else F.col("_best")[c].alias(c) for c in both.columns if c != "_rank"))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written whole; the marker of success is the last file of each."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    glob = hadoop.Path(f"{path}/version=*/_SUCCESS")
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of a stored directory; None if there is none. A version that a run left unfinished is not seen."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={versions[-1]}") if versions else None
+
+
+def update_directory(harvested: DataFrame, path: str, refresh: bool = False) -> int:
+    """Merges what was harvested into the stored directory as its next version, which readers see once it is whole; its number. Tax ids that
+    are not valid stay out."""
+    spark = harvested.sparkSession
+    last = read_directory(spark, path)
+    new = harvested.filter(is_valid_tax_id(F.col("inn")))
+    number = max(_versions(spark, path), default=0) + 1
+    merged(last if last is not None else new.limit(0), new, refresh).write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
 
 
 def lookup(rows: DataFrame, directory: DataFrame, text: str) -> DataFrame:

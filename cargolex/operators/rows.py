@@ -99,12 +99,18 @@ def placeholder(source: Column, error: Column) -> list[Column]:
     return [source.alias("source"), F.lit(0).alias("doc_idx"), F.lit(1).alias("n_docs"), source.alias("row_source"), *(none.alias(f) for f in FIELDS), F.lit(TITLE).alias("waybill"), zero.alias("confidence"), F.concat(F.lit(ERROR), error).alias("note")]
 
 
+#: Parts a file's name from its error while its row is parsed like any other.
+_ERROR_MARK = "\ue004"
+
+
 def parse_or_error(files: DataFrame, as_of_year: int) -> DataFrame:
-    """files(source, text, error): those with an error become placeholder rows, the rest is parsed."""
-    good = parse(files.filter(F.col("error").isNull()).select("source", "text"), as_of_year)
-    bad = files.filter(F.col("error").isNotNull())
-    bad = bad.select(*placeholder(F.col("source"), F.col("error")))
-    return good.unionByName(bad)
+    """files(source, text, error): those with an error become placeholder rows, the rest is parsed. All in one pass, so that what gives the texts
+    (a decoder, a stream) is read once."""
+    own = files.select(F.concat_ws(_ERROR_MARK, "source", "error").alias("source"), F.when(F.col("error").isNull(), F.col("text")).otherwise("").alias("text"))
+    out = parse(own, as_of_year).withColumn("_parts", F.split("source", _ERROR_MARK, 2))
+    source, error = F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1))
+    names = [c for c in out.columns if c != "_parts"]
+    return out.select(*(F.when(error.isNotNull(), bad).otherwise(source if c == "source" else F.col(c)).alias(c) for c, bad in zip(names, placeholder(source, error), strict=True)))
 
 
 def enrich(rows: DataFrame, suggestions: DataFrame | None) -> DataFrame:

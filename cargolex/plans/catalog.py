@@ -479,6 +479,18 @@ def org_dictionary(spark, sf_dir):
     return organisations.harvest(_parties(spark, sf_dir)).select("inn", "name", "address", "seq")
 
 
+_KNOWN = f"(select inn, 'Старое имя' as name, address from {_PARTIES} where cast(substr(inn, 9, 1) as int) % 2 = 0)"
+
+
+@_query(f"select refresh, coalesce(h.inn, k.inn) as inn, case when refresh then coalesce(h.name, k.name) else coalesce(k.name, h.name) end as name from {_PARTIES} h full join {_KNOWN} k on h.inn = k.inn cross join (values (false), (true)) t(refresh)")
+def org_directory_refresh(spark, sf_dir):
+    """A directory that knows half of the tax ids, merged with all that were harvested: its own names stay, with refresh they do not."""
+    new = organisations.harvest(_parties(spark, sf_dir))
+    known = new.filter("cast(substr(inn, 9, 1) as int) % 2 = 0").withColumn("name", F.lit("Старое имя"))
+    both = [organisations.merged(known, new, refresh).select(F.lit(refresh).alias("refresh"), "inn", "name") for refresh in (False, True)]
+    return both[0].union(both[1])
+
+
 @_query(f"select v.o_orderkey, v.shipper_inn as inn, p.name as org_name from ({forms.values_sql()}) v left join {_PARTIES} p on v.shipper_inn = p.inn")
 def org_lookup(spark, sf_dir):
     own = forms.values(spark, sf_dir).select("o_orderkey", F.concat(F.lit("ООО, ИНН "), "shipper_inn").alias("party"))
