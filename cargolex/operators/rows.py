@@ -106,7 +106,9 @@ _ERROR_MARK = "\ue004"
 def parse_or_error(files: DataFrame, as_of_year: int) -> DataFrame:
     """files(source, text, error): those with an error become placeholder rows, the rest is parsed. All in one pass, so that what gives the texts
     (a decoder, a stream) is read once."""
-    own = files.select(F.concat_ws(_ERROR_MARK, "source", "error").alias("source"), F.when(F.col("error").isNull(), F.col("text")).otherwise("").alias("text"))
+    good = F.col("error").isNull()
+    marked = F.concat(F.coalesce("source", F.lit("")), F.lit(_ERROR_MARK), "error")
+    own = files.select(F.when(good, F.col("source")).otherwise(marked).alias("source"), F.when(good, F.col("text")).otherwise("").alias("text"))
     out = parse(own, as_of_year).withColumn("_parts", F.split("source", _ERROR_MARK, 2))
     source, error = F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1))
     names = [c for c in out.columns if c != "_parts"]
