@@ -10,6 +10,7 @@ import argparse
 import os
 import sys
 import time
+from collections.abc import Callable
 from datetime import datetime
 from importlib import import_module
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .operators.reports import file_status, totals
 from .operators.rows import parse_or_error
+from .progress import Progress
+from .sources import cache as cached_rows
 from .sources import sinks
 from .sources.files import decoded, file_marks, list_documents, normalized, read_texts
 
@@ -30,16 +33,21 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--decoder", metavar="MODULE:FUNCTION", help="reads PDFs: bytes to page dicts, see sources.files.decoded")
     p.add_argument("--cache", help="folder of the rows of files that were read; by default beside the workbook")
     p.add_argument("--no-cache", action="store_true", help="read all files anew")
-    p.add_argument("-v", "--verbose", action="store_true", help="a line for each file")
+    p.add_argument("-v", "--verbose", action="store_true", help="tell how many files are done, and a line for each file")
+    p.add_argument("--snapshot-json", action="store_true", help="the snapshot as one JSON text, not as a table")
     p.add_argument("--as-of-year", type=int, default=datetime.now().year)
     return p.parse_args(argv)
 
 
+def decoder_of(named: str) -> Callable[[bytes], list[dict]]:
+    module, name = named.split(":")
+    return getattr(import_module(module), name)
+
+
 def _files(spark: SparkSession, path: str, decoder: str | None) -> tuple[DataFrame, DataFrame]:
-    """(source, signature) of the inputs, and (source, text, error) of them, which reads nothing yet."""
+    """(source, signature, path) of the inputs, and (source, text, error) of them, which reads nothing yet."""
     if decoder:
-        module, name = decoder.split(":")
-        marks, read = list_documents(spark, path), decoded(list_documents(spark, path), getattr(import_module(module), name))
+        marks, read = list_documents(spark, path), decoded(list_documents(spark, path), decoder_of(decoder))
         read = read.withColumn("source", F.regexp_extract("source", r"([^/]+)$", 1))
         marks = marks.select("path", "length", F.col("modificationTime").alias("modified"))
     else:
@@ -47,7 +55,7 @@ def _files(spark: SparkSession, path: str, decoder: str | None) -> tuple[DataFra
         read = read_texts(spark, path, names).withColumn("error", F.lit(None).cast("string"))
         marks = file_marks(spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)).select("path", "length", "modified")
     signature = sinks.signature(F.col("path"), F.col("length"), F.col("modified"))
-    return marks.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), signature.alias("signature")), read
+    return marks.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), signature.alias("signature"), "path"), read
 
 
 def _told(rows: DataFrame) -> None:
@@ -58,7 +66,12 @@ def _told(rows: DataFrame) -> None:
     status.unpersist()
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def _counted(done: int, total: int) -> None:
+    print(f"  {done}/{total} files read")
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, progress: Callable[[int, int], None] | None = None) -> int:
+    """progress(done, total) is called while files are read; what it raises reaches nobody."""
     args = _arguments(argv)
     if not os.path.exists(args.path):
         print(f"{args.path}: no such path", file=sys.stderr)
@@ -74,13 +87,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     cache = args.cache or os.path.join(os.path.dirname(os.path.abspath(output)), ".cargolex_cache")
 
     marks, read = _files(spark, args.path, args.decoder)
-    known = spark.read.parquet(cache) if not args.no_cache and os.path.exists(cache) else None
+    known = None if args.no_cache else cached_rows.read(spark, cache)
+    told = progress or (_counted if args.verbose else None)
+    misses = marks if known is None else sinks.cache_misses(marks, known)
     if known is not None:
-        read = read.join(sinks.cache_misses(marks, known), "source", "left_semi")
-    fresh = parse_or_error(normalized(read), args.as_of_year).cache()
+        read = read.join(misses, "source", "left_semi")
+    watch = Progress(misses.count() if told else 0, told)
+    fresh = parse_or_error(normalized(watch.counted(read)), args.as_of_year).cache()
     rows = fresh if known is None else fresh.unionByName(sinks.cache_get(marks, known).select(fresh.columns)).cache()
     try:
-        written = sinks.write_workbook_safe(rows, output, now)
+        with watch:
+            written = sinks.write_workbook_safe(rows, output, now, as_table=not args.snapshot_json)
     except PermissionError as e:
         print(f"{output}: {e}", file=sys.stderr)
         return 4
@@ -90,7 +107,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     t = totals(rows).first()
     print(f"{t.files} files, {t.err_files} with errors, {t.n_rows} rows in {time.time() - began:.1f} s: {written}")
     if not args.no_cache:
-        sinks.cache_put(fresh, marks, cache)  # last, as the plans above read the cache
+        # last, as the plans above read the cache
+        if cached_rows.put(fresh, marks, cache) % cached_rows.MANY == 0:
+            cached_rows.compact(spark, cache)
     return 3 if t.err_files else 0
 
 

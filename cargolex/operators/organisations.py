@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.validate import first_tax_id, is_valid_tax_id
+from ..sources import versions
 
 COLUMNS = ["inn", "name", "legal_form", "kpp", "ogrn", "address", "phone"]
 
@@ -36,18 +37,10 @@ def merged(cached: DataFrame, harvested: DataFrame, refresh: bool = False) -> Da
     return best.select(*(F.col("inn") if c == "inn" else F.col("_best")[c].alias(c) for c in both.columns if c != "_rank"))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions that were written whole; the marker of success is the last file of each."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    glob = hadoop.Path(f"{path}/version=*/_SUCCESS")
-    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
-    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
-
-
 def read_directory(spark: SparkSession, path: str) -> DataFrame | None:
     """The last version of a stored directory; None if there is none. A version that a run left unfinished is not seen."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/version={versions[-1]}") if versions else None
+    there = versions.numbers(spark, path)
+    return spark.read.parquet(f"{path}/version={there[-1]}") if there else None
 
 
 def update_directory(harvested: DataFrame, path: str, refresh: bool = False) -> int:
@@ -56,7 +49,7 @@ def update_directory(harvested: DataFrame, path: str, refresh: bool = False) ->
     spark = harvested.sparkSession
     last = read_directory(spark, path)
     new = harvested.filter(is_valid_tax_id(F.col("inn")))
-    number = max(_versions(spark, path), default=0) + 1
+    number = max(versions.numbers(spark, path), default=0) + 1
     merged(last if last is not None else new.limit(0), new, refresh).write.mode("overwrite").parquet(f"{path}/version={number}")
     return number
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from ..functions.fuzzy import partial_similarity
 from ..functions.rx import find_all, replace, strip
 from ..schema import FIELDS, MISSING
-from .rows import overall
+from .rows import overall, parse
 
 # Letters that a plate or a name is compared without regard to, words that name no cargo, least similarity of names.
 PLATE_FROM, PLATE_TO = "АЕО", "AEO"
@@ -177,6 +177,18 @@ def with_experts(files: DataFrame, expected: DataFrame) -> DataFrame:
     return files.withColumn("_base", _named(F.col("path"))[1]).join(own, "_base", "left").drop("_base")
 
 
+def folder_verdicts(files: DataFrame, expected: DataFrame, as_of_year: int) -> DataFrame:
+    """(path, field, verdict) of a folder: of the copies of a file(path, source, text) one is taken, its first waybill is held against the expert
+    file of its base name. Files without an expert file, and those without text, are left out."""
+    told = expectations(expected)
+    picked = with_experts(pick_inputs(files).select("path"), told).filter(F.col("source_file").isNotNull())
+    texts = files.join(picked, "path").filter(strip(F.coalesce("text", F.lit(""))) != "")
+    first = parse(texts.select(F.col("path").alias("source"), "text"), as_of_year).groupBy("source").agg(F.min_by(F.struct(*FIELDS), "doc_idx").alias("got"))
+    one = told.select("source_file", F.struct(*FIELDS).alias("expected"))
+    pairs = first.join(picked, first["source"] == picked["path"]).join(one, "source_file").select("path", "expected", "got")
+    return verdicts(pairs)
+
+
 def rule_failures(value: Column, rule: Column) -> Column:
     """Of a golden rule struct(equals, contains, not_contains): the names of the checks that a value fails."""
     own = F.coalesce(value, F.lit(MISSING))

@@ -11,10 +11,12 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.textnorm import normalize
 from ..operators.layout import joined_pages
 from ..schema import CORRECTION, EXPERT_DOCUMENTS, EXPERT_PAGES, FIELDS, SNAPSHOT_ROW, SPAN
+from . import snapshots
 
 PAGES = f"page_no int, width double, plain string, blocks array<struct<kind:int,text:string>>, spans {SPAN}"
 
@@ -68,9 +70,9 @@ def normalized(files: DataFrame) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a snapshot file with row_no; none if the file cannot be read as one."""
-    from pyspark.sql import types as T
-
+    """Rows of a snapshot, a table or one JSON text, with row_no; none if the file cannot be read as one."""
+    if snapshots.is_table(spark, path):
+        return snapshots.read(spark, path)
     schema = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("generated_at", T.StringType()), T.StructField("rows", T.ArrayType(SNAPSHOT_ROW))])
     return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE").select(F.posexplode("rows").alias("row_no", "r")).select("row_no", "r.*")
 

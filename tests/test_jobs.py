@@ -13,6 +13,7 @@ from cargolex.operators import documents, feedback, organisations, rows, scoring
 from cargolex.operators.reports import file_status
 from cargolex.plans import catalog, forms
 from cargolex.schema import FIELDS
+from cargolex.sources import cache as cached_rows
 from cargolex.sources import files, sinks
 from cargolex.streaming import directory
 
@@ -173,16 +174,18 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / texts[2][0]).write_text(texts[2][1], encoding="utf-8")
     # rows that the cache holds are taken from it, so that they can be told from rows that are read
     cache = str(tmp_path / ".cargolex_cache")
-    held = spark.read.parquet(cache)
+    held = cached_rows.read(spark, cache)
     marked = [r.asDict(True) | {"note": "CACHED"} for r in held.collect()]
-    spark.createDataFrame(marked, held.schema).write.mode("overwrite").parquet(cache)
+    spark.createDataFrame(marked, held.schema).write.mode("overwrite").parquet(f"{cache}/batch=1")
     capsys.readouterr()
-    assert cli.main([str(tmp_path), "-v", *year], spark) == 0
+    told = []
+    assert cli.main([str(tmp_path), "-v", *year], spark, lambda done, total: told.append((done, total)) or 1 / 0) == 0
+    assert told[-1] == (1, 1)
     assert (tmp_path / "extraction.xlsx").exists() and "Файлов:     3" in (tmp_path / "extraction.log").read_text()
     assert capsys.readouterr().out.count("[OK  ]") == 3
     notes = {r.source: r.note for r in files.read_workbooks(spark, str(tmp_path)).collect()}
     assert notes == {texts[0][0]: "CACHED", texts[1][0]: "CACHED", texts[2][0]: ""}
-    assert spark.read.parquet(cache).count() == 3
+    assert cached_rows.read(spark, cache).count() == 3
 
 
 def test_cli_with_decoder(spark, tmp_path, monkeypatch):
