@@ -113,6 +113,10 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 from (select doc_id, {_LOWERED} as t from documents)"""
 
 
+#: Licenses of one SPDX expression that the SQL takes apart; the operator has no bound.
+_TAGS = 8
+
+
 def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
@@ -121,20 +125,37 @@ def _license_sql() -> str:
         # identifiers are kept as ',id,' so that one cannot be found inside another
         rules.append(f"({i}, {quoted(name)}, {quoted('%' + '%'.join(f',{w},' for w in wanted) + '%')})")
     instead = " ".join(f"and not (r.name = '{a}' and exists (select 1 from hits h where h.doc_id = r.doc_id and h.name = '{b}'))" for a, b in licenses.INSTEAD.items())
-    cut = lambda t: f"string_split(regexp_replace({t}, '[.!?;:]+[ \\t\\r\\n]+|[.!?;:]+$|\\n', chr(10), 'g'), chr(10))"
-    joined = r"replace(regexp_replace(t, '[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*', '. ', 'g'), chr(10), ' ')"
+    sub = lambda t, found, put: f"regexp_replace({t}, {quoted(found)}, {put if put.startswith('chr') else quoted(put)}, 'g')"
+    # tags, and what would cut known sentences
+    one = r"[(]*([a-z0-9.+-]*[a-z0-9+-])[)]*(?:[ \t]+with[ \t]+[a-z0-9.+-]*[a-z0-9+-][)]*)?"
+    uncut = sub(sub(sub("t", r"(gpl-[0-9]\.[0-9])\+", r"\1-or-later"), licenses.PLUS, r"\1 or later"), rf"spdx-license-identifier:[ \t]*{one}", r". spdx-license-identifier \1. ")
+    for _ in range(_TAGS - 1):
+        uncut = sub(uncut, rf"(spdx-license-identifier [a-z0-9.+-]*[a-z0-9+-]\. )[ \t]+(?:and|or)[ \t]+{one}", r"\1. spdx-license-identifier \2. ")
+    uncut = sub(sub(sub(uncut, r"\bv\.([ \t\r\n*#/]+[0-9])", r"v\1"), r"software foundation[;:]([ \t\r\n*#/]+either )", r"software foundation\1"), "\\(the [\"“”']*licen[sc]e[\"“”']*\\)", "")
+    cut = lambda t: f"string_split({sub(t, '[.!?;:]+[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+|[.!?;:]+$|' + chr(92) + 'n', 'chr(10)')}, chr(10))"
+    joined = r"replace(regexp_replace(u, '[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*', '. ', 'g'), chr(10), ' ')"
+    # what varies in notices
+    plain = "s"
+    for found, put in licenses.VARIANTS:
+        plain = f"regexp_replace({plain}, {quoted(found)}, {'chr(10) || ' + quoted(put[1:]) if put.startswith(chr(10)) else quoted(put)}, 'g')"
     return rf"""
 with known(s, id) as (values {known}),
 rules(rank, name, pattern) as (values {", ".join(rules)}),
 lowered as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
-cuts as (select doc_id, 0 as reading, {cut("t")} as parts from lowered where regexp_matches(t, '{licenses.HINT}')
-  union all select doc_id, 1, {cut(joined)} from lowered where regexp_matches(t, '{licenses.HINT}')),
-sentences as (select doc_id, reading, unnest(parts) as s, generate_subscripts(parts, 1) as i from cuts),
+uncut as (select doc_id, {uncut} as u from lowered where regexp_matches(t, '{licenses.HINT}')),
+cuts as (select doc_id, 0 as reading, {cut("u")} as parts from uncut union all select doc_id, 1, {cut(joined)} from uncut),
+sentences as (
+  select doc_id, reading, trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) as s, i
+  from (select doc_id, reading, unnest(parts) as p, generate_subscripts(parts, 1) as i from cuts)),
+subjects as (select doc_id, reading, i, case when regexp_matches(s, {quoted(licenses.NO_SUBJECT)}) then s else regexp_replace(s, {quoted(licenses.SUBJECT)}, '\1 under ') end as s from sentences),
+forms as (
+  select doc_id, reading, i, string_split(case when regexp_matches(s, {quoted(licenses.OPENED)}) then {plain} when regexp_matches(s, {quoted(licenses.HOLDER)}) then {quoted(licenses.HELD)} else s end, chr(10)) as f from subjects),
+items as (select doc_id, reading, i, unnest(f) as s, generate_subscripts(f, 1) as j from forms),
 read as (
-  select doc_id, reading, count(*) as n, string_agg(k.id, ',' order by i) as ids, string_agg(',' || k.id || ',', '' order by i) as marked
-  from sentences x join known k on trim(regexp_replace(x.s, '[^a-z0-9]+', ' ', 'g')) = k.s group by doc_id, reading),
-best as (select doc_id, max_by(struct_pack(n, ids, marked), n * 2 - reading) as b from read group by doc_id),
-hits as (select doc_id, name, min(rank) as rank from best, rules where b.marked like pattern group by doc_id, name),
+  select doc_id, reading, count(*) as n, string_agg(k.id, ',' order by i, j) as ids, string_agg(',' || k.id || ',', '' order by i, j) as marked
+  from items x join known k on x.s = k.s group by doc_id, reading),
+best as (select doc_id, max_by(struct_pack(n, ids), n * 2 - reading) as b from read group by doc_id),
+hits as (select doc_id, name, min(rank) as rank from read, rules where marked like pattern group by doc_id, name),
 named as (select r.doc_id, string_agg(r.name, ',' order by r.rank) as names from hits r where true {instead} group by r.doc_id)
 select d.doc_id, coalesce(b.n, 0)::bigint as n_sentences, coalesce(b.ids, '') as sentence_ids, coalesce(n.names, '') as licenses
 from documents d left join best using (doc_id) left join named n using (doc_id)"""
