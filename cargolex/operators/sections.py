@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import ROLE_TITLES, fuzzy_roles
-from ..functions.rx import MARK, first_of, has, let, rx, starts, strip, without_marks
+from ..functions.rx import MARK, filled, first_of, has, let, rx, starts, strip, without_marks
 from ..schema import ROLES
 
 IGNORED = "__ignored__"
 # Titles that only end a section; roles by number on the form of 2022.
 STOP_TITLES = ["сопроводительные документы", "указания грузоотправителя", "условия перевозки", "информация о принятии", "оговорки и замечания", "прочие условия", "переадресовк", "стоимость услуг", "стоимость перевозки", "дата составления", "отметки", "выдача груза", "сдача груза"]
 ROLE_BY_NUMBER = {"3": "cargo", "6": "carrier", "7": "vehicle", "8": "reception"}
-_KNOWN = "|".join([t for _, titles in ROLE_TITLES for t in titles] + STOP_TITLES)
-NUMBERED = r"^\s*([0-9]{1,2})\s*[.)\xa0]\s*([А-ЯЁа-яёA-Za-z][^\n]{0,80})"
-NUMBERED_KNOWN = rf"^\s*([0-9]{{1,2}})\s+((?:{_KNOWN}))\b[^\n]{{0,80}}$"
-BARE_KNOWN = rf"^\s*((?:{_KNOWN}))\b[^\n]{{0,80}}$"
+_TITLES = [t for _, titles in ROLE_TITLES for t in titles] + STOP_TITLES
+#: The known titles, by their first letters so that a line is compared only with those that begin like it.
+_KNOWN = "|".join(f"{a}(?:{'|'.join(t[1:] for t in _TITLES if t[0] == a)})" for a in dict.fromkeys(t[0] for t in _TITLES))
+NUMBERED = r"\s*([0-9]{1,2})\s*[.)\xa0]\s*([А-ЯЁа-яёA-Za-z][^\n]{0,80})"
+NUMBERED_KNOWN = rf"\s*([0-9]{{1,2}})\s+((?:{_KNOWN}))\b[^\n]{{0,80}}$"
+BARE_KNOWN = rf"\s*((?:{_KNOWN}))\b[^\n]{{0,80}}$"
 # How OCR misreads the two long titles that begin like "груз".
 MISREAD_CONSIGNEE, MISREAD_SHIPPER = r"^[ово]{0,2}(?:получ|пелуч|палуч|опуч)", r"^[ов]{0,2}(?:отправ|тправ|втир|стправ|тир|тпр)"
 
@@ -41,8 +43,8 @@ def exact_role(title: Column) -> Column:
     return let(strip(F.lower(title)), ruled)
 
 
-#: One alternation for the three ways to write a heading; the groups that took part tell which it was.
-HEADER = rf"(?m:{NUMBERED})|(?im:{NUMBERED_KNOWN})|(?im:{BARE_KNOWN})"
+#: One alternation for the three ways to write a heading, tried at the beginnings of lines; the groups that took part tell which it was.
+HEADER = rf"(?m:^)(?:{NUMBERED}|(?im:{NUMBERED_KNOWN})|(?im:{BARE_KNOWN}))"
 _SEP = "\ue003"
 
 
@@ -52,12 +54,14 @@ def pieces_of(text: Column) -> Column:
     (1 numbered, 2 numbered with a known title, 3 known title alone)."""
 
     def part(p: Column) -> Column:
-        own = F.split(p, _SEP, 6)
-        number, numbered, known, bare = (F.get(own, F.lit(i)) for i in range(4))
-        by_number = F.when(numbered != "", F.when(number == "3", "cargo").when(number == "6", "carrier").when(number == "7", "vehicle").when(number == "8", "reception"))
-        rank = F.when(numbered != "", 1).when(known != "", 2).otherwise(3)
-        title = F.concat(numbered, known, bare)
-        return F.struct(F.get(own, F.lit(4)).alias("text"), title.alias("title"), exact_role(title).alias("role"), by_number.alias("by_number"), rank.alias("rank"))
+        def parted(own: Column) -> Column:
+            number, numbered, known, bare = (F.get(own, F.lit(i)) for i in range(4))
+            by_number = F.when(numbered != "", F.when(number == "3", "cargo").when(number == "6", "carrier").when(number == "7", "vehicle").when(number == "8", "reception"))
+            rank = F.when(numbered != "", 1).when(known != "", 2).otherwise(3)
+            title = F.concat(numbered, known, bare)
+            return F.struct(F.get(own, F.lit(4)).alias("text"), title.alias("title"), exact_role(title).alias("role"), by_number.alias("by_number"), rank.alias("rank"))
+
+        return let(F.split(p, _SEP, 6), parted)
 
     def cut(parts: Column) -> Column:
         return F.struct(F.get(parts, F.lit(0)).alias("head"), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), part).alias("parts"))
@@ -98,12 +102,12 @@ def _body(chunk: Column) -> Column:
     """What stands behind the first colon or dash of the heading line, and the lines below it."""
 
     def parted(own: Column) -> Column:
-        top = F.get(F.split(own, "\n", 2), F.lit(0))
-        rest = strip(F.coalesce(F.get(F.split(own, "\n", 2), F.lit(1)), F.lit("")))
+        top = F.get(own, F.lit(0))
+        rest = strip(F.coalesce(F.get(own, F.lit(1)), F.lit("")))
         inline = strip(F.coalesce(F.get(F.split(top, r"[:\-–—]", 2), F.lit(1)), F.lit("")))
         return F.array_join(F.filter(F.array(inline, rest), lambda x: x != ""), "\n")
 
-    return let(strip(chunk), parted)
+    return let(F.split(strip(chunk), "\n", 2), parted)
 
 
 def unknown_titles(pieces: Column) -> Column:
@@ -142,7 +146,7 @@ def sections_of(pieces: Column, bounds: Column) -> Column:
             before = F.coalesce(F.get(b, F.lit(0))["i"] - 1, F.size(pieces["parts"]))
             head = F.concat(pieces["head"], F.array_join(F.transform(F.slice(pieces["parts"], F.lit(1), before), lambda p: p["text"]), ""))
             body = lambda role: first_of(parts, lambda p: p["role"] == role)["body"]
-            return F.struct(F.nullif(strip(head), F.lit("")).alias("head"), *(body(role).alias(role) for role in ROLES[1:]))
+            return F.struct(filled(strip(head)).alias("head"), *(body(role).alias(role) for role in ROLES[1:]))
 
         return let(F.transform(b, between), bodies)
 
