@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import before, behind, find, first_of, has, let, lines, matches, position, replace, strip
-from .textnorm import is_garbage, is_noise_line, strip_garbage_tokens
+from .rx import before, behind, filled, find, first_of, has, let, lines, matches, position, replace, strip
+from .textnorm import clean_line, is_garbage, is_noise_line
 from .validate import TAX_ID, is_valid_tax_id
 
 # Beginnings of service lines, of lines that end a party's details, and words of neighbouring fields.
@@ -26,19 +26,17 @@ _EDGE = r" \t,;"
 
 def is_service(line: Column) -> Column:
     """Blank, in brackets as a whole, or the beginning of a form's own text."""
-    own = strip(line)
-    return (own == "") | has(own, r"^\(.+\)\s*$", "") | has(own, SERVICE)
+    return let(strip(line), lambda own: (own == "") | has(own, r"^\(.+\)\s*$", "") | has(own, SERVICE))
 
 
 def meaningful_lines(body: Column) -> Column:
     """The lines of a section that are neither the form's own text nor noise, without the garbage tokens in them."""
     own = F.filter(F.transform(lines(F.coalesce(body, F.lit(""))), lambda x: strip(x)), lambda x: ~is_service(x))
-    own = F.transform(own, lambda x: replace(x, r"\s*\([^)]*реквизиты[^)]*\)\s*$", ""))
+    own = F.transform(own, lambda x: F.when(x.contains("("), replace(x, r"\s*\([^)]*реквизиты[^)]*\)\s*$", "")).otherwise(x))
     # the customer's label can stand before the name of the party
     own = F.transform(own, lambda x: F.when(has(x, r"заказчик\s+услуг"), find(x, rf"{MAIN_FORMS}.*$", 0, "is")).otherwise(x))
     own = F.transform(F.filter(own, lambda x: x.isNotNull()), lambda x: strip(x, _EDGE))
-    own = F.filter(own, lambda x: (F.length(x) > 3) & has(x, WORD_DATE_OR_NUMBER, "") & ~is_noise_line(x))
-    own = F.transform(own, lambda x: strip(strip_garbage_tokens(x), _EDGE))
+    own = F.transform(F.filter(own, lambda x: (F.length(x) > 3) & has(x, WORD_DATE_OR_NUMBER, "")), lambda x: strip(clean_line(x), _EDGE))
     return F.filter(own, lambda x: (F.length(x) > 3) & ~is_garbage(x))
 
 
@@ -48,8 +46,7 @@ def is_noisy(line: Column) -> Column:
     def judged(s: Column) -> Column:
         alnum = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
         technical = F.length(s) - F.length(F.translate(s, "[](){}|\\/=_~^`<>*#$%", ""))
-        own = F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
-        short = F.size(F.filter(own, lambda x: F.length(x) <= 2))
+        few = lambda own: (F.size(own) >= 4) & (F.size(F.filter(own, lambda x: F.length(x) <= 2)) > 0.6 * F.size(own))
         return (
             (F.length(s) <= 3)
             | is_noise_line(s)
@@ -57,7 +54,7 @@ def is_noisy(line: Column) -> Column:
             | (alnum == 0)
             | (alnum < 0.3 * F.length(s))
             | ((technical >= 3) & (technical > 0.3 * F.length(s)))
-            | ((F.size(own) >= 4) & (short > 0.6 * F.size(own)))
+            | let(F.filter(F.split(s, r"(?U)\s+"), lambda x: x != ""), few)
         )
 
     return F.coalesce(let(strip(line), judged), F.lit(True))
@@ -110,4 +107,4 @@ def party_lines(body: Column, most: int = 4) -> Column:
 
         return F.array_join(F.transform(F.slice(let(stop, taken), 1, most), lambda x: F.regexp_replace(x, ",+$", "")), ", ")
 
-    return F.nullif(let(meaningful_lines(body), cut), F.lit(""))
+    return filled(let(meaningful_lines(body), cut))

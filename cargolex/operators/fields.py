@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.orglines import NAMED_TAX_ID, NEIGHBOUR, ORG, SERVICE, WORD_DATE_OR_NUMBER, cut_after_tax_id, cut_before_registry, is_noisy, meaningful_lines, party_lines, trim_to_org
-from ..functions.rx import before, behind, find, first_match, first_of, has, let, lines, matches, position, replace, strip
+from ..functions.rx import before, behind, filled, find, first_match, first_of, has, let, lines, matches, position, replace, strip
 from ..functions.textnorm import clean_value, is_garbage, strip_garbage_tokens
 from ..functions.validate import compact_plate, first_date
 from ..schema import FIELDS, is_blank
@@ -86,7 +86,7 @@ def number_without_sign(tail: Column) -> Column:
     own = F.transform(F.slice(lines(tail), 1, 10), lambda x: strip(x, r" \t|—–\-\[\]()"))
     service = r"^(?:транспортн|заказ|дата|экземпляр|№|no|приложение)|накладн"
     good = first_of(own, lambda x: F.length(x).between(2, 50) & ~has(x, service) & ~has(x, r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}\z", "") & has(x, rf"^{_NUMBER}{{1,48}}\z", "") & has(x, "[0-9]", ""))
-    return F.nullif(strip(good, r" .,:;"), F.lit(""))
+    return filled(strip(good, r" .,:;"))
 
 
 def heading_tail(head: Column, text: Column) -> Column:
@@ -122,7 +122,7 @@ def _short(c: Column) -> Column:
 
 
 def _with_tax_id(c: Column) -> Column:
-    return let(trim_to_org(c), lambda x: _short(F.coalesce(F.nullif(cut_after_tax_id(x), F.lit("")), cut_before_registry(x))))
+    return let(trim_to_org(c), lambda x: _short(F.coalesce(filled(cut_after_tax_id(x)), cut_before_registry(x))))
 
 
 def _without_tax_id(c: Column) -> Column:
@@ -155,19 +155,15 @@ def _labelled_cargo(own: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         label = has(x, CARGO_LABEL)
         root = has(x, CARGO_ROOT)
-        behind = F.nullif(strip(find(x, CARGO_LABEL, 1)), F.lit(""))
-        behind_root = F.nullif(strip(find(x, rf"{CARGO_ROOT}[\s:{_DASH}]+\s*(.+)", 1)), F.lit(""))
+        behind = filled(strip(find(x, CARGO_LABEL, 1)))
+        behind_root = filled(strip(find(x, rf"{CARGO_ROOT}[\s:{_DASH}]+\s*(.+)", 1)))
         word = has(x, r"^груз(?::| —| -)")
-        behind_word = F.nullif(strip(F.get(F.split(x, r"[:\-–—]", 2), F.lit(1))), F.lit(""))
+        behind_word = filled(strip(F.get(F.split(x, r"[:\-–—]", 2), F.lit(1))))
         usable = acc["waits"] & ~has(x, MEASURE) & ~has(x, NUMBER_OF_PLACES) & has(x, "[А-Яа-яЁёA-Za-z]{3,}", "")
         value = F.when(label, behind).when(root, behind_root).when(word, behind_word).when(usable, strip(replace(x, rf"^[\s:{_DASH}]+", "")))
-        stop = has(x, rf"^{CARGO_END}")
-        over = acc["over"] | acc["value"].isNotNull()
-        return F.struct(
-            (acc["waits"] | (~over & ~stop & (label | root))).alias("waits"),
-            F.when(over | stop, acc["value"]).otherwise(value).alias("value"),
-            (over | stop).alias("over"),
-        )
+        told = lambda waits, value, over: F.struct(waits.alias("waits"), value.alias("value"), over.alias("over"))
+        end = acc["over"] | acc["value"].isNotNull() | has(x, rf"^{CARGO_END}")
+        return F.when(end, told(acc["waits"], acc["value"], F.lit(True))).otherwise(told(acc["waits"] | label | root, value, F.lit(False)))
 
     start = F.struct(F.lit(False).alias("waits"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("over"))
     return F.aggregate(own, start, step, lambda acc: acc["value"])
@@ -191,7 +187,7 @@ def volume(section: Column, text: Column) -> Column:
     def of(source: Column) -> Column:
         places = find(source, r"кол[-\s]?во\s+мест\s*[—:\-–‐-―−]?\s*([0-9]+)", 1)
         pieces = strip(find(source, rf"\b([0-9]+(?:[,.][0-9]+)?\s*{PIECES}\.?)", 1))
-        return F.nullif(F.concat_ws(", ", F.concat(places, F.lit(" мест")), pieces, strip(find(source, WEIGHTS), r" ,;")), F.lit(""))
+        return filled(F.concat_ws(", ", F.concat(places, F.lit(" мест")), pieces, strip(find(source, WEIGHTS), r" ,;")))
 
     return _either(found(of(section), 0.9), found(of(text), 0.5))
 
@@ -225,13 +221,13 @@ def _collected(own: Column) -> Column:
         last = F.array_position(F.transform(some, lambda x: has(x, NAMED_TAX_ID) | has(x, r"\b[0-9]{10,12}\b")), True).cast("int")
         return F.when(F.size(own) > 0, F.array_join(let(last, lambda n: F.when(n > 0, F.slice(some, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(some)), ", "))
 
-    return F.nullif(let(F.array_position(F.transform(own, lambda x: has(x, ORG)), True).cast("int"), taken), F.lit(""))
+    return filled(let(F.array_position(F.transform(own, lambda x: has(x, ORG)), True).cast("int"), taken))
 
 
 def _trimmed(c: Column) -> Column:
     own = replace(trim_to_org(c), r",\s*ин{1,2}\.?\s*,?\s*(?=[0-9]{10,12}\b)", ", ИНН ")
     plain = lambda x: strip(find(x, r"^.*?\b[0-9]{10,12}\b", 0, "s"), r" ,;")
-    own = let(own, lambda x: F.coalesce(F.nullif(cut_after_tax_id(x), F.lit("")), plain(x), cut_before_registry(x)))
+    own = let(own, lambda x: F.coalesce(filled(cut_after_tax_id(x)), plain(x), cut_before_registry(x)))
     return strip(F.substring(replace(own, r",\s*[А-Яа-яЁёA-Za-z]{1,3}\.?\s*$", ""), 1, 500), r" ,;")
 
 
