@@ -104,12 +104,27 @@ def _window(text: str, name: str) -> str:
     return _let("b", _bits(text, name), _let("c", common, f"if({bound}, 0D, array_max(concat(if(length({text}) >= {n}, {inside}, array()), if(length({text}) <= {n}, {around}, array()))))"))
 
 
+def _most(name: str) -> str:
+    """What no score of a title with a name exceeds: no window of `low` has more in common than all of it."""
+    n = len(name)
+    return _let("c", f"{n} - bit_count(aggregate({_bits('low', name)}, {(1 << n) - 1}L, {_STEP} & {(1 << n) - 1}L))", f"200D * c / (least({n}, length(low)) + c)")
+
+
+def _surely(otherwise: str) -> str:
+    """The role if the scores of whole words and the bounds of all others decide it, so that no window has to be looked at."""
+    whole = lambda names: ", ".join(_whole("word", w) for w in dict.fromkeys(n.split()[0] for n in names))
+    most = lambda names: ", ".join(map(_most, names))
+    quick = "array(" + ", ".join(_let("s", f"greatest({whole(names)}, 0D)", f"struct(s, greatest(s, {most(names)}) as u, '{role}' as role)") for role, names in TITLES) + ")"
+    clear = f"filter(q, x -> x.s >= {ACCEPT}D and forall(q, y -> y.role = x.role or x.s - y.u >= {LEAD}D))"
+    return _let("q", quick, _let("clear", clear, f"case when size(clear) > 0 then clear[0].role when forall(q, x -> x.u < {ACCEPT}D) then null else {otherwise} end"))
+
+
 def fuzzy_roles(titles: str) -> Column:
     """Roles of a column of arrays of titles that no exact rule knows: the best by far, or NULL. One expression, parsed at once."""
     score = lambda names: "greatest(" + ", ".join(x for n in names for x in (_whole("word", n.split()[0]), _window("low", n))) + ")"
     scores = "array(" + ", ".join(f"struct({score(names)} as s, '{role}' as role)" for role, names in TITLES) + ")"
     best = _let("o", f"reverse(array_sort({scores}))", f"if(o[0].s >= {ACCEPT}D and o[0].s - o[1].s >= {LEAD}D, o[0].role, null)")
-    judged = f"if(length(word) < {LEAST_WORD}, null, {_let('low', f'left(title, {WINDOW})', best)})"
+    judged = f"if(length(word) < {LEAST_WORD}, null, {_let('low', f'left(title, {WINDOW})', _surely(best))})"
     ends = _ENDS_WORD.replace("-", r"\\-")
     words = _let("word", f"split(title, '[{ends}]', 2)[0]", judged)
     return F.expr(f"transform({titles}, t -> {_let('title', f"lower(btrim(t, '{SPACES}'))", words)})")
