@@ -28,9 +28,9 @@ def page_kind(page: Column) -> Column:
         F.when(F.length(strip(page)) < LEAST_PAGE, "blank")
         .when(has(head, INVOICE), "upd")
         .when(has(head, REGISTRY), "registry")
-        .when(has(page, HEADER) & has(page, FIRST_PAGE), "ttn_start")
-        .when(has(page, HEADER), "ttn_cont")
-        .otherwise("blank")
+        .when(~has(page, HEADER), "blank")
+        .when(has(page, FIRST_PAGE), "ttn_start")
+        .otherwise("ttn_cont")
     )
 
 
