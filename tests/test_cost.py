@@ -69,3 +69,31 @@ def test_steps_that_a_test_guards_still_change_what_they_should(spark):
     lines = ["ООО  Ромашка\x1f мир", "x'y аbв \"_'|", "чистая строка", "   "]
     own = spark.createDataFrame([(t,) for t in lines], "t string").select("t", textnorm.clean_line(F.col("t")).alias("a"), F.when(~textnorm.is_noise_line(F.col("t")), textnorm.strip_garbage_tokens(F.col("t"))).alias("b")).collect()
     assert all(r.a == r.b for r in own)
+
+
+def test_only_wanted_sections_are_joined(spark):
+    own = spark.sql("select '1. Грузоотправитель\nООО\n7. Транспортное средство: МАЗ\nА123ВС77\n8. Прием груза\nТула' as text")
+    # what bodies are stripped of and joined with grows with the sections that are asked for
+    few, every = (plan(sections.add_sections(own, wanted=x)).count("array_join(") for x in (["vehicle"], sections.ROLES))
+    assert few < every
+    assert sections.add_sections(own, wanted=["vehicle"]).select("sections.*").first().asDict() == {"vehicle": "МАЗ\nА123ВС77"}
+    assert sections.add_sections(own).select("sections.*").first().asDict() == {"head": None, "shipper": "ООО", "consignee": None, "cargo": None, "carrier": None, "vehicle": "МАЗ\nА123ВС77", "reception": "Тула"}
+    assert plan(catalog.QUERIES["extract_vehicle"](spark, DATA)).count("array_join(") < plan(catalog.QUERIES["waybill_pipeline"](spark, DATA)).count("array_join(")
+
+
+def test_roles_of_the_heading_scan_are_those_of_the_rule(spark):
+    rnd = random.Random(5)
+    titles = [t for _, own in fuzzy.ROLE_TITLES for t in own] + sections.STOP_TITLES + ["грузовик", "грузоопуч", "грузотпр", "раздел", "груз\xa0", "груз\t", "груз\x0b", "груз\x0bа"]
+    texts = ["1. груз" + "\x0b" * 77 + "я", "1. груз" + "\x0b" * 76 + "я", "1. груз" + "\x0b" * 90]
+    for _ in range(1500):
+        t = list(rnd.choice(titles))
+        for _ in range(rnd.choice([0, 0, 0, 1, 2])):
+            i = rnd.randrange(len(t))
+            t[i : i + 1] = rnd.choice(["", "о", t[i] * 2, " ", ":"])
+        x = "".join(t)
+        texts.append(rnd.choice(["", "7. ", "3 ", "12) ", " 8\xa0. "]) + rnd.choice([x, x.capitalize(), x.upper()]) + rnd.choice(["", " ", ":", " x", "/", "ово", "\x1c", " " * 90]))
+    # one scan finds the headings and tells their roles: no title is judged by a list of beginnings unless it has no number
+    own = spark.createDataFrame([(x,) for x in texts], "x string").select(F.explode(sections.pieces_of(F.col("x"))["parts"]).alias("p"))
+    got = own.select("p.*", sections.exact_role(F.col("p.title")).alias("rule")).collect()
+    assert len(got) > 800 and {g["rank"] for g in got} == {1, 2, 3} and all(g.role == g.rule for g in got)
+    assert "(?=(?:(" in plan(own)
