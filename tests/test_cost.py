@@ -97,3 +97,13 @@ def test_roles_of_the_heading_scan_are_those_of_the_rule(spark):
     got = own.select("p.*", sections.exact_role(F.col("p.title")).alias("rule")).collect()
     assert len(got) > 800 and {g["rank"] for g in got} == {1, 2, 3} and all(g.role == g.rule for g in got)
     assert "(?=(?:(" in plan(own)
+
+
+def test_a_steady_text_is_told_by_one_scan(spark):
+    rnd = random.Random(8)
+    parts = ["слово", " ", "\n", "-", "—", "№ 1", "a", "х", "\t", "\r", "\xa0", "​", "", ".", "і", "z", "\x1c", " "]
+    texts = ["".join(rnd.choices(parts[:7] if i % 2 else parts, k=rnd.randrange(9))) for i in range(1500)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    steps = textnorm.fix_lookalikes(textnorm.collapse_spaces(textnorm.join_hyphen_breaks(F.replace(F.replace(textnorm.strip_invisible(F.col("t")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))))
+    got = df.select("t", rx.has(F.col("t"), textnorm._STEADY, "").alias("steady"), steps.alias("steps"), textnorm.normalize(F.col("t")).alias("n"), rx.strip(steps).alias("all")).collect()
+    assert all(r.steps == r.t for r in got if r.steady) and all(r.n == r["all"] for r in got) and 100 < sum(r.steady for r in got) < 1400
