@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import GARBAGE, MISSING
-from .rx import MARK, MARK_END, SPACE, contains_any, find_all, has, let, replace, strip
+from .rx import MARK, MARK_END, SPACE, contains_any, filled, find_all, has, let, replace, strip
 
 # Invisible characters, dashes, and Latin letters with their Cyrillic look-alikes.
 INVISIBLE = "­​‌‍﻿‪‬"
@@ -37,8 +37,9 @@ def strip_invisible(c: Column) -> Column:
 
 
 def join_hyphen_breaks(c: Column) -> Column:
-    """Words parted by a dash at a line end become one."""
-    return _only(c, lambda x: has(x, rf"[\-‐-―−]{SPACE}*\n", ""), lambda x: replace(x, rf"([{_ALL}])[{_DASH}]{SPACE}*\n{SPACE}*([{_ALL}])", "$1$2"))
+    """Words parted by a dash at a line end become one. A letter that ends one break begins no other (\\G)."""
+    broken = rf"[{_DASH}](?<=[{_ALL}](?!\G).){SPACE}*\n{SPACE}*([{_ALL}])"
+    return _only(c, lambda x: has(x, rf"[\-‐-―−]{SPACE}*\n", ""), lambda x: replace(x, broken, "$1", ""))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -49,7 +50,8 @@ def collapse_spaces(c: Column) -> Column:
 
 def fix_lookalikes(c: Column) -> Column:
     """Latin look-alikes beside Cyrillic letters of their word become Cyrillic; a run of them after a Cyrillic letter as a whole."""
-    beside = rf"(?<=[{_CYR}])[{LATIN}]+|[{LATIN}](?=[{_CYR}])"
+    # a Latin letter is looked for first, and what stands beside it only there
+    beside = rf"[{LATIN}](?:(?<=[{_CYR}].)[{LATIN}]*|(?=[{_CYR}]))"
 
     def fixed(part: Column, i: Column) -> Column:
         own = F.split(part, MARK_END, 2)
@@ -59,8 +61,9 @@ def fix_lookalikes(c: Column) -> Column:
     return _only(unmarked, lambda x: has(x, f"[{LATIN}]", ""), lambda x: F.array_join(F.transform(F.split(replace(x, beside, f"{MARK}$0{MARK_END}", ""), MARK, -1), fixed), ""))
 
 
-#: A text that no step of normalize changes: runs of letters and signs that every form has, then what may stand alone, then all but what a step looks for.
-_STEADY = rf"\A(?:[А-яЁё0-9.,:;()«»№³]+| (?! )|\n(?!\n)|[{_DASH}](?!{SPACE}*\n)|[^{LATIN}{INVISIBLE}{_DASH}{MARK}{MARK_END} \t\n\r\xa0\x{{2009}}\x{{202f}}])*+\z"
+#: A text that no step of normalize changes: words and runs of signs, each with the space or line end behind it (single ranges and Latin-1 sets, which
+#: are looked up at once), then what may stand alone, then all but what a step looks for.
+_STEADY = rf"\A(?:[А-я]+[ \n]?|[0123456789.,:;()«»]+[ \n]?|(?<! ) |(?<!\n)\n|[{_DASH}](?!{SPACE}*\n)|[^{LATIN}{INVISIBLE}{_DASH}{MARK}{MARK_END} \t\n\r\xa0\x{{2009}}\x{{202f}}])*+\z"
 
 
 def normalize(c: Column) -> Column:
@@ -112,10 +115,18 @@ _WITHIN = rf"[^\s\x1c-\x1f{_ALL}]*"
 _SUSPECT = rf"[{QUOTES}{FOREIGN}]|[{_CYR}]{_WITHIN}[A-Za-z]|[A-Za-z]{_WITHIN}[{_CYR}]|(?<![^\s\x1c-\x1f])[{AROUND}&&[^\s\x1c-\x1f]]{{2,}}(?![^\s\x1c-\x1f])"
 
 
+#: A line of Cyrillic words, numbers, single spaces and signs none of which stand alone in twos: no token of it can be garbage, nothing in it is doubled.
+_PURE = r"\A(?:(?:[А-я]+|[0123456789]+)[.,:;()«»№—\-]*| (?! )|[.,:;()«»№—\-](?![.,:;()«»№—\-])|[Ёё³])*+\z"
+
+
+def is_pure(c: Column) -> Column:
+    return has(c, _PURE, "")
+
+
 def may_have_garbage(c: Column) -> Column:
     """False where no token can be garbage: no quote, no foreign letter, no word of two scripts and no run of signs alone. One scan instead
     of a judgement of each token; what it lets through is judged token by token."""
-    return has(c, _SUSPECT, "")
+    return ~is_pure(c) & has(c, _SUSPECT, "")
 
 
 def tokens(c: Column) -> Column:
@@ -144,9 +155,9 @@ def strip_garbage_tokens(c: Column) -> Column:
 
     def kept(x: Column) -> Column:
         own = F.filter(find_all(x, f"{_WORD}|{SPACE}+", 0, ""), lambda t: has(t, rf"^{SPACE}*$", "") | ~is_garbage_token(t))
-        return F.when(may_have_garbage(x), F.array_join(own, "")).otherwise(x)
+        return F.when(has(x, _SUSPECT, ""), F.array_join(own, "")).otherwise(x)
 
-    return strip(replace(let(c, kept), rf"{SPACE}{{2,}}", " "))
+    return let(c, lambda x: F.when(is_pure(x), strip(x)).otherwise(strip(replace(kept(x), rf"{SPACE}{{2,}}", " "))))
 
 
 def clean_line(c: Column) -> Column:
@@ -156,7 +167,7 @@ def clean_line(c: Column) -> Column:
         return F.when(~is_noise_line(x), strip_garbage_tokens(x))
 
     clean = lambda x: F.when(has(x, r"[^\s\x1c-\x1f]", ""), strip(replace(x, rf"{SPACE}{{2,}}", " ")))
-    return let(c, lambda x: F.when(may_have_garbage(x), dirty(x)).otherwise(clean(x)))
+    return let(c, lambda x: F.when(is_pure(x), filled(strip(x))).when(has(x, _SUSPECT, ""), dirty(x)).otherwise(clean(x)))
 
 
 def clean_value(c: Column) -> Column:

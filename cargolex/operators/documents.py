@@ -18,20 +18,26 @@ HEADER_LINE = r"^\s*транспортн(?:ая|ой)\s+накладн(?:ая|о
 FIRST_PAGE = r"грузоотправ|грузополуч|перевозчик|транспортн\w+\s+средств"
 INVOICE = r"счет[-\s]?фактура|универсал\w+\s+передаточн"
 REGISTRY = r"\bреестр\b|отгрузочн\w+\s+специф|товарн\w+\s+реестр"
+#: What every invoice's and every registry's mark holds: letters of one range, then the rest of a word. One scan for all of them.
+MARKED_PAGE = r"[о-у](?:чет|ниверсал|еестр|тгрузочн|оварн)"
 PAGE_HEAD, LEAST_PAGE, LEAST_DOCUMENT = 800, 100, 80
 
 
 def page_kind(page: Column) -> Column:
     """upd, registry, ttn_start, ttn_cont or blank."""
-    head = F.substring(page, 1, PAGE_HEAD)
-    return (
-        F.when(F.length(strip(page)) < LEAST_PAGE, "blank")
-        .when(has(head, INVOICE), "upd")
-        .when(has(head, REGISTRY), "registry")
-        .when(~has(page, HEADER), "blank")
-        .when(has(page, FIRST_PAGE), "ttn_start")
-        .otherwise("ttn_cont")
-    )
+
+    def by_mark(head: Column) -> Column:
+        return F.when(has(head, MARKED_PAGE), F.when(has(head, INVOICE), "upd").when(has(head, REGISTRY), "registry"))
+
+    def by_form(page: Column) -> Column:
+        return F.when(~has(page, HEADER), "blank").when(has(page, FIRST_PAGE), "ttn_start").otherwise("ttn_cont")
+
+    return F.when(F.length(strip(page)) < LEAST_PAGE, "blank").otherwise(F.coalesce(let(F.substring(page, 1, PAGE_HEAD), by_mark), by_form(page)))
+
+
+def pages_of(text: Column) -> Column:
+    """The pages of a file: text and kind."""
+    return F.transform(F.split(text, "\f", -1), lambda p: F.struct(p.alias("text"), page_kind(p).alias("kind")))
 
 
 def _long_enough(documents: Column) -> Column:
@@ -40,17 +46,19 @@ def _long_enough(documents: Column) -> Column:
 
 def split_by_pages(text: Column) -> Column:
     """Waybills of a mixed file, as an array; empty for any other file."""
+    return let(pages_of(text), joined_pages)
+
 
-    def joined(pages: Column) -> Column:
-        def step(done: Column, page: Column) -> Column:
-            grown = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.get(done, F.size(done) - 1), F.lit("\n"), page["text"])))
-            return F.when(page["kind"] == "ttn_start", F.concat(done, F.array(page["text"]))).when((page["kind"] == "ttn_cont") & (F.size(done) > 0), grown).otherwise(done)
+def joined_pages(pages: Column) -> Column:
+    """The same of the file's pages."""
 
-        mixed = F.exists(pages, lambda p: p["kind"] == "ttn_start") & F.exists(pages, lambda p: p["kind"].isin("upd", "registry"))
-        none = F.array().cast("array<string>")
-        return F.when(mixed, _long_enough(F.transform(F.aggregate(pages, none, step), lambda x: strip(x)))).otherwise(none)
+    def step(done: Column, page: Column) -> Column:
+        grown = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.get(done, F.size(done) - 1), F.lit("\n"), page["text"])))
+        return F.when(page["kind"] == "ttn_start", F.concat(done, F.array(page["text"]))).when((page["kind"] == "ttn_cont") & (F.size(done) > 0), grown).otherwise(done)
 
-    return let(F.transform(F.split(text, "\f", -1), lambda p: F.struct(p.alias("text"), page_kind(p).alias("kind"))), joined)
+    mixed = F.exists(pages, lambda p: p["kind"] == "ttn_start") & F.exists(pages, lambda p: p["kind"].isin("upd", "registry"))
+    none = F.array().cast("array<string>")
+    return F.when(mixed, _long_enough(F.transform(F.aggregate(pages, none, step), lambda x: strip(x)))).otherwise(none)
 
 
 def split_at_headers(text: Column) -> Column:
