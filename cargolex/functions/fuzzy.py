@@ -104,19 +104,39 @@ def _window(text: str, name: str) -> str:
     return _let("b", _bits(text, name), _let("c", common, f"if({bound}, 0D, array_max(concat(if(length({text}) >= {n}, {inside}, array()), if(length({text}) <= {n}, {around}, array()))))"))
 
 
-def _most(name: str) -> str:
-    """What no score of a title with a name exceeds: no window of `low` has more in common than all of it."""
-    n = len(name)
-    return _let("c", f"{n} - bit_count(aggregate({_bits('low', name)}, {(1 << n) - 1}L, {_STEP} & {(1 << n) - 1}L))", f"200D * c / (least({n}, length(low)) + c)")
+_NAMES = [n for _, names in TITLES for n in names]
+
+
+def _letters(text: str) -> str:
+    """Of each character of a text, the places where each of the names has it: one look for all names."""
+    where = {ch: [sum(1 << i for i, x in enumerate(n) if x == ch) for n in _NAMES] for ch in dict.fromkeys("".join(_NAMES))}
+    own = ", ".join(f"'{ch}', array({', '.join(f'{m}L' for m in masks)})" for ch, masks in where.items())
+    return f"transform(split({text}, ''), c -> coalesce(try_element_at(map({own}), c), array({', '.join(['0L'] * len(_NAMES))})))"
+
+
+def _common(letters: str, k: int, n: int) -> str:
+    """Length of the longest common subsequence of a text, by its _letters, and the first n characters of a name."""
+    full = (1 << n) - 1
+    return f"({n} - bit_count(aggregate({letters}, {full}L, {_STEP.replace('& m', f'& m[{k}]')} & {full}L)))"
 
 
 def _surely(otherwise: str) -> str:
-    """The role if the scores of whole words and the bounds of all others decide it, so that no window has to be looked at."""
-    whole = lambda names: ", ".join(_whole("word", w) for w in dict.fromkeys(n.split()[0] for n in names))
-    most = lambda names: ", ".join(map(_most, names))
-    quick = "array(" + ", ".join(_let("s", f"greatest({whole(names)}, 0D)", f"struct(s, greatest(s, {most(names)}) as u, '{role}' as role)") for role, names in TITLES) + ")"
+    """The role if the scores of whole words and the bounds of all others decide it, so that no window has to be looked at. No score of a title with
+    a name exceeds its bound: no window of `low` has more in common than all of it."""
+
+    def judged(k: int, name: str) -> str:
+        first, n = len(name.split()[0]), len(name)
+        of_low = _common("b", k, n) if first < n else f"if(low = word, x, {_common('b', k, n)})"
+        return _let("x", _common("a", k, first), _let("y", of_low, f"struct(200D * x / ({first} + length(word)) as s, 200D * y / (least({n}, length(low)) + y) as u)"))
+
+    def role_scores(role: str, names: list[str]) -> str:
+        own = "array(" + ", ".join(judged(_NAMES.index(n), n) for n in names) + ")"
+        return _let("o", own, f"struct(array_max(o.s) as s, greatest(array_max(o.s), array_max(o.u)) as u, '{role}' as role)")
+
+    quick = "array(" + ", ".join(role_scores(role, names) for role, names in TITLES) + ")"
     clear = f"filter(q, x -> x.s >= {ACCEPT}D and forall(q, y -> y.role = x.role or x.s - y.u >= {LEAD}D))"
-    return _let("q", quick, _let("clear", clear, f"case when size(clear) > 0 then clear[0].role when forall(q, x -> x.u < {ACCEPT}D) then null else {otherwise} end"))
+    decided = _let("q", quick, _let("clear", clear, f"case when size(clear) > 0 then clear[0].role when forall(q, x -> x.u < {ACCEPT}D) then null else {otherwise} end"))
+    return _let("a", _letters("word"), _let("b", f"if(low = word, a, {_letters('low')})", decided))
 
 
 def fuzzy_roles(titles: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import before, behind, filled, find, first_of, has, let, lines, matches, position, replace, strip
+from .rx import before, behind, filled, find, first_of, has, let, lines, matches, position, replace, rx, strip, without_marks
 from .textnorm import clean_line, is_garbage, is_noise_line
 from .validate import TAX_ID, is_valid_tax_id
 
@@ -29,9 +29,28 @@ def is_service(line: Column) -> Column:
     return let(strip(line), lambda own: (own == "") | has(own, r"^\(.+\)\s*$", "") | has(own, SERVICE))
 
 
+#: A line that meaningful_lines keeps but for its edges: words, numbers, single spaces and signs (nothing in brackets), a word among them, no beginning of
+#: the form's own text and no label of the customer. One scan for what the rules of meaningful_lines look for one after the other.
+_SIGNS = r".,:;«»№—\-"
+_PLAIN = rf"\A(?=[^\n]*?(?:[А-я]{{4}}|[0-9]{{5}}))(?iu:(?!{SERVICE[1:]})(?![^\n]*?заказчик))(?:(?:[А-я]+|[0123456789]+)[{_SIGNS}]*| (?! |\z)|[{_SIGNS}](?![{_SIGNS}])|[Ёё³])++\z"
+#: A line that is_noisy does not call noisy: single spaces, a word or a long number, at most two signs and spaces in a row, and so few tokens of one or
+#: two characters that they are at most three fifths.
+_SHORT, _LONG = rf"[А-я0123456789Ёё{_SIGNS}]{{1,2}}", rf"[А-я0123456789Ёё{_SIGNS}]{{3,}}"
+_CLEAR = rf"\A(?=[^\n]*?(?:[А-я]{{4}}|[0-9]{{5}}))(?![^\n]*?[ {_SIGNS}]{{3}})(?:(?:(?:{_SHORT} )?{_LONG}(?: (?!\z)|\z))+(?:{_SHORT}\z)?|(?:{_SHORT} )?{_LONG}(?: {_LONG})+ {_SHORT} {_SHORT})\z"
+
+
 def meaningful_lines(body: Column) -> Column:
     """The lines of a section that are neither the form's own text nor noise, without the garbage tokens in them."""
-    own = F.filter(F.transform(lines(F.coalesce(body, F.lit(""))), lambda x: strip(x)), lambda x: ~is_service(x))
+
+    def kept(x: Column) -> Column:
+        return F.when(has(x, _PLAIN, ""), strip(x, _EDGE)).otherwise(F.get(_judged_lines(F.array(x)), F.lit(0)))
+
+    own = F.transform(F.transform(lines(F.coalesce(body, F.lit(""))), lambda x: strip(x)), kept)
+    return F.filter(own, lambda x: x.isNotNull())
+
+
+def _judged_lines(own: Column) -> Column:
+    own = F.filter(own, lambda x: ~is_service(x))
     own = F.transform(own, lambda x: F.when(x.contains("("), replace(x, r"\s*\([^)]*реквизиты[^)]*\)\s*$", "")).otherwise(x))
     # the customer's label can stand before the name of the party
     own = F.transform(own, lambda x: F.when(has(x, r"заказчик\s+услуг"), find(x, rf"{MAIN_FORMS}.*$", 0, "is")).otherwise(x))
@@ -57,7 +76,7 @@ def is_noisy(line: Column) -> Column:
             | let(F.filter(F.split(s, r"(?U)\s+"), lambda x: x != ""), few)
         )
 
-    return F.coalesce(let(strip(line), judged), F.lit(True))
+    return F.coalesce(let(strip(line), lambda s: F.when(has(s, _CLEAR, ""), F.lit(False)).otherwise(judged(s))), F.lit(True))
 
 
 def _first_valid(s: Column) -> Column:
@@ -75,8 +94,8 @@ def cut_after_tax_id(s: Column) -> Column:
 
 def cut_before_registry(s: Column) -> Column:
     """Up to the first name of a registry number, or four characters before the first valid tax id."""
-    tax = _first_valid(s)["at"]
-    at = F.least(position(s, REGISTRY), F.when(tax.isNotNull(), F.greatest(tax - 4, F.lit(0))))
+    tax = let(F.when(has(s, "[0-9]{10}", ""), _first_valid(s)["at"]), lambda n: F.when(n.isNotNull(), F.greatest(n - 4, F.lit(0))))
+    at = F.least(position(s, REGISTRY), tax)
     return let(at, lambda n: F.when(n.isNull(), s).otherwise(strip(F.substring(s, F.lit(1), n), r" ,;\-–—")))
 
 
@@ -87,7 +106,12 @@ def trim_to_org(s: Column) -> Column:
         own = first_of(matches(x, ORG), lambda m: ~has(behind(x, m, 60), BANK))
         return F.coalesce(F.substring(x, own["at"] + 1, F.length(x)), x)
 
-    return let(s, cut)
+    def begins(x: Column) -> Column:
+        """Whether a legal form that is not a bank's stands first, so that no other has to be found."""
+        first = F.regexp_extract(x, rx(rf"\A{ORG}", "i"), 0)
+        return let(first, lambda form: (form != "") & ~has(F.substring(x, F.length(form) + 1, F.lit(60)), BANK))
+
+    return let(s, lambda x: F.when(begins(without_marks(x)), x).otherwise(cut(x)))
 
 
 def party_lines(body: Column, most: int = 4) -> Column:

@@ -66,7 +66,8 @@ def _of_the_form(region: Column, m: Column) -> Column:
         near, wide = F.right(line, F.lit(20)), F.right(left, F.lit(300))
         decree = wide.contains("постановлен") | (wide.contains("правительств") & wide.contains("рф")) | wide.contains("в ред.") | wide.contains("к правилам")
         annex = wide.contains("приложени") & has(wide, "1137|2116|2200|534", "")
-        return has(near, r"экземпляр|экз\.", "") | has(line, r"приложение|прил\.|постановлен|договор|к правилам", "") | decree | annex
+        told = has(near, r"экземпляр|экз\.", "") | has(line, r"приложение|прил\.|постановлен|договор|к правилам", "") | decree | annex
+        return F.when(strip(left) != "", told).otherwise(F.lit(False))
 
     return let(F.lower(F.substring(region, F.lit(1), m["at"])), judged)
 
@@ -74,11 +75,13 @@ def _of_the_form(region: Column, m: Column) -> Column:
 def pick_number(region: Column) -> Column:
     """The first number of a region that is not the form's own; stricter forms of writing it go first."""
 
-    def by(form: str) -> Column:
-        own = F.transform(F.filter(matches(region, form), lambda m: ~_of_the_form(region, m)), lambda m: strip(find(m["found"], f"\\A(?:{form})", 1), r"\s.,:;"))
+    def good(found: Column, form: str) -> Column:
+        own = F.transform(F.filter(found, lambda m: ~_of_the_form(region, m)), lambda m: strip(find(m["found"], f"\\A(?:{form})", 1), r"\s.,:;"))
         return first_of(own, lambda x: has(x, "[0-9]", "") & ~x.isin(DECREES))
 
-    return F.coalesce(*(by(form) for form in NUMBER_FORMS))
+    # if the first match of the strictest form is good, no other has to be found
+    first = let(first_match(region, NUMBER_FORMS[0]), lambda m: F.when(m.isNotNull(), good(F.array(m), NUMBER_FORMS[0])))
+    return F.when(has(region, _SIGN), F.coalesce(first, *(good(matches(region, form), form) for form in NUMBER_FORMS)))
 
 
 def number_without_sign(tail: Column) -> Column:

@@ -63,8 +63,9 @@ def _roles_group() -> str:
 #: Roles that a title's beginning decides, in the order in which they are tried.
 RULED = [IGNORED, "reception", "consignee", "shipper", "vehicle", "carrier", "cargo", "?груз"]
 #: One alternation for the three ways to write a heading, tried at the beginnings of lines; the groups that took part tell which it was and, of
-#: numbered titles, which role theirs is.
-HEADER = rf"(?m:^)(?:{NUMBERED.replace('([А-', _roles_group() + '([А-')}|(?im:{NUMBERED_KNOWN})|(?im:{BARE_KNOWN}))"
+#: numbered titles, which role theirs is. A line is tried only as what its first character allows: no number begins with a letter, and the known
+#: titles begin with letters from "в" to "у".
+HEADER = rf"(?m:^)(?:(?=[^А-я])(?:{NUMBERED.replace('([А-', _roles_group() + '([А-')}|(?im:{NUMBERED_KNOWN}))|(?im:(?=[\sв-у]){BARE_KNOWN}))"
 _SEP = "\ue003"
 _N = len(RULED)
 #: What a heading is replaced by: its number, its title in the group of its way, the groups of the roles, and itself.
@@ -114,11 +115,8 @@ def bounds_of(pieces: Column, fuzzy: Column) -> Column:
     """Of the pieces that begin a section: i (from 1) and role. Each role counts once, titles that only end a section always."""
 
     def kept(roles: Column) -> Column:
-        def first(firsts: Column) -> Column:
-            numbered = F.transform(roles, lambda r, i: F.struct((i + 1).alias("i"), r.alias("role")))
-            return F.filter(numbered, lambda x: (x["role"] == IGNORED) | F.array_contains(firsts, x["i"]))
-
-        return let(F.array(*(F.array_position(roles, F.lit(r)).cast("int") for r in ROLES[1:])), first)
+        numbered = F.transform(roles, lambda r, i: F.struct((i + 1).alias("i"), r.alias("role")))
+        return F.filter(numbered, lambda x: (x["role"] == IGNORED) | (F.array_position(roles, x["role"]) == x["i"]))
 
     return let(F.transform(pieces["parts"], lambda p: _decided(p, fuzzy)), kept)
 
