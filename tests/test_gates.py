@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cargolex.functions import orglines, rx, textnorm
+from cargolex.functions import orglines, rx, textnorm, validate
 from cargolex.operators import documents, fields, sections
 from cargolex.plans import catalog
 
@@ -62,3 +62,15 @@ def test_the_first_number_is_taken_without_looking_for_all(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fields.pick_number(F.col("t")).alias("n"))
     assert {r.t: r.n for r in df.collect()} == texts
     assert "(?s:.*)" in plan(df)  # the first match is looked for by itself
+
+
+def test_rare_characters_are_looked_for_first(spark):
+    texts = ["x P 814 HP 152 y", "ИНН7743553262", "АВ 1234 77", "а 123 вс\n77", "12А123ВС77", "Петров  П.П.", "xПетров П.П.", "П.П. Петров", "Иванов И. к", "от 01.02.2024", "№", "x01.02.2024"]
+    names = r"(?:\b[А-ЯЁ][а-яё]+\s+[А-ЯЁ]\.\s?[А-ЯЁ]\.|\b[А-ЯЁ]\.\s?[А-ЯЁ]\.\s+[А-ЯЁ][а-яё]+|\b[А-ЯЁ][а-яё]{2,}\s+[А-ЯЁ]\.(?!\s?[А-ЯЁ]))"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", validate.compact_plate(F.col("t")).alias("plate"), rx.find(F.col("t"), fields.PERSON, 0, "").alias("a"), rx.find(F.col("t"), names, 0, "").alias("b"), rx.find(F.col("t"), validate.DATE, 1).alias("day")).collect()
+    assert {r.t: r.plate for r in got if r.plate} == {"x P 814 HP 152 y": "Р814НР152", "АВ 1234 77": "АВ123477", "а 123 вс\n77": "А123ВС77", "12А123ВС77": "А123ВС77"}
+    assert all(r.a == r.b for r in got) and [r.day for r in got if r.day] == ["01.02.2024"]
+    # upper case is made once, and no character is asked what stands before it unless it is a space
+    own = plan(df.select(validate.compact_plate(F.col("t"))))
+    assert "(?<=[А-ЯЁA-Z0-9])" not in own and "(?=[^0-9]{1,2}[0-9]{3})" in own
