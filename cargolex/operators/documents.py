@@ -45,8 +45,8 @@ def _long_enough(documents: Column) -> Column:
 
 
 def split_by_pages(text: Column) -> Column:
-    """Waybills of a mixed file, as an array; empty for any other file."""
-    return let(pages_of(text), joined_pages)
+    """Waybills of a mixed file, as an array; empty for any other file. A file of one page is not mixed, whatever its page."""
+    return F.when(text.contains("\f"), let(pages_of(text), joined_pages)).otherwise(F.array().cast("array<string>"))
 
 
 def joined_pages(pages: Column) -> Column:

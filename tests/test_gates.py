@@ -74,3 +74,11 @@ def test_rare_characters_are_looked_for_first(spark):
     # upper case is made once, and no character is asked what stands before it unless it is a space
     own = plan(df.select(validate.compact_plate(F.col("t"))))
     assert "(?<=[А-ЯЁA-Z0-9])" not in own and "(?=[^0-9]{1,2}[0-9]{3})" in own
+
+
+def test_pages_are_judged_only_where_there_are_several(spark):
+    page = "Транспортная накладная\nГрузоотправитель " + "x" * 100
+    texts = {page: [], "Реестр " + page: [], "Реестр " + "x" * 100 + "\f" + page: [page], "\f": [], None: []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    own = df.select("t", documents.split_by_pages(F.col("t")).alias("d"))
+    assert {r.t: r.d for r in own.collect()} == texts and "Contains(t" in plan(own)
